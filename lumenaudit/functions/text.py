@@ -66,6 +66,14 @@ def any_of(conditions) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is referred to.
+
+    Without it the optimizer may copy a costly expression to every reference.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _either(parts) -> str:
     return "|".join(re.escape(p) for p in parts)
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenaudit import advice as A
 from lumenaudit import catalog as C
 from lumenaudit.functions import text as X
 from lumenaudit.functions import urls as U
-from lumenaudit.schemas import finding
+from lumenaudit.schemas import detect, found
 
 
 def query_params(df: DataFrame, url: str = "url", keep_blank: bool = True) -> DataFrame:
@@ -19,40 +19,45 @@ def query_params(df: DataFrame, url: str = "url", keep_blank: bool = True) -> Da
     return d.select(*df.columns, "param_index", "_p.key", "_p.value")
 
 
-def open_redirects(responses: DataFrame, strict: bool = False) -> DataFrame:
-    """Redirects that leave the scope and were steered by a query parameter.
+def steered_redirect(strict: bool = False) -> Column:
+    """A redirect that leaves the scope and was steered by a query parameter.
 
     The first such parameter is reported.  A value of slashes only counts as
     contained in any address unless ``strict``.
     """
-    d = responses.filter(F.col("redirected") & (U.query(F.col("url")) != "")
-                         & ~U.in_scope(F.col("final_url"), F.col("target")))
-    d = d.select("target", "url", "final_url", U.authority(F.col("final_url")).alias("_host"),
-                 U.query_pairs(F.col("url"), keep_blank=False).alias("_pairs")).filter(F.col("_host") != "")
+    final, host = F.col("final_url"), U.authority(F.col("final_url"))
 
     def steers(p):
         bare = F.regexp_replace(p["value"], "/+$", "")
-        inside = F.col("final_url").contains(bare)
+        inside = final.contains(bare)
         if strict:
             inside = inside & (bare != "")
-        return F.lower(p["value"]).contains(F.col("_host")) | inside
+        return F.lower(p["value"]).contains(host) | inside
 
-    d = d.withColumn("_hit", F.get(F.filter("_pairs", steers), F.lit(0))).filter(F.col("_hit").isNotNull())
-    return finding(d, url=F.col("url"), category="open_redirect",
-                   value=F.concat(F.lit("Parameter '"), F.col("_hit.key"),
-                                  F.lit("' steers redirect to external host: "), F.col("_host")),
-                   confidence="medium", pattern="redirect_chain",
-                   context=F.concat(F.col("url"), F.lit(" -> "), F.col("final_url")),
-                   stage_ord=C.STAGE_CRAWL, detector_ord=120)
+    left = F.col("redirected") & (U.query(F.col("url")) != "") & ~U.in_scope(final, F.col("target")) & (host != "")
+    hit = F.get(F.filter(U.query_pairs(F.col("url"), keep_blank=False), steers), F.lit(0))
+    return F.when(left, X.bind(hit, lambda p: F.when(p.isNotNull(), F.array(found(
+        url=F.col("url"), category="open_redirect",
+        value=F.concat(F.lit("Parameter '"), p["key"], F.lit("' steers redirect to external host: "), host),
+        confidence="medium", pattern="redirect_chain", context=F.concat(F.col("url"), F.lit(" -> "), final),
+        stage_ord=C.STAGE_CRAWL, detector_ord=120)))))
 
 
-def ssrf_candidates(pages: DataFrame) -> DataFrame:
+def open_redirects(responses: DataFrame, strict: bool = False) -> DataFrame:
+    return detect(responses.filter("redirected"), steered_redirect(strict))
+
+
+def fetching_params() -> Column:
     """Parameters whose name suggests that the server fetches their value."""
-    cols = [c for c in ("target", "url") if c in pages.columns]
-    d = query_params(pages.select(*cols)).filter(X.matches(X.strip(F.col("key")), C.URL_PARAM_NAME))
-    return finding(d, url=F.col("url"), category="ssrf_candidate",
-                   value=F.concat(F.lit("Parameter '"), F.col("key"),
-                                  F.lit("' accepts what looks like a URL - possible SSRF sink")),
-                   confidence="low", pattern="active_scan",
-                   evidence=F.concat(F.lit("Parameter name: "), F.col("key")), informational=True,
-                   context=A.SSRF, stage_ord=C.STAGE_ACTIVE, detector_ord=4, match_ord=F.col("param_index"))
+    pairs = F.transform(U.query_pairs(F.col("url")), lambda p, i: F.struct(p["key"].alias("key"), i.alias("i")))
+    named = F.filter(pairs, lambda p: X.matches(X.strip(p["key"]), C.URL_PARAM_NAME))
+    return F.when(F.col("url").contains("?"), F.transform(named, lambda p: found(
+        url=F.col("url"), category="ssrf_candidate",
+        value=F.concat(F.lit("Parameter '"), p["key"],
+                       F.lit("' accepts what looks like a URL - possible SSRF sink")),
+        confidence="low", pattern="active_scan", evidence=F.concat(F.lit("Parameter name: "), p["key"]),
+        informational=True, context=A.SSRF, stage_ord=C.STAGE_ACTIVE, detector_ord=4, match_ord=p["i"])))
+
+
+def ssrf_candidates(pages: DataFrame) -> DataFrame:
+    return detect(pages, fetching_params())

@@ -70,10 +70,15 @@ def soft404_pages(pages: DataFrame, baseline: DataFrame) -> DataFrame:
     return exact.unionByName(similar_matches(pages, baseline)).distinct()
 
 
-def drop_soft404(df: DataFrame, soft404: DataFrame) -> DataFrame:
-    """Rows whose ``target, url`` is not a catch-all page.
+def drop_soft404(findings: DataFrame, soft404: DataFrame, affected: Column | None = None) -> DataFrame:
+    """Findings without those on catch-all pages (``target, url``).
 
-    Meant for findings, which are few: applying it to them instead of to the
-    captures keeps page bodies out of the shuffle.
+    ``affected`` limits the removal to some findings.  Meant for findings, which
+    are few: applying it to them instead of to the captures keeps page bodies
+    out of the shuffle.
     """
-    return df.join(soft404.select("target", "url"), ["target", "url"], "left_anti")
+    pages = soft404.select("target", "url").withColumn("_soft", F.lit(True))
+    gone = F.coalesce("_soft", F.lit(False))
+    if affected is not None:
+        gone = gone & affected
+    return findings.join(pages, ["target", "url"], "left").filter(~gone).select(*findings.columns)

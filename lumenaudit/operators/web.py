@@ -1,4 +1,8 @@
-"""Posture checks on captured headers and HTML."""
+"""Posture checks on captured headers and HTML.
+
+Each check is an array of detections over the columns of a capture, so any
+number of them run in one pass over the rows.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,7 @@ from lumenaudit import advice as A
 from lumenaudit import catalog as C
 from lumenaudit.functions import text as X
 from lumenaudit.functions import urls as U
-from lumenaudit.schemas import finding
+from lumenaudit.schemas import detect, found
 
 
 def header(headers: Column, name: str) -> Column:
@@ -18,7 +22,7 @@ def header(headers: Column, name: str) -> Column:
     return F.when(F.size(found) > 0, F.array_join(F.transform(found, lambda h: h["value"]), ", "))
 
 
-def _page_url() -> Column:
+def page_url() -> Column:
     return F.coalesce(F.col("final_url"), F.col("url"))
 
 
@@ -31,60 +35,49 @@ def _header_evidence(headers: Column) -> Column:
     return _lines(headers, [h[0] for h in C.REQUIRED_HEADERS] + [b[0] for b in C.BANNER_HEADERS])
 
 
-def missing_headers(responses: DataFrame) -> DataFrame:
-    """Required security headers that are absent, one row each."""
+def header_gaps() -> Column:
+    """Required security headers that are absent."""
     h = F.col("headers")
-    names = F.transform(h, lambda x: F.lower(x["name"]))
-    csp = F.lower(F.coalesce(header(h, "content-security-policy"), F.lit("")))
-    d = responses.select(
-        "target", _page_url().alias("url"), "status_code", _header_evidence(h).alias("_ev"),
-        names.alias("_names"), csp.contains("frame-ancestors").alias("_framed"))
-    https = U.scheme(F.col("url")) == "https"
+    https = U.scheme(page_url()) == "https"
 
-    def lack(i, spec):
+    def lack(i, spec, seen):
         name, label, cwe, fix = spec
-        cond = ~F.array_contains(F.col("_names"), name)
+        cond = ~F.array_contains(seen["names"], name)
         if name == "strict-transport-security":
             cond = cond & https
         if name == "x-frame-options":
-            cond = cond & ~F.col("_framed")
-        return F.when(cond, F.struct(
-            F.lit(i).alias("ord"), F.lit(f"Missing header: {label}").alias("value"),
-            F.lit(cwe).alias("cwe"), F.lit(fix).alias("fix"), F.lit(A.HEADER_ADVICE[name]).alias("advice")))
+            cond = cond & ~seen["framed"]
+        return F.when(cond, found(
+            url=page_url(), category="security_headers", value=f"Missing header: {label}", confidence="medium",
+            pattern="security_audit", status_code=F.col("status_code"), evidence=seen["evidence"],
+            context=A.HEADER_ADVICE[name], cwe_id=cwe, remediation=fix, stage_ord=C.STAGE_AUDIT, detector_ord=i))
 
-    lacks = F.array_compact(F.array(*[lack(i, s) for i, s in enumerate(C.REQUIRED_HEADERS)]))
-    d = d.select("target", "url", "status_code", "_ev", F.inline(lacks))
-    return finding(d, url=F.col("url"), category="security_headers", value=F.col("value"), confidence="medium",
-                   pattern="security_audit", status_code=F.col("status_code"), evidence=F.col("_ev"),
-                   context=F.col("advice"), cwe_id=F.col("cwe"), remediation=F.col("fix"),
-                   stage_ord=C.STAGE_AUDIT, detector_ord=F.col("ord"))
+    csp = F.lower(F.coalesce(header(h, "content-security-policy"), F.lit("")))
+    seen = F.struct(F.transform(h, lambda x: F.lower(x["name"])).alias("names"),
+                    csp.contains("frame-ancestors").alias("framed"), _header_evidence(h).alias("evidence"))
+    return X.bind(seen, lambda s: F.array_compact(F.array(
+        *[lack(i, spec, s) for i, spec in enumerate(C.REQUIRED_HEADERS)])))
 
 
-def weak_nosniff(responses: DataFrame) -> DataFrame:
+def nosniff_value() -> Column:
     h = F.col("headers")
-    d = responses.select("target", _page_url().alias("url"), "status_code", _header_evidence(h).alias("_ev"),
-                         F.lower(X.strip(header(h, "x-content-type-options"))).alias("_v"))
-    d = d.filter((F.col("_v") != "") & (F.col("_v") != "nosniff"))
-    return finding(d, url=F.col("url"), category="security_headers",
-                   value=F.concat(F.lit("Weak X-Content-Type-Options value: "), X.python_repr(F.col("_v"))),
-                   confidence="low", pattern="security_audit", status_code=F.col("status_code"),
-                   evidence=F.col("_ev"), context=A.NOSNIFF, remediation=A.NOSNIFF,
-                   stage_ord=C.STAGE_AUDIT, detector_ord=10)
+    return X.bind(F.lower(X.strip(header(h, "x-content-type-options"))), lambda v: F.when(
+        (v != "") & (v != "nosniff"), F.array(found(
+            url=page_url(), category="security_headers",
+            value=F.concat(F.lit("Weak X-Content-Type-Options value: "), X.python_repr(v)), confidence="low",
+            pattern="security_audit", status_code=F.col("status_code"), evidence=_header_evidence(h),
+            context=A.NOSNIFF, remediation=A.NOSNIFF, stage_ord=C.STAGE_AUDIT, detector_ord=10))))
 
 
-def version_banners(responses: DataFrame) -> DataFrame:
-    h = F.col("headers")
-    banners = F.array_compact(F.array(*[
-        F.when(header(h, name) != "", F.struct(
-            F.lit(11 + i).alias("ord"), F.lit(name).alias("name"), F.lit(shown).alias("shown"),
-            header(h, name).alias("v")))
-        for i, (name, shown) in enumerate(C.BANNER_HEADERS)]))
-    d = responses.select("target", _page_url().alias("url"), "status_code", F.inline(banners))
-    return finding(d, url=F.col("url"), category="tech_fingerprint",
-                   value=F.concat(F.col("shown"), F.lit(": "), F.col("v")), confidence="low",
-                   pattern="security_audit", status_code=F.col("status_code"),
-                   evidence=F.concat(F.col("name"), F.lit(": "), F.col("v")), informational=True,
-                   context=A.BANNER, remediation=A.BANNER, stage_ord=C.STAGE_AUDIT, detector_ord=F.col("ord"))
+def banners() -> Column:
+    def shown(i, name, label):
+        return X.bind(header(F.col("headers"), name), lambda v: F.when(v != "", found(
+            url=page_url(), category="tech_fingerprint", value=F.concat(F.lit(f"{label}: "), v), confidence="low",
+            pattern="security_audit", status_code=F.col("status_code"), evidence=F.concat(F.lit(f"{name}: "), v),
+            informational=True, context=A.BANNER, remediation=A.BANNER,
+            stage_ord=C.STAGE_AUDIT, detector_ord=11 + i)))
+
+    return F.array_compact(F.array(*[shown(i, n, l) for i, (n, l) in enumerate(C.BANNER_HEADERS)]))
 
 
 def redact_cookie(raw: Column) -> Column:
@@ -92,73 +85,78 @@ def redact_cookie(raw: Column) -> Column:
     return F.regexp_replace(raw, "^([^=]*)=[^;]*", "$1=<REDACTED>")
 
 
-def cookie_flags(responses: DataFrame) -> DataFrame:
+def weak_cookies() -> Column:
     """Missing flags per Set-Cookie header.
 
     A flag counts as present when its name occurs anywhere in the header.
     """
-    cookies = F.filter(F.col("headers"), lambda h: F.lower(h["name"]) == "set-cookie")
-    d = responses.select("target", _page_url().alias("url"), "status_code",
-                         F.posexplode(F.transform(cookies, lambda h: h["value"])).alias("_at", "_raw"))
-    low = F.lower(F.col("_raw"))
-    missing = F.array_compact(F.array(
-        F.when((U.scheme(F.col("url")) == "https") & ~low.contains("secure"), F.lit("Secure")),
-        F.when(~low.contains("httponly"), F.lit("HttpOnly")),
-        F.when(~low.contains("samesite"), F.lit("SameSite"))))
-    d = d.withColumn("_missing", missing).filter(F.size("_missing") > 0)
-    serious = F.array_contains(F.col("_missing"), "Secure") | F.array_contains(F.col("_missing"), "HttpOnly")
-    name = X.strip(X.before_first(F.col("_raw"), "="))
-    return finding(d, url=F.col("url"), category="cookie_security",
-                   value=F.concat(F.lit("Cookie '"), name, F.lit("' missing flag(s): "),
-                                  F.array_join("_missing", ", ")),
-                   confidence=F.when(serious, "medium").otherwise("low"), pattern="security_audit",
-                   status_code=F.col("status_code"), evidence=redact_cookie(F.col("_raw")),
-                   context=A.COOKIE, remediation=A.COOKIE,
-                   stage_ord=C.STAGE_AUDIT, detector_ord=20, match_ord=F.col("_at"))
-
-
-def cors_issues(responses: DataFrame) -> DataFrame:
-    """Judges captures of probe kind ``cors`` against the origin that was sent."""
+    cookies = F.transform(F.filter(F.col("headers"), lambda h: F.lower(h["name"]) == "set-cookie"),
+                          lambda h: h["value"])
+    https = U.scheme(page_url()) == "https"
+
+    def judged(raw, i):
+        low = F.lower(raw)
+        missing = F.array_compact(F.array(
+            F.when(https & ~low.contains("secure"), F.lit("Secure")),
+            F.when(~low.contains("httponly"), F.lit("HttpOnly")),
+            F.when(~low.contains("samesite"), F.lit("SameSite"))))
+        name = X.strip(X.before_first(raw, "="))
+        return X.bind(missing, lambda m: F.when(F.size(m) > 0, found(
+            url=page_url(), category="cookie_security",
+            value=F.concat(F.lit("Cookie '"), name, F.lit("' missing flag(s): "), F.array_join(m, ", ")),
+            confidence=F.when(F.array_contains(m, "Secure") | F.array_contains(m, "HttpOnly"), "medium")
+            .otherwise("low"),
+            pattern="security_audit", status_code=F.col("status_code"), evidence=redact_cookie(raw),
+            context=A.COOKIE, remediation=A.COOKIE, stage_ord=C.STAGE_AUDIT, detector_ord=20, match_ord=i)))
+
+    return F.array_compact(F.transform(cookies, judged))
+
+
+def cors_policy() -> Column:
+    """Judges a capture of probe kind ``cors`` against the origin that was sent."""
     h = F.col("headers")
-    d = responses.filter(F.col("probe") == "cors").select(
-        "target", "status_code", "request_origin",
-        F.coalesce(header(h, "access-control-allow-origin"), F.lit("")).alias("_o"),
-        F.coalesce(header(h, "access-control-allow-credentials"), F.lit("")).alias("_c"))
-    creds = F.lower(X.strip(F.col("_c"))) == "true"
-    wildcard = (F.col("_o") == "*") & creds
-    echoed = F.col("_o") == F.col("request_origin")
-    d = d.filter(wildcard | echoed)
-    return finding(
-        d, url=F.col("target"), category="cors_misconfiguration",
-        value=F.when(wildcard, F.lit("CORS: Access-Control-Allow-Origin=* combined with "
-                                     "Access-Control-Allow-Credentials=true"))
-        .otherwise(F.concat(F.lit("CORS: server reflects arbitrary Origin header back ("),
-                            F.col("request_origin"), F.lit(")"))),
-        confidence=F.when(wildcard | creds, "high").otherwise("medium"), pattern="security_audit",
-        status_code=F.col("status_code"),
-        evidence=F.concat(F.lit("Access-Control-Allow-Origin: "), F.col("_o"),
-                          F.lit("\nAccess-Control-Allow-Credentials: "), F.col("_c")),
-        context=F.when(wildcard, A.CORS_WILDCARD).otherwise(A.CORS_REFLECTED),
-        remediation=F.when(wildcard, A.CORS_WILDCARD).otherwise(A.CORS_REFLECTED),
-        stage_ord=C.STAGE_AUDIT, detector_ord=30)
-
-
-def risky_methods(responses: DataFrame) -> DataFrame:
-    """Risky methods advertised in captures of probe kind ``options``."""
+    origin, creds = "access-control-allow-origin", "access-control-allow-credentials"
+    seen = F.struct(F.coalesce(header(h, origin), F.lit("")).alias("o"),
+                    F.coalesce(header(h, creds), F.lit("")).alias("c"))
+
+    def judged(s):
+        trusted = F.lower(X.strip(s["c"])) == "true"
+        wildcard = (s["o"] == "*") & trusted
+        return F.when(wildcard | (s["o"] == F.col("request_origin")), F.array(found(
+            url=F.col("target"), category="cors_misconfiguration",
+            value=F.when(wildcard, F.lit("CORS: Access-Control-Allow-Origin=* combined with "
+                                         "Access-Control-Allow-Credentials=true"))
+            .otherwise(F.concat(F.lit("CORS: server reflects arbitrary Origin header back ("),
+                                F.col("request_origin"), F.lit(")"))),
+            confidence=F.when(trusted, "high").otherwise("medium"), pattern="security_audit",
+            status_code=F.col("status_code"),
+            evidence=F.concat(F.lit("Access-Control-Allow-Origin: "), s["o"],
+                              F.lit("\nAccess-Control-Allow-Credentials: "), s["c"]),
+            context=F.when(wildcard, A.CORS_WILDCARD).otherwise(A.CORS_REFLECTED),
+            remediation=F.when(wildcard, A.CORS_WILDCARD).otherwise(A.CORS_REFLECTED),
+            stage_ord=C.STAGE_AUDIT, detector_ord=30)))
+
+    return F.when(F.col("probe") == "cors", X.bind(seen, judged))
+
+
+def advertised_methods() -> Column:
+    """Risky methods advertised in a capture of probe kind ``options``."""
     h = F.col("headers")
     allow = F.coalesce(F.nullif(header(h, "allow"), F.lit("")),
                        header(h, "access-control-allow-methods"), F.lit(""))
-    d = responses.filter(F.col("probe") == "options").select("target", "status_code", allow.alias("_allow"))
-    named = F.transform(F.split("_allow", ","), lambda m: F.upper(X.strip(m)))
-    risky = F.array_sort(F.array_intersect(named, F.array(*[F.lit(m) for m in C.RISKY_METHODS])))
-    d = d.withColumn("_risky", risky).filter(F.size("_risky") > 0)
-    return finding(d, url=F.col("target"), category="http_methods",
-                   value=F.concat(F.lit("Potentially risky HTTP methods enabled: "), F.array_join("_risky", ", ")),
-                   confidence="medium", pattern="security_audit", status_code=F.col("status_code"),
-                   evidence=F.concat(F.lit("Allow: "), F.col("_allow")),
-                   context=F.concat(F.lit("Advertised via Allow: "), F.col("_allow")),
-                   remediation=F.concat(F.lit("Advertised via Allow: "), F.col("_allow")),
-                   stage_ord=C.STAGE_AUDIT, detector_ord=40)
+
+    def judged(a):
+        named = F.transform(F.split(a, ","), lambda m: F.upper(X.strip(m)))
+        risky = F.array_sort(F.array_intersect(named, F.array(*[F.lit(m) for m in C.RISKY_METHODS])))
+        note = F.concat(F.lit("Advertised via Allow: "), a)
+        return X.bind(risky, lambda r: F.when(F.size(r) > 0, F.array(found(
+            url=F.col("target"), category="http_methods",
+            value=F.concat(F.lit("Potentially risky HTTP methods enabled: "), F.array_join(r, ", ")),
+            confidence="medium", pattern="security_audit", status_code=F.col("status_code"),
+            evidence=F.concat(F.lit("Allow: "), a), context=note, remediation=note,
+            stage_ord=C.STAGE_AUDIT, detector_ord=40))))
+
+    return F.when(F.col("probe") == "options", X.bind(allow, judged))
 
 
 def _resources(body: Column) -> Column:
@@ -179,105 +177,146 @@ def _first_of_each(resources: Column) -> Column:
     return F.filter(resources, lambda r, i: F.array_position(names, r["res"]) == i + 1)
 
 
-def _resource_findings(responses, wanted, category, confidence, prefix, middle, text, window, ord_):
+def _html() -> Column:
+    return F.lower(F.col("content_type")).contains("text/html")
+
+
+def _judged_resources(wanted, category, confidence, prefix, middle, text, window, ord_, stage) -> Column:
     body = F.left(F.col("body"), F.lit(window)) if window else F.col("body")
-    d = responses.filter(F.lower(F.col("content_type")).contains("text/html"))
-    d = d.select("target", _page_url().alias("url"), _resources(body).alias("_all"))
-    d = d.withColumn("_some", F.filter("_all", wanted))
-    d = d.select("target", "url", F.posexplode(_first_of_each(F.col("_some"))).alias("_at", "_r"))
-    return finding(d, url=F.col("url"), category=category, confidence=confidence, pattern="security_audit",
-                   value=F.concat(F.lit(prefix), F.col("_r.tag"), F.lit(middle), F.col("_r.res")),
-                   evidence=F.col("_r.res"), context=text, remediation=text,
-                   stage_ord=C.STAGE_CRAWL, detector_ord=ord_, match_ord=F.col("_at"))
+    some = F.filter(_resources(body), wanted)
+    return F.when(_html(), X.bind(some, lambda rs: F.transform(_first_of_each(rs), lambda r, i: found(
+        url=page_url(), category=category, confidence=confidence, pattern="security_audit",
+        value=F.concat(F.lit(prefix), r["tag"], F.lit(middle), r["res"]), evidence=r["res"],
+        context=text, remediation=text, stage_ord=stage, detector_ord=ord_, match_ord=i))))
 
 
-def mixed_content(responses: DataFrame, window: int | None = None) -> DataFrame:
+def plain_resources(window: int | None = None, stage: int = C.STAGE_CRAWL) -> Column:
     """Plain-HTTP scripts and links on HTTPS pages."""
-    pages = responses.filter(U.scheme(_page_url()) == "https")
-    return _resource_findings(
-        pages, lambda r: F.lower(r["res"]).startswith("http://"), "mixed_content", "medium",
-        "Insecure <", "> resource loaded over HTTP on an HTTPS page: ", A.MIXED, window, -2)
+    return F.when(U.scheme(page_url()) == "https", _judged_resources(
+        lambda r: F.lower(r["res"]).startswith("http://"), "mixed_content", "medium",
+        "Insecure <", "> resource loaded over HTTP on an HTTPS page: ", A.MIXED, window, -2, stage))
 
 
-def missing_sri(responses: DataFrame, window: int | None = None) -> DataFrame:
+def unpinned_resources(window: int | None = None, stage: int = C.STAGE_CRAWL) -> Column:
     """Cross-host scripts and links without an integrity attribute."""
     def wanted(r):
         h = U.authority(r["res"])
-        return (h != "") & (h != U.authority(F.col("url"))) & ~r["rest"].contains("integrity=")
+        return (h != "") & (h != U.authority(page_url())) & ~r["rest"].contains("integrity=")
 
-    return _resource_findings(
-        responses, wanted, "sri_missing", "low",
-        "Cross-origin <", "> without Subresource Integrity: ", A.SRI, window, -1)
+    return _judged_resources(wanted, "sri_missing", "low", "Cross-origin <",
+                             "> without Subresource Integrity: ", A.SRI, window, -1, stage)
 
 
-def tech_fingerprints(responses: DataFrame, window: int | None = None) -> DataFrame:
+def technologies(window: int | None = None) -> Column:
     """Products named by headers or page content, with their version where shown."""
     body = F.coalesce(F.col("body"), F.lit(""))
-    d = responses.select(
-        "target", _page_url().alias("url"), (F.left(body, F.lit(window)) if window else body).alias("_body"),
-        *[F.coalesce(header(F.col("headers"), n), F.lit("")).alias(f"_{n}")
-          for n in ("server", "x-powered-by", "set-cookie")])
+    body = F.left(body, F.lit(window)) if window else body
+    names = ("server", "x-powered-by", "set-cookie")
+    seen = F.struct(*[F.coalesce(header(F.col("headers"), n), F.lit("")).alias(n.replace("-", "_")) for n in names])
 
-    def seen(i, spec):
+    def one(i, spec, s):
         product, where, pattern, versioned = spec
         p = X.java_pattern(pattern)
-        hay = F.col(f"_{where}") if where else F.col("_body")
+        hay = s[where.replace("-", "_")] if where else body
         label = F.lit(product)
         if versioned:
             label = F.rtrim(F.concat(label, F.lit(" "), F.regexp_extract(hay, p, 1)))
         evidence = F.concat(F.lit(f"{where}: "), X.strip(hay)) if where else F.left(hay, F.lit(120))
-        return F.when(hay.rlike(p), F.struct(
-            F.lit(i).alias("ord"), label.alias("label"), evidence.alias("evidence")))
+        return F.when(hay.rlike(p), X.bind(label, lambda l: found(
+            url=page_url(), category="tech_fingerprint", value=F.concat(F.lit("Detected: "), l), confidence="low",
+            pattern="recon", evidence=evidence, informational=True,
+            context=F.concat(F.lit(f"{A.TECH} "), l, F.lit(f": {C.CVE_SEARCH}"), X.percent_quote(l)),
+            stage_ord=C.STAGE_RECON, detector_ord=i)))
 
-    found = F.array_compact(F.array(*[seen(i, s) for i, s in enumerate(C.TECH_SIGNATURES)]))
-    d = d.select("target", "url", F.inline(found))
-    note = F.concat(F.lit(f"{A.TECH} "), F.col("label"), F.lit(f": {C.CVE_SEARCH}"), X.percent_quote(F.col("label")))
-    return finding(d, url=F.col("url"), category="tech_fingerprint",
-                   value=F.concat(F.lit("Detected: "), F.col("label")), confidence="low", pattern="recon",
-                   evidence=F.col("evidence"), informational=True, context=note,
-                   stage_ord=C.STAGE_RECON, detector_ord=F.col("ord"))
+    return X.bind(seen, lambda s: F.array_compact(F.array(
+        *[one(i, spec, s) for i, spec in enumerate(C.TECH_SIGNATURES)])))
 
 
-def meta_generators(responses: DataFrame, window: int | None = None) -> DataFrame:
+def generators(window: int | None = None) -> Column:
     body = F.left(F.col("body"), F.lit(window)) if window else F.col("body")
     p = X.java_pattern(C.META_GENERATOR)
-    d = responses.select("target", _page_url().alias("url"), F.regexp_extract(body, p, 0).alias("_tag"))
-    d = d.filter(F.col("_tag") != "")
-    return finding(d, url=F.col("url"), category="tech_fingerprint",
-                   value=F.concat(F.lit("Detected via meta generator tag: "), F.regexp_extract("_tag", p, 1)),
-                   confidence="low", pattern="recon", evidence=F.col("_tag"), informational=True,
-                   context=A.GENERATOR, stage_ord=C.STAGE_RECON, detector_ord=len(C.TECH_SIGNATURES))
+    return X.bind(F.regexp_extract(body, p, 0), lambda tag: F.when(tag != "", F.array(found(
+        url=page_url(), category="tech_fingerprint",
+        value=F.concat(F.lit("Detected via meta generator tag: "), F.regexp_extract(tag, p, 1)),
+        confidence="low", pattern="recon", evidence=tag, informational=True, context=A.GENERATOR,
+        stage_ord=C.STAGE_RECON, detector_ord=len(C.TECH_SIGNATURES)))))
 
 
-def waf_detections(responses: DataFrame) -> DataFrame:
+def protections() -> Column:
     """Protection layers named by headers or cookies; cookie values are never shown.
 
     The short cookie mark of the last signature is a bare substring and noisy.
     """
     h = F.col("headers")
-    names = sorted({n for _, hs, _ in C.WAF_SIGNATURES for n, _ in hs})
-    d = responses.select(
-        "target", _page_url().alias("url"), "headers",
-        F.lower(F.coalesce(header(h, "set-cookie"), F.lit(""))).alias("_jar"),
-        *[F.lower(header(h, n)).alias(f"_{n}") for n in names])
+    names = sorted({n for _, hs, _ in C.WAF_SIGNATURES for n, _ in hs} | {"set-cookie"})
+    seen = F.struct(*[F.lower(header(h, n)).alias(n.replace("-", "_")) for n in names])
 
-    def seen(i, spec):
+    def one(i, spec, s):
         name, wanted, cookies = spec
         by_header = X.any_of([
-            F.col(f"_{n}").isNotNull() if part is None else F.coalesce(F.col(f"_{n}").contains(part), F.lit(False))
-            for n, part in wanted])
-        jar = F.array_compact(F.array(*[F.when(F.col("_jar").contains(c), F.lit(c)) for c in cookies])) \
+            s[n.replace("-", "_")].isNotNull() if part is None
+            else F.coalesce(s[n.replace("-", "_")].contains(part), F.lit(False)) for n, part in wanted])
+        jar = F.coalesce(s["set_cookie"], F.lit(""))
+        marks = F.array_compact(F.array(*[F.when(jar.contains(c), F.lit(c)) for c in cookies])) \
             if cookies else F.array().cast("array<string>")
-        lines = F.filter(F.array(
-            _lines(F.col("headers"), [n for n, _ in wanted]),
-            F.when(F.size(jar) > 0, F.concat(F.lit("Set-Cookie contains: "), F.array_join(jar, ", ")))
-            .otherwise(F.lit(""))), lambda s: s != "")
-        return F.when(by_header | (F.size(jar) > 0), F.struct(
-            F.lit(20 + i).alias("ord"), F.lit(name).alias("name"), F.array_join(lines, "\n").alias("evidence")))
-
-    found = F.array_compact(F.array(*[seen(i, s) for i, s in enumerate(C.WAF_SIGNATURES)]))
-    d = d.select("target", "url", F.inline(found))
-    return finding(d, url=F.col("url"), category="waf_detected",
-                   value=F.concat(F.lit("WAF/CDN detected: "), F.col("name")), confidence="low", pattern="recon",
-                   evidence=F.col("evidence"), informational=True, context=A.WAF,
-                   stage_ord=C.STAGE_RECON, detector_ord=F.col("ord"))
+
+        def shown(m):
+            lines = F.filter(F.array(
+                _lines(h, [n for n, _ in wanted]),
+                F.when(F.size(m) > 0, F.concat(F.lit("Set-Cookie contains: "), F.array_join(m, ", ")))
+                .otherwise(F.lit(""))), lambda l: l != "")
+            return F.when(by_header | (F.size(m) > 0), found(
+                url=page_url(), category="waf_detected", value=f"WAF/CDN detected: {name}", confidence="low",
+                pattern="recon", evidence=F.array_join(lines, "\n"), informational=True, context=A.WAF,
+                stage_ord=C.STAGE_RECON, detector_ord=20 + i))
+
+        return X.bind(marks, shown)
+
+    return X.bind(seen, lambda s: F.array_compact(F.array(
+        *[one(i, spec, s) for i, spec in enumerate(C.WAF_SIGNATURES)])))
+
+
+# Each check as a job of its own; a whole scan runs them together in one pass.
+
+def missing_headers(responses: DataFrame) -> DataFrame:
+    return detect(responses, header_gaps())
+
+
+def weak_nosniff(responses: DataFrame) -> DataFrame:
+    return detect(responses, nosniff_value())
+
+
+def version_banners(responses: DataFrame) -> DataFrame:
+    return detect(responses, banners())
+
+
+def cookie_flags(responses: DataFrame) -> DataFrame:
+    return detect(responses, weak_cookies())
+
+
+def cors_issues(responses: DataFrame) -> DataFrame:
+    return detect(responses.filter(F.col("probe") == "cors"), cors_policy())
+
+
+def risky_methods(responses: DataFrame) -> DataFrame:
+    return detect(responses.filter(F.col("probe") == "options"), advertised_methods())
+
+
+def mixed_content(responses: DataFrame, window: int | None = None) -> DataFrame:
+    return detect(responses, plain_resources(window))
+
+
+def missing_sri(responses: DataFrame, window: int | None = None) -> DataFrame:
+    return detect(responses, unpinned_resources(window))
+
+
+def tech_fingerprints(responses: DataFrame, window: int | None = None) -> DataFrame:
+    return detect(responses, technologies(window))
+
+
+def meta_generators(responses: DataFrame, window: int | None = None) -> DataFrame:
+    return detect(responses, generators(window))
+
+
+def waf_detections(responses: DataFrame) -> DataFrame:
+    return detect(responses, protections())

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenaudit.operators import endpoints, files, params, probes, recon, secrets, soft404, web
 from lumenaudit.operators.findings import finalise, union_findings
-from lumenaudit.sources.captures import eligible
+from lumenaudit.catalog import STAGE_AUDIT, STAGE_CRAWL
+from lumenaudit.schemas import detect
+from lumenaudit.sources.captures import eligible, is_eligible
 
 
 def scan_corpus(documents: DataFrame, text: str = "text", context: bool = True) -> DataFrame:
@@ -17,20 +19,28 @@ def scan_corpus(documents: DataFrame, text: str = "text", context: bool = True)
     return finalise(secrets.secret_findings(documents, text, context=context))
 
 
+def content_checks() -> Column:
+    """What is read off the body of an eligible page, secrets aside."""
+    return F.when(is_eligible(), F.concat(*[F.coalesce(c, F.array()) for c in (
+        files.listing(), web.plain_resources(), web.unpinned_resources(), files.referenced_files())]))
+
+
 def content_findings(pages: DataFrame) -> DataFrame:
-    """What is found in bodies of eligible pages."""
-    html = pages.filter(F.col("content_type").contains("text/html"))
-    return union_findings(
-        files.directory_listings(html), web.mixed_content(html), web.missing_sri(html),
-        secrets.secret_findings(pages, "body"), files.file_references(pages))
+    """All content checks and secrets of eligible pages."""
+    return union_findings(detect(pages, content_checks()), secrets.secret_findings(eligible(pages), "body"))
 
 
-def audit_findings(root: DataFrame) -> DataFrame:
-    """Posture of the captured roots."""
-    html = root.filter(F.col("content_type").contains("text/html"))
-    return union_findings(
-        web.missing_headers(root), web.weak_nosniff(root), web.version_banners(root), web.cookie_flags(root),
-        web.mixed_content(html), web.missing_sri(html))
+def capture_checks() -> list[Column]:
+    """Every check that needs one capture only; the probe kind decides which apply."""
+    root = F.col("probe") == "root"
+    page = F.col("probe").isin("page", "root")
+    # on a root these two belong to the audit, which a catch-all answer does not silence
+    resources = [web.plain_resources(stage=STAGE_AUDIT), web.unpinned_resources(stage=STAGE_AUDIT)]
+    posture = [*resources, web.header_gaps(), web.nosniff_value(), web.banners(), web.weak_cookies(),
+               web.technologies(), web.generators(), web.protections()]
+    return [*[F.when(root, c) for c in posture], web.cors_policy(), web.advertised_methods(),
+            F.when(page, content_checks()), F.when(page, files.exposed_file()),
+            F.when(page, params.steered_redirect())]
 
 
 def scan_captures(responses: DataFrame, tls: DataFrame | None = None, dns: DataFrame | None = None,
@@ -39,21 +49,18 @@ def scan_captures(responses: DataFrame, tls: DataFrame | None = None, dns: DataF
                   as_of: datetime | str | None = None) -> DataFrame:
     """The full life cycle over every target at once.
 
-    Catch-all pages are taken out of the content findings, not out of the
+    All checks that look at one capture run in one pass, the secret scan in a
+    second one.  Catch-all pages are taken out of the findings, not out of the
     captures, so page bodies are read where they lie and never shuffled.
     """
     pages = responses.filter(F.col("probe").isin("page", "root"))
-    root = responses.filter(F.col("probe") == "root")
     catch_all = soft404.soft404_pages(pages.filter(F.col("status_code") == 200),
                                       soft404.baseline_signatures(responses))
-    content = union_findings(content_findings(eligible(pages)), files.exposed_files(pages))
-    frames = [
-        audit_findings(root), web.cors_issues(responses), web.risky_methods(responses),
-        endpoints.security_txt_missing(responses), endpoints.graphql_introspection(responses),
-        web.tech_fingerprints(root), web.meta_generators(root), web.waf_detections(root),
-        soft404.drop_soft404(content, catch_all).select(*content.columns),
-        params.open_redirects(pages),
-    ]
+    captured = union_findings(detect(responses, *capture_checks()),
+                              secrets.secret_findings(eligible(pages), "body"))
+    content = (F.col("stage_ord") == STAGE_CRAWL) & (F.col("category") != "open_redirect")
+    frames = [soft404.drop_soft404(captured, catch_all, content),
+              endpoints.security_txt_missing(responses), endpoints.graphql_introspection(responses)]
     if tls is not None:
         if as_of is None:
             raise ValueError("TLS findings need as_of")

@@ -165,6 +165,11 @@ _VIEWS = {
                {_FILE_BODY} AS body, cast(@bytes({_FILE_BODY}) as bigint) AS body_bytes
         FROM {{pages}}"""),
     "link_pages": (f"SELECT page_id, {_ORIGIN} AS target, url, {_LINKS} AS body FROM {{pages}}"),
+    "word_captures": (f"""
+        SELECT page_id, {_ORIGIN} AS target, {_ORIGIN} || '/' || CASE page_id % 11 WHEN 0 THEN 'admin' WHEN 1 THEN 'admin/'
+                 WHEN 2 THEN 'de.tar.gz' WHEN 3 THEN 'api/v1.json' WHEN 4 THEN 'backup.zip' WHEN 5 THEN 'backup.zip/'
+                 WHEN 6 THEN 'other.php' WHEN 7 THEN '.git/config' WHEN 8 THEN 'fr.php.bak' WHEN 9 THEN '' ELSE 'en.env' END AS url
+        FROM {{pages}}"""),
     "redirects": (f"""
         SELECT page_id, {_ORIGIN} AS target, true AS redirected,
                {_ORIGIN} || '/go?' || CASE page_id % 6
@@ -217,7 +222,7 @@ _VIEWS = {
                     WHEN hx = '7' THEN 'not a date' ELSE 'Dec 31 23:59:59 2026 GMT' END AS not_after,
                CASE WHEN hx IN ('a', 'b') THEN 'certificate has expired' END AS verify_error
         FROM hosts WHERE target LIKE 'https:%'"""),
-    "domains": ("SELECT DISTINCT regexp_extract(target, '([a-z0-9-]+[.][a-z0-9-]+)$', 1) AS domain, regexp_extract(target, '^https?://([^/?#]+)', 1) AS host, hx FROM hosts"),
+    "domains": ("SELECT domain, host, substring(md5(host), 1, 1) AS hx FROM (SELECT DISTINCT regexp_extract(target, '([a-z0-9-]+[.][a-z0-9-]+)$', 1) AS domain, regexp_extract(target, '^https?://([^/?#]+)', 1) AS host FROM hosts) x"),
     "ct": (f"""
         SELECT domain, '*.' || host || {_NL} || ' WWW.' || upper(host) || ' ' || {_NL} || domain || {_NL} || 'bad' || domain || {_NL} || 'else.test' AS name_value
         FROM domains"""),

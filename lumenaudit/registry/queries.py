@@ -262,9 +262,7 @@ def candidate_urls(spark, sf):
 
 
 def candidate_hits(spark, sf):
-    plain = F.regexp_replace("url", "[?#].*$", "")
-    d = view(spark, sf, "link_pages").select("target", plain.alias("url"))
-    return discovery.candidate_hits(d, _words(spark))
+    return discovery.candidate_hits(view(spark, sf, "word_captures"), _words(spark))
 
 
 def common_seeds(spark, sf):
@@ -311,7 +309,7 @@ def content_without_soft404(spark, sf):
 
 def content_scan(spark, sf):
     """All content checks over eligible captures."""
-    return O.deduplicate(O.enrich(content_findings(eligible(_captures(spark, sf))))).select(*_KEY)
+    return O.deduplicate(O.enrich(content_findings(_captures(spark, sf)))).select(*_KEY)
 
 
 # --- recon -------------------------------------------------------------------
@@ -381,14 +379,19 @@ def report_json(spark, sf):
     return reports.report_json(reports.report_header(_report(spark, sf), _targets(spark, sf)))
 
 
+def _landed(spark, frame, name):
+    """Writes a table to the shared folder, as acquisition would, and reads it back."""
+    path = _run_folder(spark, name)
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
 def full_scan(spark, sf):
     """The whole life cycle over all planted captures and observations, counted."""
     parts = ["captures", "file_captures", "redirects", "cors_probes", "options_probes", "endpoint_probes", "baselines"]
     responses = O.union_findings(*[conform(view(spark, sf, p)) for p in parts])
-    found = scan_captures(
-        responses, tls=view(spark, sf, "tls"), dns=view(spark, sf, "dns"), ct=view(spark, sf, "ct"),
-        ports=view(spark, sf, "ports"), words=_words(spark, LABELS), probe_results=view(spark, sf, "probe_results"),
-        as_of=AS_OF)
+    obs = {n: _landed(spark, view(spark, sf, n), n) for n in ("tls", "dns", "ct", "ports", "probe_results")}
+    found = scan_captures(_landed(spark, responses, "captures"), words=_words(spark, LABELS), as_of=AS_OF, **obs)
     return O.category_counts(found)
 
 
@@ -424,8 +427,8 @@ def stream_dedup(spark, sf):
 
 
 def stream_dedup_watermark(spark, sf):
-    """Keys within a watermark; the event time follows the key, all within one day."""
-    texts = _stream_texts(spark, sf).withColumn("seen", F.timestamp_seconds(F.col("doc_id") % 86400))
+    """Keys within a watermark; the event time follows the key."""
+    texts = _stream_texts(spark, sf).withColumn("seen", F.timestamp_seconds(F.col("doc_id") + 1_700_000_000))
     s = streams.deduplicated(streams.stream_findings(texts, time="seen"), "1 day")
     return _run(spark, s.select("target", "url", "category", "value_key"), "window")
 

@@ -56,11 +56,23 @@ _FINDING = (
     ("detector_ord", "int", 0),
     ("match_ord", "int", 0),
 )
-FINDING = T.StructType([
-    T.StructField(n, {"string": T.StringType(), "int": T.IntegerType(), "boolean": T.BooleanType()}[t])
-    for n, t, _ in _FINDING
-])
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "boolean": T.BooleanType()}
+FINDING = T.StructType([T.StructField(n, _TYPES[t]) for n, t, _ in _FINDING])
 FINDING_COLUMNS = tuple(n for n, _, _ in _FINDING)
+_ROW = ("target", "source_id")          # taken from the row, not from the detection
+_NONE = "cast(array() AS array<struct<" + ",".join(f"{n}:{t}" for n, t, _ in _FINDING if n not in _ROW) + ">>)"
+
+
+def _filled(fields: dict, skip: tuple = ()) -> list[Column]:
+    unknown = set(fields) - set(FINDING_COLUMNS)
+    if unknown:
+        raise ValueError(f"not finding columns: {sorted(unknown)}")
+    out = []
+    for name, dtype, default in _FINDING:
+        if name not in skip:
+            v = fields.get(name, default)
+            out.append((v if isinstance(v, Column) else F.lit(v)).cast(dtype).alias(name))
+    return out
 
 
 def finding(df: DataFrame, carry: tuple = (), **fields) -> DataFrame:
@@ -72,11 +84,17 @@ def finding(df: DataFrame, carry: tuple = (), **fields) -> DataFrame:
     """
     if "target" not in fields and "target" in df.columns:
         fields["target"] = F.col("target")
-    unknown = set(fields) - set(FINDING_COLUMNS)
-    if unknown:
-        raise ValueError(f"not finding columns: {sorted(unknown)}")
-    out = []
-    for name, dtype, default in _FINDING:
-        v = fields.get(name, default)
-        out.append((v if isinstance(v, Column) else F.lit(v)).cast(dtype).alias(name))
-    return df.select(*out, *carry)
+    return df.select(*_filled(fields), *carry)
+
+
+def found(**fields) -> Column:
+    """One detection within a row, as a struct; arrays of these go to ``detect``."""
+    return F.struct(*_filled(fields, _ROW))
+
+
+def detect(df: DataFrame, *detections: Column) -> DataFrame:
+    """All detections of all given arrays as findings, in one pass over the rows."""
+    arrays = [F.coalesce(a, F.expr(_NONE)) for a in detections]
+    source = [F.col("source_id") if "source_id" in df.columns else F.lit(None).cast("string").alias("source_id")]
+    d = df.select("target", *source, F.inline(F.concat(*arrays) if len(arrays) > 1 else arrays[0]))
+    return d.select(*FINDING_COLUMNS)

@@ -46,13 +46,17 @@ def stream_captures(spark: SparkSession, path: str, fmt: str = "parquet", **opti
     return conform(spark.readStream.schema(RESPONSE).format(fmt).options(**options).load(path))
 
 
+def is_eligible(max_bytes: int = C.MAX_BODY_BYTES) -> Column:
+    return ((F.col("status_code") == 200) & (F.col("body_bytes") <= max_bytes)
+            & X.contains_any(F.lower(F.col("content_type")), C.TEXT_TYPES))
+
+
 def eligible(responses: DataFrame, max_bytes: int = C.MAX_BODY_BYTES) -> DataFrame:
     """Answers that count as text: status 200, known type, at most ``max_bytes``.
 
     Status and size are plain column tests and reach the file scan.
     """
-    return responses.filter((F.col("status_code") == 200) & (F.col("body_bytes") <= max_bytes)
-                            & X.contains_any(F.lower(F.col("content_type")), C.TEXT_TYPES))
+    return responses.filter(is_eligible(max_bytes))
 
 
 def scan_window(df: DataFrame, column: str = "body", chars: int = C.SCAN_WINDOW_CHARS) -> DataFrame:
