@@ -81,10 +81,26 @@ def _esc(expr: str) -> str:
     return expr
 
 
+def _raw_lines(view: str, extra: str = "") -> str:
+    """All matches with their context, line by line; right where no match spans lines."""
+    cols = "url" + (", " + extra if extra else "")
+    parts = [
+        f"SELECT {cols}, pos, n, line, {_s(d.category)} AS category, {i} AS detector_ord, {_s(d.confidence)} AS confidence, "
+        f"generate_subscripts(v, 1) AS k, unnest(v) AS value, unnest(w) AS whole FROM "
+        f"(SELECT *, regexp_extract_all(line, {_s(d.pattern)}, {d.group}) AS v, regexp_extract_all(line, {_s(d.pattern)}, 0) AS w FROM tl)"
+        for i, d in enumerate(C.DETECTORS)]
+    return (f"tl AS (SELECT {cols}, generate_subscripts(l, 1) AS pos, len(l) AS n, unnest(l) AS line "
+            f"FROM (SELECT {cols}, string_split(text, chr(10)) AS l FROM {view})),\n"
+            f"tm AS (" + " UNION ALL ".join(parts) + "),\n"
+            f"raw AS (SELECT *, row_number() OVER (PARTITION BY url, detector_ord ORDER BY pos, k) - 1 AS match_ord, "
+            f"left(trim(CASE WHEN pos < n THEN line ELSE left(line, strpos(line, whole) - 1 + length(whole) + 80) END), 160) AS context FROM tm)")
+
+
 _DOCS = duck_with("docs") + ", " + _raw("docs", "target")
 _FOUND = _DOCS + "," + _VALID
 # planted shapes stand on lines of their own, so the text has no context column here
 _KEPT = _FOUND + ", valid_c AS (SELECT *, '' AS context FROM valid)," + _DEDUP
+_KEPT_LINES = duck_with("docs") + ", " + _raw_lines("docs", "target") + "," + _VALID + ", valid_c AS (SELECT * FROM valid)," + _DEDUP
 _KEY = "target, url, category, value, confidence"
 
 _HDR = """
@@ -275,6 +291,10 @@ ORACLES["secret_entropy"] = _DOCS + f"""
 SELECT url, detector_ord::INT AS detector_ord, match_ord::INT AS match_ord, round({_ENTROPY.format(v="value")}, 6) AS entropy
 FROM raw WHERE category IN ({_list(C.ENTROPY_CATEGORIES)})"""
 ORACLES["finding_context"] = _CONTEXT
+ORACLES["finding_context_all"] = duck_with("context_docs") + ", " + _raw_lines("context_docs") + """
+SELECT url, category, detector_ord::INT AS detector_ord, match_ord::INT AS match_ord, value, context FROM raw"""
+ORACLES["corpus_findings"] = _KEPT_LINES + f"""
+SELECT {_KEY}, {_cwe('category')} AS cwe_id, context FROM kept"""
 ORACLES["finding_dedup"] = _KEPT + f"""
 SELECT {_KEY}, detector_ord::INT AS detector_ord, match_ord::INT AS match_ord FROM kept"""
 ORACLES["findings_enriched"] = _FOUND + f"""
@@ -449,6 +469,16 @@ SELECT target, url, category, shown AS value, confidence FROM valid v WHERE NOT
   SELECT 1 FROM (SELECT target, url, {_FP} AS fp FROM soft_pages) s JOIN (SELECT target, {_FP} AS fp FROM baselines) b ON s.target = b.target AND s.fp = b.fp
   WHERE s.target = v.target AND s.url = v.url)"""
 
+_ELIGIBLE = f"status_code = 200 AND body_bytes <= 10000000 AND {_any('lower(content_type)', C.TEXT_TYPES)}"
+ORACLES["content_scan"] = (
+    duck_with("captures") + f", p AS (SELECT target, url, body AS text FROM captures WHERE {_ELIGIBLE}), "
+    + _raw("p", "target") + "," + _VALID + f"""
+SELECT target, url, category, shown AS value, arg_min(confidence, detector_ord * 100000 + match_ord) AS confidence FROM valid GROUP BY ALL
+UNION ALL SELECT {_KEY} FROM ({ORACLES["directory_listing"]}) WHERE url IN (SELECT url FROM p)
+UNION ALL SELECT {_KEY} FROM ({ORACLES["mixed_content"]}) WHERE url IN (SELECT url FROM p)
+UNION ALL SELECT {_KEY} FROM ({ORACLES["missing_sri"]}) WHERE url IN (SELECT url FROM p)
+UNION ALL SELECT target, url, category, value, 'low' FROM ({ORACLES["file_references"]}) WHERE url IN (SELECT url FROM p)""")
+
 ORACLES["ct_subdomains"] = duck_with("ct", "dns") + """,
 n AS (SELECT DISTINCT domain, ltrim(lower(trim(unnest(string_split(name_value, chr(10))))), '*.') AS host FROM ct)
 SELECT 'https://' || domain AS target, 'https://' || host AS url, 'subdomain_found' AS category,
@@ -491,6 +521,16 @@ h AS (SELECT *, row_number() OVER (PARTITION BY target, url, param_index ORDER B
 SELECT target, test_url AS url, 'ssti' AS category, 'Possible Server-Side Template Injection: parameter ''' || param || ''' evaluates ''' || payload || ''' to ' || n AS value,
   'high' AS confidence, 'Injected: ' || payload || chr(10) || 'Evaluated to: ' || n AS evidence FROM h WHERE rn = 1"""
 
+_CELLS = "".join([
+    "'<td class=''mono url''>' || " + _esc("url"), " || '</td><td class=''mono val''>' || " + _esc("value"),
+    " || '</td><td class=''mono ev''>&mdash;</td><td class=''mono ctx''>' || " + _esc("context"),
+    " || '</td><td class=''mono rem''>' || " + _esc(_s("<advice> & 'more'")) + " || '</td></tr>'"])
+ORACLES["report_csv_rows"] = _KEPT_LINES + f"""
+SELECT {_cwe('category')} AS cwe_id, category, confidence, {_risk('category')} AS risk, url, value, '' AS content_type, '' AS status_code,
+  context, '' AS evidence, '' AS informational FROM kept"""
+ORACLES["report_html_rows"] = _KEPT_LINES + f"""
+SELECT target, '<tr><td><span class=''pill cwe''>' || {_cwe('category')} || '</span><br/><span class=''pill ' || lower({_risk('category')}) || chr(39) || '>' || category ||
+  '</span></td><td>' || confidence || '</td>' || {_CELLS} AS row FROM kept"""
 ORACLES["report_html_summary"] = _KEPT + f"""
 SELECT target, '<tr><td>' || category || '</td><td class=''num''>' || n::VARCHAR || '</td><td><span class=''pill ' || lower(risk) || '''>' || risk || '</span></td></tr>' AS row
 FROM (SELECT target, category, {_risk('category')} AS risk, count(*) AS n FROM kept GROUP BY ALL)"""
@@ -501,5 +541,6 @@ FROM verdict v LEFT JOIN per p USING (target) GROUP BY ALL"""
 
 ORACLES["stream_scan"] = ORACLES["secret_findings_valid"]
 ORACLES["stream_dedup"] = _KEPT + "\nSELECT target, url, category, left(value, 200) AS value_key FROM kept"
+ORACLES["stream_dedup_watermark"] = ORACLES["stream_dedup"]
 ORACLES["stream_counts"] = _KEPT + "\nSELECT target, category, count(*)::BIGINT AS n FROM kept GROUP BY ALL"
 ORACLES["stream_verdicts"] = ORACLES["overall_risk"]

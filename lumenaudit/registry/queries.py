@@ -35,9 +35,9 @@ def _found(spark, sf, context=False):
     return secrets.secret_findings(view(spark, sf, "docs"), context=context)
 
 
-def _report(spark, sf):
+def _report(spark, sf, context=False):
     """Enriched, de-duplicated findings of the planted documents."""
-    return O.finalise(_found(spark, sf))
+    return O.finalise(_found(spark, sf, context))
 
 
 def _targets(spark, sf):
@@ -75,7 +75,7 @@ def finding_context(spark, sf):
 
 def finding_context_all(spark, sf):
     m = secrets.secret_matches(view(spark, sf, "context_docs").select("url", "text"), context=True)
-    return m.select("url", "category", "detector_ord", "match_ord", "match_start", "value", "context")
+    return m.select("url", "category", "detector_ord", "match_ord", "value", "context")
 
 
 def finding_dedup(spark, sf):
@@ -356,11 +356,11 @@ def probe_template_eval(spark, sf):
 # --- reports -----------------------------------------------------------------
 
 def report_csv_rows(spark, sf):
-    return reports.csv_rows(_report(spark, sf)).drop("remediation", "pattern")
+    return reports.csv_rows(_report(spark, sf, context=True)).drop("remediation", "pattern")
 
 
 def report_html_rows(spark, sf):
-    d = _report(spark, sf).withColumn("remediation", F.lit("<advice> & 'more'"))
+    d = _report(spark, sf, context=True).withColumn("remediation", F.lit("<advice> & 'more'"))
     return reports.html_rows(d)
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenaudit.functions.text import sql_text
+
 HEADERS = T.ArrayType(T.StructType([
     T.StructField("name", T.StringType()),
     T.StructField("value", T.StringType()),
@@ -63,7 +65,16 @@ _ROW = ("target", "source_id")          # taken from the row, not from the detec
 _NONE = "cast(array() AS array<struct<" + ",".join(f"{n}:{t}" for n, t, _ in _FINDING if n not in _ROW) + ">>)"
 
 
+def _constant(value, dtype: str) -> str:
+    if value is None:
+        return f"cast(NULL AS {dtype})"
+    if dtype == "string":
+        return sql_text(str(value))
+    return str(value).lower()
+
+
 def _filled(fields: dict, skip: tuple = ()) -> list[Column]:
+    """All finding columns in order; constants as SQL text, which is cheap to build."""
     unknown = set(fields) - set(FINDING_COLUMNS)
     if unknown:
         raise ValueError(f"not finding columns: {sorted(unknown)}")
@@ -71,7 +82,7 @@ def _filled(fields: dict, skip: tuple = ()) -> list[Column]:
     for name, dtype, default in _FINDING:
         if name not in skip:
             v = fields.get(name, default)
-            out.append((v if isinstance(v, Column) else F.lit(v)).cast(dtype).alias(name))
+            out.append(v.alias(name) if isinstance(v, Column) else F.expr(f"{_constant(v, dtype)} AS {name}"))
     return out
 
 
@@ -84,7 +95,10 @@ def finding(df: DataFrame, carry: tuple = (), **fields) -> DataFrame:
     """
     if "target" not in fields and "target" in df.columns:
         fields["target"] = F.col("target")
-    return df.select(*_filled(fields), *carry)
+    d = df.select(*_filled(fields), *carry)
+    types = dict(d.dtypes)
+    wrong = {n: F.col(n).cast(t) for n, t, _ in _FINDING if types[n] != t}
+    return d.withColumns(wrong) if wrong else d
 
 
 def found(**fields) -> Column:
