@@ -16,6 +16,15 @@ _HEAD_CHARS = 64      # holds the longest name, a quote and blanks up to ...
 _HEAD_MIN = 24        # ... where fewer other characters than this remain
 
 
+def _scan_pattern(det: C.Detector) -> str:
+    """The detector's pattern for scanning.
+
+    An optional quote in front of a name changes neither value nor line, but
+    costs an attempt at every position; it is left out.
+    """
+    return X.java_pattern(det.pattern.replace("""(?i)["\\']?""", "(?i)", 1))
+
+
 def _heads() -> str:
     """What stands before each equals sign or colon, case-folded, as one short text.
 
@@ -65,12 +74,12 @@ def secret_matches(df: DataFrame, text: str = "text", detectors=C.DETECTORS,
     hits = []
     for i, det in enumerate(detectors):
         hit = (f"named_struct('detector_ord', {i}, "
-               f"'_m', regexp_extract_all(_t, {q(X.java_pattern(det.pattern))}, 0))")
+               f"'_m', regexp_extract_all(_t, {q(_scan_pattern(det))}, 0))")
         hits.append(f"CASE WHEN {_gate(det)} THEN {hit} END" if gate else hit)
     carried = [*keep, "_t"] if context else keep
     d = d.select(*carried, F.expr(f"explode(array_compact(array({', '.join(hits)})))").alias("_hit"))
     d = d.select(*carried, "_hit.detector_ord", "_hit._m")
-    pattern = _constant([q(X.java_pattern(x.pattern)) for x in detectors], "detector_ord")
+    pattern = _constant([q(_scan_pattern(x)) for x in detectors], "detector_ord")
     group = _constant([x.group for x in detectors], "detector_ord")
     extra = []
     if context:
@@ -107,26 +116,28 @@ def _with_context(d: DataFrame, keep: list[str], pattern: Column) -> DataFrame:
         F.col("_t"), F.concat(F.lit(r"(?s)\G.*?(?-s:"), pattern, F.lit(")")), F.lit(0))
     d = d.withColumn("_z", F.arrays_zip(spans.alias("span"), F.col("_m").alias("m")))
     blank = q(X.SPACES)
-    gap = "left(x.span, length(x.span) - length(x.m))"
-    in_front = (f"CASE WHEN contains({gap}, '\\n') THEN substring_index({gap}, '\\n', -1) "
-                f"ELSE concat(a.line, {gap}) END")
-    shown = f"left(ltrim({blank}, {in_front}), {w})"
+    # what the folds need of a gap: whether it breaks the line, its first and its last line
+    d = d.withColumn("_z", F.expr("""transform(
+        transform(_z, z -> named_struct('n', length(z.span), 'k', length(z.m), 'm', z.m,
+                                        'gap', left(z.span, length(z.span) - length(z.m)))),
+        z -> named_struct('n', z.n, 'k', z.k, 'm', z.m, 'cut', contains(z.gap, '\n'),
+                          'head', substring_index(z.gap, '\n', 1), 'last', substring_index(z.gap, '\n', -1)))"""))
+    shown = f"left(ltrim({blank}, CASE WHEN x.cut THEN x.last ELSE concat(a.line, x.last) END), {w})"
     fronts = F.expr(f"""aggregate(_z,
         named_struct('pos', 0, 'line', '', 'out', cast(array() AS array<struct<start:int,front:string>>)),
         (a, x) -> named_struct(
-            'pos', a.pos + length(x.span),
-            'line', CASE WHEN contains(x.m, '\\n') THEN substring_index(x.m, '\\n', -1)
+            'pos', a.pos + x.n,
+            'line', CASE WHEN contains(x.m, '\n') THEN substring_index(x.m, '\n', -1)
                          ELSE concat({shown}, x.m) END,
-            'out', array_append(a.out, named_struct('start', a.pos + length(x.span) - length(x.m),
-                                                    'front', {shown}))),
+            'out', array_append(a.out, named_struct('start', a.pos + x.n - x.k, 'front', {shown}))),
         a -> a.out)""")
-    rest = "substring(_t, aggregate(_z, 0, (n, x) -> n + length(x.span)) + 1)"
+    rest = "substring(_t, aggregate(_z, 0, (n, x) -> n + x.n) + 1)"
     behind = f"""CASE
-        WHEN contains({gap}, '\\n') THEN rtrim({blank}, substring_index({gap}, '\\n', 1))
-        WHEN contains(x.m, '\\n') THEN concat({gap}, rtrim({blank}, substring_index(x.m, '\\n', 1)))
-        ELSE concat({gap}, x.m, a.tail) END"""
+        WHEN x.cut THEN rtrim({blank}, x.head)
+        WHEN contains(x.m, '\n') THEN concat(x.head, rtrim({blank}, substring_index(x.m, '\n', 1)))
+        ELSE concat(x.head, x.m, a.tail) END"""
     tails = F.expr(f"""reverse(aggregate(reverse(_z),
-        named_struct('tail', left(rtrim({blank}, substring_index({rest}, '\\n', 1)), {w}),
+        named_struct('tail', left(rtrim({blank}, substring_index({rest}, '\n', 1)), {w}),
                      'out', cast(array() AS array<string>)),
         (a, x) -> named_struct('tail', left({behind}, {w}), 'out', array_append(a.out, a.tail)),
         a -> a.out))""")
