@@ -315,7 +315,7 @@ SELECT target, count(DISTINCT url) AS urls_scanned, 0::BIGINT AS errors FROM cap
 
 ORACLES["file_references"] = duck_with("captures") + f"""
 SELECT DISTINCT target, url, 'sensitive_file_reference' AS category, value FROM (
-  SELECT target, url, unnest(regexp_extract_all(body, {_s('(?i)' + C.FILE_REFERENCE)}, 1)) AS value FROM captures)
+  SELECT target, url, unnest(regexp_extract_all(body, {_s(C.FILE_REFERENCE)}, 1)) AS value FROM captures)
 WHERE length(value) <= 200 AND (regexp_matches(lower(value), '[.](env|sql|bak|backup|old|log|pem|key|crt|cert|pfx|sqlite|db|mdb|dump|yml|yaml|ini|conf|config|htaccess)$')
    OR regexp_extract(lower(value), '[^/]*$', 0) IN ({_list(C.REFERENCE_NAMES)}))"""
 ORACLES["exposed_files"] = duck_with("file_captures") + f""",

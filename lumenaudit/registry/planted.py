@@ -107,7 +107,7 @@ _BODY = "html || " + _pick("page_id % 7", {
     2: """'<meta name="generator" content="Builder ' || cast(page_id % 5 as string) || '">' || '<p>/wp-content/x</p>'""",
     3: """'<title>Index of /files</title><a href="../">Parent Directory</a>'""",
     4: """'<div data-reactroot></div><script src="/_next/static/x.js"></script>'""",
-    5: """'"backup/db.sql" (conf/app.yml) "note.txt" "old/wp-config.php.bak" "backup/db.sql" ' || 'Drupal.settings'""",
+    5: """'"backup/db.sql" (conf/app.yml) "note.txt" "old/wp-config.PHP.Bak" "backup/db.sql" ' || 'Drupal.settings'""",
 }, "'<p>nothing</p>'")
 
 _FILE_NAME = _pick("page_id % 14", {

@@ -32,6 +32,8 @@ def conform(df: DataFrame) -> DataFrame:
         c = F.col(f.name) if f.name in d.columns else defaults.get(f.name, F.lit(None))
         if f.name == "content_type":
             c = F.lower(c)
+        if f.name == "headers":
+            c = F.coalesce(c.cast(f.dataType), F.array().cast(f.dataType))
         out.append(c.cast(f.dataType).alias(f.name))
     return d.select(*out)
 
