@@ -150,5 +150,6 @@ def resolve_all(base: Column, hrefs: Column) -> Column:
     quick = F.transform(F.filter(hrefs, easy),
                         lambda h: F.when(h.startswith("/"), F.concat(_origin(base), h)).otherwise(h))
     odd = F.filter(hrefs, lambda h: ~easy(h))
-    rest = F.coalesce(_resolve_many(base, F.when(F.size(odd) > 0, odd)), F.array().cast("array<string>"))
+    some = F.size(odd) > 0
+    rest = F.coalesce(_resolve_many(F.when(some, base), F.when(some, odd)), F.array().cast("array<string>"))
     return F.transform(F.concat(quick, rest), lambda u: before_first(u, "#"))

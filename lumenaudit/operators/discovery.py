@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ _LINK = (
 )
 _SKIPPED = ("#", "mailto:", "tel:", "javascript:", "data:")
 MAX_INLINE_WORDS = 20_000
+# A relative path that needs no resolution: no dot segments, no doubled slashes, no special characters.
+_PLAIN_VARIANT = re.compile(r"(?:(?!\.{1,2}(?:/|$))[^\s/?#;&:%\\]+/)*(?!\.{1,2}$)[^\s/?#;&:%\\]*$")
 
 
 def links(pages: DataFrame, body: str = "body") -> DataFrame:
@@ -106,10 +110,14 @@ def candidate_urls(targets: DataFrame, words, extensions=None) -> DataFrame:
     if len(words) > MAX_INLINE_WORDS:
         raise ValueError(f"{len(words)} words; use candidate_hits for more than {MAX_INLINE_WORDS}")
     variants = word_variants(words, extensions)
-    base = F.concat(_base(F.col("target")), F.lit("/"))
-    d = targets.select("target", base.alias("_b"), F.explode(F.array(*[F.lit(v) for v in variants])).alias("_v"))
-    return d.select("target", U.resolve(F.col("_b"), F.concat(F.lit("./"), F.col("_v")), keep_fragment=True,
-                                        relative=True).alias("url")).distinct()
+    plain = all(_PLAIN_VARIANT.match(v) for v in variants)
+    every = F.explode(F.expr(f"array({', '.join(map(X.sql_text, variants))})")).alias("_v")
+    d = targets.select("target").distinct() \
+        .select("target", F.concat(_base(F.col("target")), F.lit("/")).alias("_b"), every)
+    if plain:
+        return d.select("target", F.concat("_b", "_v").alias("url"))
+    href = F.concat(F.lit("./"), F.col("_v"))
+    return d.select("target", U.resolve(F.col("_b"), href, keep_fragment=True, relative=True).alias("url")).distinct()
 
 
 def candidate_hits(captures: DataFrame, words: DataFrame, extensions=None) -> DataFrame:
@@ -166,6 +174,9 @@ def crawl(seeds: DataFrame, edges: DataFrame, depth: int = C.DEFAULT_DEPTH,
     if depth <= 0:
         return level
     level = cut_lineage(level)
+    if depth > 1:
+        # every level looks the links up; extract them from the pages once
+        edges = cut_lineage(edges)
     visited = level
     for d in range(1, depth + 1):
         front = level.select("target", F.col("url").alias("src"))

@@ -50,19 +50,19 @@ def tls_issues(observations: DataFrame, as_of: datetime | str) -> DataFrame:
 def security_txt_missing(responses: DataFrame) -> DataFrame:
     """Targets without a usable security.txt, from captures of probe kind ``securitytxt``.
 
-    One aggregation over all captures: its partial step leaves one row per
-    target and task, whatever the size of a target.
+    The list of targets reads no other column, and bodies are read of that
+    probe kind only; both sides are aggregated before they meet.
     """
     base = F.regexp_replace("target", "/+$", "")
     ok = (F.col("status_code") == 200) & F.col("body").rlike(r"(?U)[^\s\x1c-\x1f]")
-    mine = F.col("probe") == "securitytxt"
     tried = []
     for i, p in enumerate(C.SECURITY_TXT_PATHS):
-        here = mine & (F.col("url") == F.concat(base, F.lit(p)))
+        here = F.col("url") == F.concat(base, F.lit(p))
         line = F.concat(F.col("status_code"), F.lit(" "), F.col("url"))
         tried.append(F.min(F.when(here, line)).alias(f"_p{i}"))
-    d = responses.groupBy("target").agg(
-        F.coalesce(F.bool_or(mine & ok), F.lit(False)).alias("_ok"), *tried).filter(~F.col("_ok"))
+    seen = responses.filter(F.col("probe") == "securitytxt").groupBy("target").agg(F.bool_or(ok).alias("_ok"), *tried)
+    d = responses.select("target").distinct().join(seen, "target", "left")
+    d = d.filter(~F.coalesce("_ok", F.lit(False)))
     evidence = F.array_join(F.array(*[F.col(f"_p{i}") for i in range(len(tried))]), "\n")
     return finding(d, url=F.col("target"), category="security_txt_missing",
                    value="No security.txt found at /.well-known/security.txt or /security.txt",

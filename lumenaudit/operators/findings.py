@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenaudit import catalog as C
 from lumenaudit.advice import REMEDIATION
-from lumenaudit.functions.skew import first_per_key
+from lumenaudit.functions.skew import SALTS
 from lumenaudit.schemas import FINDING_COLUMNS
 
 
@@ -69,22 +69,30 @@ def totals(findings: DataFrame) -> DataFrame:
         F.count_if(~F.col("informational")).alias("actionable_findings"))
 
 
-def overall_risk(findings: DataFrame, targets: DataFrame) -> DataFrame:
-    """Verdict per target; targets without findings get NONE.
+def summaries(findings: DataFrame, targets: DataFrame) -> DataFrame:
+    """Totals, category counts, score and verdict per target, from one pass over the findings.
 
-    The score is kept in tenths, so it is exact and does not depend on order.
+    The first grouping leaves at most one row per target and category, so what
+    the second one gathers is bounded by the number of categories.  The score
+    is kept in tenths: exact and independent of order.  Targets without
+    findings get the verdict NONE.
     """
     tenths = F.coalesce(_lookup(C.CONFIDENCE_TENTHS, F.col("confidence")), F.lit(4))
-    per = findings.filter(~F.col("informational")).groupBy("target", "category").agg(
-        F.count("*").alias("_n"), F.max(tenths).alias("_conf"))
+    todo = ~F.col("informational")
+    per = findings.groupBy("target", "category").agg(
+        F.count("*").alias("n"), F.count_if(todo).alias("_todo"), F.max(F.when(todo, tenths)).alias("_conf"))
     risk = risk_of(F.col("category"))
     weight = F.coalesce(_lookup(C.RISK_WEIGHT, risk), F.lit(0))
+    some = F.col("_todo") > 0
     per = per.groupBy("target").agg(
-        F.sum(weight * F.least(F.col("_n"), F.lit(C.SCORE_VOLUME_CAP)) * F.col("_conf")).alias("_score"),
-        F.bool_or(risk == "HIGH").alias("_high"),
-        F.bool_or((risk == "HIGH") & (F.col("_conf") >= 7)).alias("_severe"))
+        F.sum("n").alias("total_findings"), F.sum(F.col("n") - F.col("_todo")).alias("informational_findings"),
+        F.sum("_todo").alias("actionable_findings"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n")))).alias("category_counts"),
+        F.sum(F.when(some, weight * F.least("_todo", F.lit(C.SCORE_VOLUME_CAP)) * F.col("_conf"))).alias("_score"),
+        F.bool_or(some & (risk == "HIGH")).alias("_high"),
+        F.bool_or(some & (risk == "HIGH") & (F.col("_conf") >= 7)).alias("_severe"))
     d = targets.select("target").distinct().join(per, "target", "left")
-    score = F.coalesce("_score", F.lit(0))
+    score = F.coalesce("_score", F.lit(0)).cast("long")
     high, severe = F.coalesce("_high", F.lit(False)), F.coalesce("_severe", F.lit(False))
     verdict = (F.when(severe & (score >= 80), "CRITICAL")
                .when(severe, "HIGH")
@@ -93,22 +101,37 @@ def overall_risk(findings: DataFrame, targets: DataFrame) -> DataFrame:
                .when(score >= 25, "MEDIUM")
                .when(score > 0, "LOW")
                .otherwise("NONE"))
-    return d.select("target", score.cast("long").alias("score_tenths"), verdict.alias("risk_assessment"))
+    zero = F.lit(0).cast("long")
+    return d.select(
+        "target", *[F.coalesce(c, zero).alias(c) for c in
+                    ("total_findings", "informational_findings", "actionable_findings")],
+        F.coalesce("category_counts", F.from_json(F.lit("{}"), "map<string,bigint>")).alias("category_counts"),
+        score.alias("score_tenths"), verdict.alias("risk_assessment"))
+
+
+def overall_risk(findings: DataFrame, targets: DataFrame) -> DataFrame:
+    """Verdict per target."""
+    return summaries(findings, targets).select("target", "score_tenths", "risk_assessment")
+
 
+def critical_list(findings: DataFrame, size: int = C.CRITICAL_LIST_SIZE, salts: int = SALTS) -> DataFrame:
+    """First critical findings per target, with how many more there are.
 
-def critical_list(findings: DataFrame, size: int = C.CRITICAL_LIST_SIZE) -> DataFrame:
-    """First critical findings per target, with how many more there are."""
+    Ranked and counted in slices of a target, so that one pass is enough and no
+    task sees a large target whole.
+    """
     order = _lookup({c: i for i, c in enumerate(C.CRITICAL_CATEGORIES)}, F.col("category"))
     d = findings.filter(F.col("category").isin(*C.CRITICAL_CATEGORIES)) \
         .select("target", "url", "category", "value", "stage_ord", "detector_ord", "match_ord",
-                order.alias("_ord"))
+                order.alias("_ord"), F.pmod(F.xxhash64("url"), F.lit(salts)).alias("_salt"))
     by = [F.col(c) for c in ("_ord", "stage_ord", "url", "detector_ord", "match_ord", "value")]
-    n = d.groupBy("target").agg(F.count("*").alias("_n"))
-    top = first_per_key(d, ["target"], by, size, F.col("url"))
-    top = top.withColumn("position", F.row_number().over(Window.partitionBy("target").orderBy(*by)))
-    top = top.join(n, "target")
-    return top.select("target", "position", "url", "category", "value",
-                      F.greatest(F.col("_n") - size, F.lit(0)).alias("more"))
+    one_slice, whole = Window.partitionBy("target", "_salt"), Window.partitionBy("target")
+    d = d.withColumns({"_rank": F.row_number().over(one_slice.orderBy(*by)),
+                       "_size": F.count("*").over(one_slice)}).filter(F.col("_rank") <= size)
+    d = d.withColumns({"position": F.row_number().over(whole.orderBy(*by)),
+                       "_n": F.sum(F.when(F.col("_rank") == 1, F.col("_size"))).over(whole)})
+    return d.filter(F.col("position") <= size).select(
+        "target", "position", "url", "category", "value", F.greatest(F.col("_n") - size, F.lit(0)).alias("more"))
 
 
 def scan_stats(responses: DataFrame) -> DataFrame:

@@ -99,6 +99,25 @@ def secret_matches(df: DataFrame, text: str = "text", detectors=C.DETECTORS,
     )
 
 
+def _running(items: str, start: dict, out_type: str, step: dict, out: str, chunk: int = 128) -> str:
+    """SQL for a running fold: the array of ``out`` at every item, state ``a``, item ``x``.
+
+    Appending to an array copies it, so items are folded in chunks, and the
+    chunks in an outer fold; the copying stays small for many thousand items.
+    """
+    def struct(fields):
+        return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+
+    state = {k: f"b.{k}" for k in start}
+    empty, none = f"cast(array() AS array<{out_type}>)", f"cast(array() AS array<array<{out_type}>>)"
+    inner = (f"aggregate(c, {struct({**state, 'out': empty})}, "
+             f"(a, x) -> {struct({**step, 'out': f'array_append(a.out, {out})'})}, "
+             f"r -> {struct({**{k: f'r.{k}' for k in start}, 'out': 'array_append(b.out, r.out)'})})")
+    chunks = (f"transform(sequence(0, (size({items}) - 1) div {chunk}), "
+              f"i -> slice({items}, cast(i * {chunk} + 1 AS int), {chunk}))")
+    return f"flatten(aggregate({chunks}, {struct({**start, 'out': none})}, (b, c) -> {inner}, b -> b.out))"
+
+
 def _with_context(d: DataFrame, keep: list[str], pattern: Column) -> DataFrame:
     """One row per match with ``_m.m`` (text), ``_m.start`` (offset) and ``_m.line`` (context).
 
@@ -123,26 +142,25 @@ def _with_context(d: DataFrame, keep: list[str], pattern: Column) -> DataFrame:
         z -> named_struct('n', z.n, 'k', z.k, 'm', z.m, 'cut', contains(z.gap, '\n'),
                           'head', substring_index(z.gap, '\n', 1), 'last', substring_index(z.gap, '\n', -1)))"""))
     shown = f"left(ltrim({blank}, CASE WHEN x.cut THEN x.last ELSE concat(a.line, x.last) END), {w})"
-    fronts = F.expr(f"""aggregate(_z,
-        named_struct('pos', 0, 'line', '', 'out', cast(array() AS array<struct<start:int,front:string>>)),
-        (a, x) -> named_struct(
-            'pos', a.pos + x.n,
-            'line', CASE WHEN contains(x.m, '\n') THEN substring_index(x.m, '\n', -1)
-                         ELSE concat({shown}, x.m) END,
-            'out', array_append(a.out, named_struct('start', a.pos + x.n - x.k, 'front', {shown}))),
-        a -> a.out)""")
+    fronts = F.expr(_running(
+        "_z", {"pos": "0", "line": "''"}, "struct<start:int,front:string>",
+        {"pos": "a.pos + x.n",
+         "line": f"CASE WHEN contains(x.m, '\\n') THEN substring_index(x.m, '\\n', -1) ELSE concat({shown}, x.m) END"},
+        f"named_struct('start', a.pos + x.n - x.k, 'front', {shown})"))
     rest = "substring(_t, aggregate(_z, 0, (n, x) -> n + x.n) + 1)"
     behind = f"""CASE
         WHEN x.cut THEN rtrim({blank}, x.head)
-        WHEN contains(x.m, '\n') THEN concat(x.head, rtrim({blank}, substring_index(x.m, '\n', 1)))
+        WHEN contains(x.m, '\\n') THEN concat(x.head, rtrim({blank}, substring_index(x.m, '\\n', 1)))
         ELSE concat(x.head, x.m, a.tail) END"""
-    tails = F.expr(f"""reverse(aggregate(reverse(_z),
-        named_struct('tail', left(rtrim({blank}, substring_index({rest}, '\n', 1)), {w}),
-                     'out', cast(array() AS array<string>)),
-        (a, x) -> named_struct('tail', left({behind}, {w}), 'out', array_append(a.out, a.tail)),
-        a -> a.out))""")
+    tails = F.reverse(F.expr(_running(
+        "reverse(_z)", {"tail": f"left(rtrim({blank}, substring_index({rest}, '\\n', 1)), {w})"}, "string",
+        {"tail": f"left({behind}, {w})"}, "a.tail")))
     last_break = F.expr("length(_t) - length(substring_index(_t, '\\n', -1))")
-    d = d.select(*keep, "detector_ord", last_break.alias("_break"), F.posexplode(F.arrays_zip(
+    # The break is computed per text, before the text is multiplied by its matches.  The
+    # generator gets an expression, not a column: for a column the optimizer would add a
+    # filter on its size and push copies of all of the above down with it.
+    d = d.withColumn("_break", last_break)
+    d = d.select(*keep, "detector_ord", "_break", F.posexplode(F.arrays_zip(
         F.col("_m").alias("m"), fronts.alias("f"), tails.alias("tail"))).alias("match_ord", "_x"))
     line = F.expr(f"""left(concat(_x.f.front, _x.m,
         CASE WHEN _break > _x.f.start + length(_x.m) THEN _x.tail
@@ -153,23 +171,25 @@ def _with_context(d: DataFrame, keep: list[str], pattern: Column) -> DataFrame:
 
 def is_valid(category: Column, value: Column, url: Column) -> Column:
     """Whether a match is likely real: placeholders, look-alikes and noise are not."""
-    v = X.strip(value)
-    low = F.lower(v)
-    placeholder = X.equals_any(low, C.PLACEHOLDER_VALUES) | X.contains_any(low, C.PLACEHOLDER_PARTS)
-    tld = F.substring_index(F.substring_index(low, "@", -1), ".", -1)
-    email = ~(F.coalesce(X.ends_with_any(F.lower(url), C.ASSET_URL_SUFFIXES), F.lit(False))
-              | X.equals_any(tld, C.FILE_LIKE_TLDS) | X.contains_any(low, C.RETINA_MARKS))
-    # rounded so that exact ties at the bound do not hang on the last bit
-    random_looking = (F.length(v) >= C.MIN_SECRET_LENGTH) & \
-        (F.round(X.entropy(v), 12) >= C.MIN_SECRET_ENTROPY)
-    rule = (F.when(placeholder, F.lit(False))
+    def rule(v, low):
+        placeholder = X.equals_any(low, C.PLACEHOLDER_VALUES) | X.contains_any(low, C.PLACEHOLDER_PARTS)
+        tld = F.substring_index(F.substring_index(low, "@", -1), ".", -1)
+        email = ~(F.coalesce(X.ends_with_any(F.lower(url), C.ASSET_URL_SUFFIXES), F.lit(False))
+                  | X.equals_any(tld, C.FILE_LIKE_TLDS) | X.contains_any(low, C.RETINA_MARKS))
+        # rounded so that exact ties at the bound do not hang on the last bit
+        random_looking = (F.length(v) >= C.MIN_SECRET_LENGTH) & \
+            (F.round(X.entropy(v), 12) >= C.MIN_SECRET_ENTROPY)
+        return (v != "") & (
+            F.when(placeholder, F.lit(False))
             .when(category == "emails", email)
             .when(category.isin(*C.KEEP_CATEGORIES), F.lit(True))
             .when(category.isin(*C.ENTROPY_CATEGORIES),
                   F.when(X.starts_with_any(low, C.KNOWN_PREFIXES), F.lit(True)).otherwise(random_looking))
             .when(category == "passwords", F.length(v).between(*C.PASSWORD_LENGTH))
             .otherwise(F.lit(True)))
-    return value.isNotNull() & (v != "") & rule
+
+    judged = X.bind(X.strip(value), lambda v: X.bind(F.lower(v), lambda low: rule(v, low)))
+    return value.isNotNull() & judged
 
 
 def sanitise(value: Column) -> Column:

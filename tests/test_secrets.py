@@ -105,3 +105,11 @@ def test_window_and_custom_detectors(spark):
 def test_long_text_is_scanned_whole(spark):
     d = spark.createDataFrame([("u", "word " * 450_000 + _AKIA)], "url string, text string")
     assert [r.value for r in secrets.secret_findings(d).collect()] == [_AKIA]
+
+
+def test_many_matches_in_one_text(spark):
+    for sep in (" ", "\n"):
+        text = sep.join(f"u{i}@many{i}.test and words" for i in range(3000))
+        got = secrets.secret_matches(spark.createDataFrame([("u", text)], "url string, text string"), context=True)
+        want = [(o, i, v, c) for o, i, v, c in model.matches(text)]
+        assert sorted((r.detector_ord, r.match_ord, r.value, r.context) for r in got.collect()) == want
