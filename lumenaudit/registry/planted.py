@@ -262,10 +262,11 @@ _VIEWS = {
                html || CASE WHEN page_id % 7 = 0 THEN 'ora-12345' ELSE '' END FROM recorded
         UNION ALL SELECT target, url, url || '&t=f', param_index, param, original, 'traversal', 0, 'recorded', 0, 0, 200,
                CASE WHEN page_id % 3 = 1 THEN html ELSE 'root:x:0:0:root' END, html FROM recorded
-        UNION ALL SELECT target, url, url || '&t=s' || cast(n as string), param_index, param, original, 'ssti', n, 'recorded ' || cast(n as string), 14, 17, 200,
-               CASE WHEN page_id % 5 = n THEN 'is 238 ok' WHEN page_id % 5 = 3 THEN 'is 12380' WHEN page_id % 5 = 4 THEN '(238)' ELSE html END,
+        """ + "".join(f"""UNION ALL SELECT target, url, url || '&t=s{n}', param_index, param, original, 'ssti', {n}, 'recorded {n}', 14, 17, 200,
+               CASE WHEN page_id % 5 = {n} THEN 'is 238 ok' WHEN page_id % 5 = 3 THEN 'is 12380' WHEN page_id % 5 = 4 THEN '(238)' ELSE html END,
                CASE WHEN page_id % 11 = 0 THEN 'was 238' WHEN page_id % 11 = 1 THEN 'was 2389' ELSE '' END
-               FROM recorded, (SELECT 0 AS n UNION ALL SELECT 1 UNION ALL SELECT 2) k"""),
+               FROM recorded
+        """ for n in range(3))),
 }
 
 TABLES = ("documents", "conversations", "pages")
