@@ -26,18 +26,19 @@ def local_session(cores: str = "8", app: str = "lumenaudit", **conf) -> SparkSes
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
+    """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    A temporary folder is made only for a local master without the setting.
+    Only a local master without that setting gets a folder of its own.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    made = tempfile.mkdtemp(prefix="lumenaudit-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lumenaudit-"))
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

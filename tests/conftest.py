@@ -13,9 +13,9 @@ TESTDATA = os.environ.get("TESTDATA", "/root/testdata")
 
 @pytest.fixture(scope="session")
 def spark():
-    s = local_session("4", "tests", **{"spark.sql.shuffle.partitions": "4"})
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="lumenaudit-tests-"))
+    s = local_session("4", "tests", **{
+        "spark.sql.shuffle.partitions": "4",
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="lumenaudit-tests-")})
     yield s
     s.stop()
 
