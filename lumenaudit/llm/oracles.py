@@ -1,3 +1,30 @@
 """SQL equivalents of the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP6 = f"""
+WITH docs AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+cut AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+sized AS (SELECT item_id, ws, least(10, len(ws)) AS n FROM cut WHERE len(ws) > 0),
+wins AS (
+  SELECT DISTINCT item_id, n, array_to_string(ws[i + 1 : i + n], ' ') AS said
+  FROM (SELECT item_id, n, ws, unnest(range(len(ws) - n + 1)) AS i FROM sized)),
+sizes AS (SELECT DISTINCT n FROM wins),
+places AS (
+  SELECT doc_id, n, i, array_to_string(ws[i + 1 : i + n], ' ') AS said
+  FROM (SELECT doc_id, ws, n, unnest(range(len(ws) - n + 1)) AS i FROM docs JOIN sizes ON len(ws) >= n)),
+found AS (SELECT doc_id, item_id, p.n, i FROM places p JOIN wins w ON p.n = w.n AND p.said = w.said),
+hit AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM found) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS joined
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(joined, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op6_decontaminate": OP6,
+}

@@ -4,10 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenaudit.llm import language, quality
+from lumenaudit.llm import decontaminate, language, licenses, quality
 from lumenaudit.llm.common import table
 
 
+def op2_licenses(spark, sf_dir):
+    found = licenses.license_scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["phrase"])
+    labels = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+    starts = F.transform(base, lambda s: s["first_word"])
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("bigint").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), labels(base).alias("base_labels"), labels(F.col("spans")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["share"])), F.lit(0.0)).alias("score"))
+
+
+def op6_decontaminate(spark, sf_dir):
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op7_quality(spark, sf_dir):
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -20,6 +38,8 @@ def op9_language(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_licenses": op2_licenses,
+    "op6_decontaminate": op6_decontaminate,
     "op7_quality": op7_quality,
     "op9_language": op9_language,
 }

@@ -13,7 +13,6 @@ U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SEEDED = np.random.default_rng(20240607)
 _BYTE = _SEEDED.integers(0, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-_POWERS = {1: np.ones(1, U), -1: np.ones(1, U)}
 
 #: Lower-cased word bytes: digits, letters and everything beyond ASCII.
 LETTERS = np.zeros(256, np.uint8)
@@ -28,15 +27,25 @@ SOLID[[0x20, *range(0x09, 0x0E)]] = 0
 SOLID[0] = 0xFF  # NUL is a word byte there; 0 marks separators and 0xFF stands in no UTF-8
 
 
-def powers(n: int, sign: int = 1) -> np.ndarray:
-    """Powers 0..n-1 of the base or of its inverse, kept per process."""
-    have = _POWERS[sign]
-    if len(have) < n:
-        base = _BASE if sign == 1 else pow(_BASE, -1, 2**64)
-        grown = np.full(max(n, 1 << 20), base, U)
-        grown[0] = 1
-        _POWERS[sign] = have = np.cumprod(grown)
-    return have[:n]
+class _Powers:
+    """Powers of the base and of its inverse, as far as needed; travels to tasks empty."""
+
+    def __init__(self):
+        self.have = {1: np.ones(1, U), -1: np.ones(1, U)}
+
+    def __reduce__(self):
+        return _Powers, ()
+
+    def __call__(self, n: int, sign: int = 1) -> np.ndarray:
+        """Powers 0..n-1."""
+        if len(self.have[sign]) < n:
+            grown = np.full(n + (n >> 2), _BASE if sign == 1 else pow(_BASE, -1, 2**64), U)
+            grown[0] = 1
+            self.have[sign] = np.cumprod(grown)
+        return self.have[sign][:n]
+
+
+powers = _Powers()
 
 
 def prefix(codes: np.ndarray) -> np.ndarray:
