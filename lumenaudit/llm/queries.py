@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenaudit.llm import decontaminate, language, licenses, quality
+from lumenaudit.llm import decontaminate, language, licenses, minhash, quality
 from lumenaudit.llm.common import table
 
 
@@ -37,7 +37,13 @@ def op9_language(spark, sf_dir):
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op10_minhash(spark, sf_dir):
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 QUERIES = {
+    "op10_minhash": op10_minhash,
     "op2_licenses": op2_licenses,
     "op6_decontaminate": op6_decontaminate,
     "op7_quality": op7_quality,
