@@ -25,6 +25,34 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM docs d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+OP3 = r"""
+WITH lines AS (
+  SELECT doc_id, text, i AS line, ls[i + 1] AS said
+  FROM (SELECT doc_id, text, ls, unnest(range(len(ls))) AS i FROM (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents))),
+parsed AS (
+  SELECT doc_id, text, line,
+         list_transform(regexp_extract_all(said, '[^\x20\x09-\x0D]+'), lambda t: CASE WHEN regexp_matches(t, '[0-9@]|://') THEN '<*>' ELSE t END) AS ts
+  FROM lines),
+leaves AS (
+  SELECT doc_id, text, line, array_to_string(ts, ' ') AS leaf FROM parsed WHERE len(ts) >= 4
+  UNION ALL
+  SELECT doc_id, text, line, g || '|' || len(ts) || '|' || array_to_string(list_concat(
+           ts[1 : 2 + (len(ts) - 2) * g // 5], list_concat(['|<*>|'], ts[3 + (len(ts) - 2) * (g + 1) // 5 :])), ' ') AS leaf
+  FROM (SELECT *, unnest(range(5)) AS g FROM parsed WHERE len(ts) >= 7)),
+recurring AS (
+  SELECT leaf, min(row(doc_id, line)) AS first FROM leaves GROUP BY leaf HAVING count(DISTINCT text) >= 3),
+dropped AS (
+  SELECT DISTINCT doc_id, line FROM leaves JOIN recurring USING (leaf) WHERE row(doc_id, line) <> first),
+rest AS (
+  SELECT l.doc_id, count(d.line) AS n_dropped,
+         coalesce(string_agg(CASE WHEN d.line IS NULL THEN said END, chr(10) ORDER BY l.line), '') AS kept
+  FROM lines l LEFT JOIN dropped d ON l.doc_id = d.doc_id AND l.line = d.line GROUP BY l.doc_id)
+SELECT doc_id, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped, CAST(length(coalesce(kept, '')) AS BIGINT) AS kept_chars,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN rest USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
+    "op3_lines": OP3,
     "op6_decontaminate": OP6,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenaudit.llm import decontaminate, language, licenses, minhash, quality
+from lumenaudit.llm import decontaminate, language, licenses, lines, minhash, quality
 from lumenaudit.llm.common import table
 
 
@@ -19,6 +19,15 @@ def op2_licenses(spark, sf_dir):
         F.coalesce(F.array_max(F.transform("spans", lambda s: s["share"])), F.lit(0.0)).alias("score"))
 
 
+def op3_lines(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = lines.line_dedup(docs)
+    n_dropped = F.size("dropped_lines").cast("bigint")
+    text = F.coalesce("text", F.lit(""))
+    return found.select("doc_id", n_dropped.alias("n_dropped"), F.length(text).cast("bigint").alias("kept_chars"),
+                        F.sha2(text, 256).alias("kept_sha256"))
+
+
 def op6_decontaminate(spark, sf_dir):
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -45,6 +54,7 @@ def op10_minhash(spark, sf_dir):
 QUERIES = {
     "op10_minhash": op10_minhash,
     "op2_licenses": op2_licenses,
+    "op3_lines": op3_lines,
     "op6_decontaminate": op6_decontaminate,
     "op7_quality": op7_quality,
     "op9_language": op9_language,
