@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenaudit.llm import chat, decontaminate, language, licenses, lines, minhash, quality
+from lumenaudit.llm import chat, decontaminate, language, licenses, lines, minhash, quality, secret_entropy
 from lumenaudit.llm.common import table
 
 
@@ -35,6 +35,15 @@ def op4_chat(spark, sf_dir):
     return chat.chat_digests(chat.format_chats(rows))
 
 
+def op5_secrets(spark, sf_dir):
+    found = secret_entropy.secret_spans(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    counts = [count(k.name) for k in secret_entropy.KINDS]
+    base = F.filter("spans", lambda s: s["kind"] != secret_entropy.ENTROPY)
+    return found.select("doc_id", *counts, F.sha2(secret_entropy.joined(base), 256).alias("base_sha256"),
+                        secret_entropy.joined(F.col("spans")).alias("spans"))
+
+
 def op6_decontaminate(spark, sf_dir):
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -63,6 +72,7 @@ QUERIES = {
     "op2_licenses": op2_licenses,
     "op3_lines": op3_lines,
     "op4_chat": op4_chat,
+    "op5_secrets": op5_secrets,
     "op6_decontaminate": op6_decontaminate,
     "op7_quality": op7_quality,
     "op9_language": op9_language,
