@@ -51,13 +51,14 @@ def chunks(sizes: list[int], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         yield first, len(sizes)
 
 
-def map_texts(df: DataFrame, fn: Callable[[list[bytes], dict], pa.RecordBatch], schema: str, text: str = "text") -> DataFrame:
+def map_texts(df: DataFrame, fn: Callable[[list[bytes], dict], pa.RecordBatch], schema: str, text: str = "text",
+              limit: int = CHUNK_BYTES) -> DataFrame:
     """One pass over a table; ``fn`` gets the texts of a chunk and its other columns, and returns the rows to emit."""
 
     def run(batches):
         for batch in batches:
             sizes = pc.binary_length(batch.column(batch.schema.get_field_index(text))).to_pylist()
-            for a, b in chunks(sizes):
+            for a, b in chunks(sizes, limit):
                 part = batch.slice(a, b - a)
                 rest = {n: part.column(i) for i, n in enumerate(part.schema.names) if n != text}
                 yield fn(part.column(part.schema.get_field_index(text)).to_pylist(), rest)

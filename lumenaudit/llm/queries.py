@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenaudit.llm import chat, decontaminate, language, licenses, lines, minhash, quality, secret_entropy
+from lumenaudit.llm import chat, decontaminate, language, licenses, lines, minhash, pieces, quality, secret_entropy
 from lumenaudit.llm.common import table
 
 
@@ -55,6 +55,13 @@ def op7_quality(spark, sf_dir):
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op8_pieces(spark, sf_dir):
+    """One row per document and sample; ids are digested, and decoded again into the text they came from."""
+    found = pieces.decode(pieces.encode(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "sample", F.size("ids").cast("bigint").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob",
+                        "perturbed", "inclusion", F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op9_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs, ~language.held_out())
@@ -75,5 +82,6 @@ QUERIES = {
     "op5_secrets": op5_secrets,
     "op6_decontaminate": op6_decontaminate,
     "op7_quality": op7_quality,
+    "op8_pieces": op8_pieces,
     "op9_language": op9_language,
 }
