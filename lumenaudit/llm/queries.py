@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenaudit.llm import chat, decontaminate, language, licenses, lines, minhash, pieces, quality, secret_entropy
+from lumenaudit.llm import chat, decontaminate, language, licenses, lines, minhash, pieces, quality, secret_entropy, suffixes
 from lumenaudit.llm.common import table
 
 
+def op1_suffixes(spark, sf_dir):
+    found = suffixes.repeated_spans(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("bigint").alias("n_removed"),
+                        F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_licenses(spark, sf_dir):
     found = licenses.license_scan(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["phrase"])
@@ -75,6 +81,7 @@ def op10_minhash(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_suffixes": op1_suffixes,
     "op10_minhash": op10_minhash,
     "op2_licenses": op2_licenses,
     "op3_lines": op3_lines,

@@ -12,7 +12,7 @@ import numpy as np
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SEEDED = np.random.default_rng(20240607)
-_BYTE = _SEEDED.integers(0, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
+_BYTE, _OTHER_BYTE = (_SEEDED.integers(0, 2**63, 256, dtype=np.uint64) * U(2) + U(1) for _ in range(2))
 
 #: Lower-cased word bytes: digits, letters and everything beyond ASCII.
 LETTERS = np.zeros(256, np.uint8)
@@ -48,11 +48,11 @@ class _Powers:
 powers = _Powers()
 
 
-def prefix(codes: np.ndarray) -> np.ndarray:
-    """Prefix sums from which the hash of any byte range follows."""
+def prefix(codes: np.ndarray, other: bool = False) -> np.ndarray:
+    """Prefix sums from which the hash of any byte range follows; ``other`` substitutes bytes by another table."""
     out = np.empty(len(codes) + 1, U)
     out[0] = 0
-    np.cumsum(_BYTE[codes] * powers(len(codes)), out=out[1:])
+    np.cumsum((_OTHER_BYTE if other else _BYTE)[codes] * powers(len(codes)), out=out[1:])
     return out
 
 
@@ -61,14 +61,6 @@ def ranges(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return mix((sums[ends] - sums[starts]) * powers(len(sums), -1)[starts])
 
 
-def windows(sums: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the ``size`` bytes from each position on."""
-    n = len(sums) - size
-    if n <= 0:
-        return np.empty(0, U)
-    return mix((sums[size:] - sums[:n]) * powers(n, -1))
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Spreads all bits (finaliser of splitmix64)."""
     h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
