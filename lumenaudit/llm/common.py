@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lumenaudit.session import shared_folder
 
@@ -51,7 +52,7 @@ def chunks(sizes: list[int], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         yield first, len(sizes)
 
 
-def map_texts(df: DataFrame, fn: Callable[[list[bytes], dict], pa.RecordBatch], schema: str, text: str = "text",
+def map_texts(df: DataFrame, fn: Callable[[list[bytes], dict], pa.RecordBatch], schema: StructType | str, text: str = "text",
               limit: int = CHUNK_BYTES) -> DataFrame:
     """One pass over a table; ``fn`` gets the texts of a chunk and its other columns, and returns the rows to emit."""
 

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lumenaudit.llm.common import map_texts, row_key, stored, utf8
 from lumenaudit.llm.rolling import LETTERS, Words
@@ -113,12 +114,20 @@ def candidates(docs: DataFrame, windows: DataFrame, sent_limit: int = SENT_SHING
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, doc_id: str = "doc_id",
-                  text: str = "text", sent_limit: int = SENT_SHINGLES) -> DataFrame:
-    """One row per document: words, hit words, hit spans and the items whose windows occur."""
-    docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+                  text: str = "text", sent_limit: int = SENT_SHINGLES, carry: bool = False) -> DataFrame:
+    """One row per document: words, hit words, hit spans and the items whose windows occur.
+
+    With ``carry`` the whole input row stands in a column ``row`` in place of ``doc_id``.
+    """
+    first = F.struct("*").alias("row") if carry else F.col(doc_id).cast("bigint").alias("doc_id")
+    rows = docs.select(first, row_key(doc_id, text).alias("key"), utf8(text).alias("text"))
+    name = rows.columns[0]
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     windows = stored(item_windows(items, window, shingle), "item-windows")
     found = candidates(docs, windows, sent_limit)
-    rows = docs.select("doc_id", row_key("doc_id", "text").alias("key"), utf8("text").alias("text")).join(found, "key", "left")
+    added = "n_words bigint, n_hit bigint, spans array<struct<first_word:bigint,end_word:bigint>>, items array<string>"
+    schema = StructType([rows.schema[0], *StructType.fromDDL(added)])
+    rows = rows.join(found, "key", "left").select(name, "found", "text")
 
     def verify(texts, rest):
         n_words, n_hit, spans, hit_items = [], [], [], []
@@ -141,8 +150,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
             hit_items.append(sorted(names))
         kind = pa.list_(pa.struct([("first_word", pa.int64()), ("end_word", pa.int64())]))
         return pa.RecordBatch.from_arrays(
-            [rest["doc_id"], pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(spans, kind),
-             pa.array(hit_items, pa.list_(pa.string()))], ["doc_id", "n_words", "n_hit", "spans", "items"])
+            [rest[name], pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(spans, kind),
+             pa.array(hit_items, pa.list_(pa.string()))], [name, "n_words", "n_hit", "spans", "items"])
 
-    return map_texts(rows.select("doc_id", "found", "text"), verify,
-                     "doc_id bigint, n_words bigint, n_hit bigint, spans array<struct<first_word:bigint,end_word:bigint>>, items array<string>")
+    return map_texts(rows, verify, schema)

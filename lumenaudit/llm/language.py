@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lumenaudit.llm.common import map_texts
 from lumenaudit.llm.rolling import Words
@@ -166,14 +167,21 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float = SWITCH_PENAL
     return labels
 
 
-def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: ``lang_pred``, ``score`` and ``spans`` of words with one label."""
+def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
+    """One row per document: ``lang_pred``, ``score`` and ``spans`` of words with one label.
+
+    With ``carry`` the whole input row stands in a column ``row`` in place of ``doc_id``.
+    """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # bounded: languages x BUCKETS numbers
-    schema = "doc_id bigint, lang_pred string, score double, spans array<struct<first_word:int,end_word:int,lang:string>>"
+    shared = spark.sparkContext.broadcast((model.languages, model.scores, model.scripts))  # bounded: languages x BUCKETS numbers
+    first = F.struct("*").alias("row") if carry else F.col(doc_id).cast("bigint").alias("doc_id")
+    rows = docs.select(first, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("spoken"), _lower(text).alias("text"))
+    name = rows.columns[0]
+    added = "lang_pred string, score double, spans array<struct<first_word:int,end_word:int,lang:string>>"
+    schema = StructType([rows.schema[0], *StructType.fromDDL(added)])
 
     def label(texts, rest):
-        m = shared.value
+        m = Model(*shared.value)
         words = Words(texts, _ALPHA)
         spoken = np.array(rest["spoken"].to_pylist(), bool)
         pred, score, spans = [UNKNOWN] * len(texts), [0.0] * len(texts), [[] for _ in texts]
@@ -194,11 +202,10 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
         spans = [s if ok else [] for s, ok in zip(spans, spoken)]
         kind = pa.list_(pa.struct([("first_word", pa.int32()), ("end_word", pa.int32()), ("lang", pa.string())]))
         as_rows = [[{"first_word": a, "end_word": b, "lang": x} for a, b, x in s] for s in spans]
-        return pa.RecordBatch.from_arrays([rest["doc_id"], pa.array(pred), pa.array(score), pa.array(as_rows, kind)],
-                                          ["doc_id", "lang_pred", "score", "spans"])
+        return pa.RecordBatch.from_arrays([rest[name], pa.array(pred), pa.array(score), pa.array(as_rows, kind)],
+                                          [name, "lang_pred", "score", "spans"])
 
-    spoken = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("spoken")
-    return map_texts(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), spoken, _lower(text).alias("text")), label, schema)
+    return map_texts(rows, label, schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

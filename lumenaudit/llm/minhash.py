@@ -183,7 +183,10 @@ def similar_sets(pairs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: size of its set, smallest id of its component, and the set's digest."""
+    """One row per document: size of its set, smallest id of its component, the set's digest, and whether it stays.
+
+    Of a component, rows with the smallest id stay; where several texts share that id, those of one set.
+    """
     threshold = percent / 100
     bands = bands_for(threshold)
     places = bands * ROWS
@@ -238,10 +241,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
         edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
         low, high = high, high * (GROWTH + 1)
     if roots is None:
-        label = classes.select("node", F.col("label").alias("component_id"))
+        placed = classes.select("node", "label", F.col("key"), F.col("node").alias("root"))
     else:
-        placed = classes.select("node", "label").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        lowest = placed.groupBy("root").agg(F.min("label").alias("component_id"))
-        label = placed.join(lowest, "root").select("node", "component_id")
+        placed = classes.select("node", "label", "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # the class with the smallest id stands for the component; without any id, the one with the smallest key
+    lowest = placed.groupBy("root").agg(F.min("label").alias("component_id"), F.min(F.struct(F.col("label").isNull(), "label", "node")).alias("first"))
+    label = placed.join(lowest, "root").select("node", "component_id", (F.col("node") == F.col("first.node")).alias("leads"))
     out = rows.select("doc_id", "n_shingles", "node", "key").join(label, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node", "key")
+    component = F.coalesce("component_id", "doc_id")
+    stays = F.when(F.col("node").isNull(), True).when(component.isNull(), F.col("leads")).otherwise(F.col("doc_id").eqNullSafe(component) & F.col("leads"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), "node", "key", stays.alias("stays"))
+
+
+def one_per_group(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents, all columns, with one of each group of near duplicates: the one with the smallest id.
+
+    Documents without words are kept.  Rows equal in id and text are one document.
+    """
+    stay = near_duplicates(docs, k, percent, doc_id, text).filter("stays").groupBy("key").agg(F.count("*").alias("times"))
+    keyed = docs.select(F.struct("*").alias("row"), row_key(doc_id, text).alias("key"))
+    kept = keyed.join(stay, "key").dropDuplicates(["key"])
+    return kept.select("row.*")
