@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lumenaudit.llm.common import map_texts, stored, utf8
 
@@ -98,7 +99,7 @@ def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     return later.groupBy("row_id", "row_text").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _without(text: pd.Series, dropped: pd.Series) -> pd.Series:
     def cut(t, d):
         if t is None or d is None or not len(d):
