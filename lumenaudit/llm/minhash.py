@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenaudit.functions.skew import first_per_key
+from lumenaudit.llm.buckets import answered, ask, bucket_bits, each, entries, low_bits, shared
 from lumenaudit.llm.common import map_texts, row_key, stored, utf8
 from lumenaudit.llm.graph import components
 from lumenaudit.llm.rolling import SOLID, U, Words, mix
@@ -182,6 +183,43 @@ def similar_sets(pairs: DataFrame, k: int, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "u string, v string")
 
 
+def own_shingles(texts: DataFrame, k: int) -> DataFrame:
+    """Per class: ``n`` shingles, and how many of them (``own``) no other class of the table holds.
+
+    Four bytes of a name beyond its bucket travel; two names that agree in them only make ``own`` smaller.
+    """
+
+    def pack(said, rest):
+        nodes = rest["node"].to_pylist()
+        return pa.RecordBatch.from_arrays(
+            [pa.array([f"{nodes[0]}-{len(nodes)}"]), pa.array([nodes], pa.list_(pa.string())), pa.array([said], pa.list_(pa.binary())),
+             pa.array([sum(map(len, said))], pa.int64())], ["block", "nodes", "said", "size"])
+
+    blocks = stored(map_texts(texts.select("node", "text"), pack, "block string, nodes array<string>, said array<binary>, size bigint"),
+                    "class-blocks")
+    total = blocks.agg(F.sum("size")).first()[0] or 0
+    bits = bucket_bits(total / 5)
+
+    def send(block, row):
+        h, _ = shingle_sets(row["said"], k)
+        names = np.unique(h)
+        return entries(block, bits, names, [low_bits(names, bits)])
+
+    answers = ask(each(blocks, send), shared(np.uint32))
+
+    def count(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                h, first = shingle_sets(row["said"], k)
+                names, inverse, times = np.unique(h, return_inverse=True, return_counts=True)
+                alone = ~(answered(row["answers"], names, bits) | (times > 1))[inverse] if len(h) else np.zeros(0, bool)
+                upto = np.concatenate([[0], np.cumsum(alone)])
+                yield pa.RecordBatch.from_arrays([pa.array(row["nodes"]), pa.array(np.diff(first)), pa.array(np.diff(upto[first]))],
+                                                 ["node", "n", "own"])
+
+    return blocks.join(answers, "block", "left").mapInArrow(count, "node string, n bigint, own bigint")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: size of its set, smallest id of its component, the set's digest, and whether it stays.
 
@@ -197,17 +235,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     classes = stored(classes, "classes")
 
     members = stored(banded(classes, bands, ROWS), "bands")
-    crowded = members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    members = members.join(crowded, "bucket")
-    company = members.groupBy("node").agg(F.sum("size").alias("company"))
-    members = stored(members.join(company, "node"), "buckets")
-
-    active = members.select("node").distinct()
-    # buckets hold a node of one class each, so only their texts are ever compared
-    keys = classes.join(active, "node").select("key", "node", "signature")
+    crowded = lambda m: m.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    members = members.join(crowded(members), "bucket").select("bucket", "node")
+    keys = classes.join(members.select("node").distinct(), "node").select("key", "node", "signature")
     texts = docs.select(row_key("doc_id", "text").alias("key"), utf8("text").alias("text")).join(keys, "key").dropDuplicates(["node"])
     texts = stored(texts.select("node", "signature", "text"), "active-texts")
 
+    able = own_shingles(texts, k).filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
+    members = stored(members.join(able, "node"), "able")
+    members = members.join(crowded(members), "bucket")
+    company = members.groupBy("node").agg(F.sum("size").alias("company"))
+    members = stored(members.join(company, "node"), "buckets")
+
     roots, edges = None, None
     low, high = 0, 1
     while True:
@@ -224,8 +263,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
             break
         order = [F.col("company").desc(), F.xxhash64("node"), F.col("node")]
         hubs = first_per_key(here, ["bucket"], order, high, F.col("node"))
-        hubs = hubs.select("bucket", F.col("node").alias("u"), F.col("root").alias("ru"))
-        pairs = here.select("bucket", F.col("node").alias("v"), "root").join(hubs, "bucket").filter("ru <> root")
+        hubs = hubs.select("bucket", F.col("node").alias("u"), F.col("root").alias("ru"), F.col("n").alias("nu"), F.col("own").alias("ou"))
+        common = F.least(F.col("nu") - F.col("ou"), F.col("n") - F.col("own"))
+        within = 100 * common >= percent * (F.col("nu") + F.col("n") - common)
+        pairs = here.select("bucket", F.col("node").alias("v"), "root", "n", "own").join(hubs, "bucket").filter((F.col("ru") != F.col("root")) & within)
         pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         signed = texts.select("node", "signature")
         pairs = (pairs.join(signed.select(F.col("node").alias("u"), F.col("signature").alias("su")), "u")

@@ -36,13 +36,13 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenaudit.llm.buckets import STATE, answered, ask, bucket_bits, each, entries, flags_of, low_bits, shared
 from lumenaudit.llm.common import chunks, stored, utf8
 from lumenaudit.llm.rolling import U, mix, powers, prefix
 from lumenaudit.session import shared_folder
@@ -53,7 +53,6 @@ PERIOD = 57
 COVER = (0, 1, 3, 13, 32, 36, 43, 52)
 BLOCK_BYTES = 2 << 20
 FILE_BYTES = 12 << 20
-BUCKET_NAMES = 1 << 20
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
@@ -122,73 +121,6 @@ class Block:
         return np.cumsum(step[:-1]) > 0
 
 
-def _entries(block: str, bits: int, names: np.ndarray, columns: list[np.ndarray]) -> list[tuple]:
-    """One row per bucket of sorted names: block, bucket, payload (columns one after the other)."""
-    bucket = (names >> U(64 - bits)).astype(np.int64)
-    cuts = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(names) else np.empty(0, np.int64)
-    ends = np.append(cuts[1:], len(names))
-    return [(block, int(bucket[a]), b"".join(c[a:z].tobytes() for c in columns)) for a, z in zip(cuts.tolist(), ends.tolist())]
-
-
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    block, bucket, payload = zip(*rows) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(block, pa.string()), pa.array(bucket, pa.int32()), pa.array(payload, pa.binary())],
-                                      ["block", "bucket", "payload"])
-
-
-_SCHEMA = "block string, bucket int, payload binary"
-STATE = -1  # bucket number of rows that keep something for the block itself
-
-
-def _each(table: DataFrame, fn) -> DataFrame:
-    """Runs ``fn(block id, row)`` for every block; it returns rows to send."""
-
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                yield _rows(fn(row["block"], row))
-
-    return table.mapInArrow(run, _SCHEMA)
-
-
-def _ask(entries: DataFrame, resolve) -> DataFrame:
-    """Sorts each bucket alone and sends every block the answers to its names, in their order."""
-
-    def one(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": group["block"], "bucket": group["bucket"], "payload": resolve(group["payload"].tolist())})
-
-    answers = entries.groupBy("bucket").applyInPandas(one, _SCHEMA)
-    return answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "payload"))).alias("answers"))
-
-
-def _runs(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
-    """Which entries share all keys with another one, given a sorting order."""
-    same = np.ones(max(len(order) - 1, 0), bool)
-    for k in keys:
-        s = k[order]
-        same &= s[1:] == s[:-1]
-    out = np.zeros(len(order), bool)
-    out[order[1:][same]] = True
-    out[order[:-1][same]] = True
-    return out
-
-
-def _split(flags: np.ndarray, sizes: list[int]) -> list[bytes]:
-    return [np.packbits(f).tobytes() for f in np.split(flags, np.cumsum(sizes)[:-1])]
-
-
-def _shared(width, parts: int = 1):
-    """Resolver: a bit per name, set when another entry of the bucket equals it in all its columns."""
-
-    def resolve(payloads: list[bytes]) -> list[bytes]:
-        sizes = [len(p) // (np.dtype(width).itemsize * parts) for p in payloads]
-        raw = [np.frombuffer(p, width) for p in payloads]
-        keys = [np.concatenate([r[c * n:(c + 1) * n] for r, n in zip(raw, sizes)]) for c in range(parts)]
-        return _split(_runs(np.lexsort(keys[::-1]), *keys), sizes)
-
-    return resolve
-
-
 def _united(payloads: list[bytes]) -> list[bytes]:
     """Resolver: per name the union of all blocks' shift masks."""
     sizes = [len(p) // 12 for p in payloads]
@@ -202,57 +134,42 @@ def _united(payloads: list[bytes]) -> list[bytes]:
     return [m.tobytes() for m in np.split(out, np.cumsum(sizes)[:-1])]
 
 
-def _bits(answers, names: np.ndarray, bits: int) -> np.ndarray:
-    """The answers of all buckets, in the order of the sorted names."""
-    n = np.bincount((names >> U(64 - bits)).astype(np.int64), minlength=1)
-    parts = [np.unpackbits(np.frombuffer(a["payload"], np.uint8), count=int(n[a["bucket"]])) for a in answers or []]
-    return np.concatenate(parts).astype(bool) if parts else np.zeros(0, bool)
-
-
-def _flags(payload: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(payload, np.uint8), count=n).astype(bool)
-
-
-def _low(names: np.ndarray, bits: int) -> np.ndarray:
-    return ((names >> U(32 - bits)) & U(0xFFFFFFFF)).astype(np.uint32)
-
-
 def repeated_spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, removed spans (start, end) and the kept bytes."""
     if length < 2 * PERIOD:
         raise ValueError(f"strings of at least {2 * PERIOD} bytes can be looked for")
     blocks, total = _bucketed(_blocks(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), utf8(text).alias("text"))))
-    bits = max(5, int(np.ceil(np.log2(max(total * len(COVER) / PERIOD / BUCKET_NAMES, 1)))))
+    bits = bucket_bits(total * len(COVER) / PERIOD)
     bare = blocks.select("block", "sizes", "body")
 
     def samples(block, row):
         b = Block(row["body"], row["sizes"], length)
         names = np.unique(b.names(b.samples, b.depth))
-        return _entries(block, bits, names, [_low(names, bits)])
+        return entries(block, bits, names, [low_bits(names, bits)])
 
     def company(row):
         """Block, samples with company, and where their windows fit."""
         b = Block(row["body"], row["sizes"], length)
-        return b, _flags(row["company"], len(b.samples))
+        return b, flags_of(row["company"], len(b.samples))
 
     def long_names(b, have):
         at = b.samples[have & (b.end - b.samples >= length)]
         names, inverse, count = np.unique(b.names(at, length), return_inverse=True, return_counts=True)
         return at, names, inverse, count
 
-    first = _ask(_each(bare, samples), _shared(np.uint32))
+    first = ask(each(bare, samples), shared(np.uint32))
 
     def step2(block, row):
         b = Block(row["body"], row["sizes"], length)
         names, inverse, count = np.unique(b.names(b.samples, b.depth), return_inverse=True, return_counts=True)
-        have = (_bits(row["answers"], names, bits) | (count > 1))[inverse] if len(names) else np.zeros(0, bool)
+        have = (answered(row["answers"], names, bits) | (count > 1))[inverse] if len(names) else np.zeros(0, bool)
         at, full, _, _ = long_names(b, have)
-        return [(block, STATE, np.packbits(have).tobytes()), *_entries(block, bits, full, [full])]
+        return [(block, STATE, np.packbits(have).tobytes()), *entries(block, bits, full, [full])]
 
-    second = stored(_each(bare.join(first, "block", "left"), step2), "suffix-names")
+    second = stored(each(bare.join(first, "block", "left"), step2), "suffix-names")
     state = lambda df, name: df.filter(F.col("bucket") == STATE).select("block", F.col("payload").alias(name))
     sent = lambda df: df.filter(F.col("bucket") != STATE)
-    told = _ask(sent(second), _shared(U))
+    told = ask(sent(second), shared(U))
 
     def ranked(b, have):
         """Samples with company, ordered names of their prefixes, and which name each has."""
@@ -263,7 +180,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
     def step3(block, row):
         b, have = company(row)
         at, full, inverse, count = long_names(b, have)
-        repeats = (_bits(row["answers"], full, bits) | (count > 1))[inverse] if len(full) else np.zeros(0, bool)
+        repeats = (answered(row["answers"], full, bits) | (count > 1))[inverse] if len(full) else np.zeros(0, bool)
         covered = b.covered(at[repeats])
         bare_before = np.concatenate([[0], np.cumsum(~covered)])
         at, begin, end, names, which = ranked(b, have)
@@ -277,11 +194,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
         if len(names):
             order = np.argsort(which, kind="stable")
             union = np.bitwise_or.reduceat(mask[order], np.searchsorted(which[order], np.arange(len(names))))
-        return [(block, STATE, np.packbits(repeats).tobytes()), *_entries(block, bits, names, [_low(names, bits), union])]
+        return [(block, STATE, np.packbits(repeats).tobytes()), *entries(block, bits, names, [low_bits(names, bits), union])]
 
     with_company = bare.join(state(second, "company"), "block")
-    third = stored(_each(with_company.join(told, "block", "left"), step3), "suffix-shifts")
-    shifts = _ask(sent(third), _united)
+    third = stored(each(with_company.join(told, "block", "left"), step3), "suffix-shifts")
+    shifts = ask(sent(third), _united)
 
     def step4(block, row):
         b, have = company(row)
@@ -296,7 +213,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
             wanted[w[(mask & U(1 << shift) != 0) & (w >= begin) & (w + length <= end)]] = True
         one, two, order, fresh = paired(b, np.flatnonzero(wanted))
         one, two = one[order][fresh], two[order][fresh]
-        return [(block, STATE, zstandard.compress(np.packbits(wanted).tobytes())), *_entries(block, bits, one, [one, two])]
+        return [(block, STATE, zstandard.compress(np.packbits(wanted).tobytes())), *entries(block, bits, one, [one, two])]
 
     def paired(b, at):
         """Both names of windows, their sorted order, and the first of each distinct pair."""
@@ -306,8 +223,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
         fresh[1:] = (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)
         return one, two, order, fresh
 
-    fourth = stored(_each(with_company.join(shifts, "block", "left"), step4), "suffix-windows")
-    answers = _ask(sent(fourth), _shared(U, 2))
+    fourth = stored(each(with_company.join(shifts, "block", "left"), step4), "suffix-windows")
+    answers = ask(sent(fourth), shared(U, 2))
     last = (blocks.join(state(second, "company"), "block").join(state(third, "repeats"), "block")
             .join(state(fourth, "wanted"), "block").join(answers, "block", "left"))
 
@@ -316,12 +233,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
             for row in batch.to_pylist():
                 b, have = company(row)
                 at, *_ = long_names(b, have)
-                starts = [at[_flags(row["repeats"], len(at))]]
-                w = np.flatnonzero(_flags(zstandard.decompress(row["wanted"]), len(b.codes)))
+                starts = [at[flags_of(row["repeats"], len(at))]]
+                w = np.flatnonzero(flags_of(zstandard.decompress(row["wanted"]), len(b.codes)))
                 if len(w):
                     one, _, order, fresh = paired(b, w)
                     again = np.bincount(np.cumsum(fresh) - 1) > 1
-                    repeated = (_bits(row["answers"], one[order][fresh], bits) | again)[np.cumsum(fresh) - 1]
+                    repeated = (answered(row["answers"], one[order][fresh], bits) | again)[np.cumsum(fresh) - 1]
                     starts.append(w[order][repeated])
                 gone = b.covered(np.concatenate(starts))
                 body, spans, kept = b.codes.tobytes(), [], []
