@@ -112,10 +112,10 @@ def assemble(segments: list[tuple[list[int], list[int], bool]], close: list[int]
         lengths += [1, len(head), len(body), 1, len(close)]
         learned += [0, 0, int(learn), 0, 0]
     ids = np.array([i for p in parts for i in p], np.int32)
-    ends = np.cumsum(lengths)
+    ends = np.cumsum(lengths, dtype=np.int64)
     steps = np.zeros(len(ids) + 1, np.int32)
-    flags = np.array(learned)
-    np.add.at(steps, ends - lengths, flags)
+    flags = np.array(learned, np.int32)
+    np.add.at(steps, ends - np.array(lengths, np.int64), flags)
     np.add.at(steps, ends, -flags)
     return ids, np.cumsum(steps[:-1]).astype(bool)
 

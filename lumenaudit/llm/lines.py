@@ -2,7 +2,7 @@
 
 A line's path in the tree is its number of tokens, then its leading tokens;
 below that stand the remaining tokens.  Tokens that hold digits, at signs or
-``://`` are variable and become ``<*>``.  A leaf is a template: the line as it
+``://`` are variable and become ``<*>``, unless most of a line's tokens are.  A leaf is a template: the line as it
 is after that, or with one of ``FIELDS`` consecutive stretches of its remaining
 tokens generalised to ``<*>`` as well, so lines that differ in one stretch meet.
 A template found in ``MIN_DOCS`` different texts recurs; its first occurrence
@@ -46,7 +46,9 @@ def templates(line: bytes) -> list[int]:
     if n < MIN_TOKENS:
         return []
     if _VARIABLE.search(line):
-        tokens = [STAR if _VARIABLE.search(t) else t for t in tokens]
+        masked = [STAR if _VARIABLE.search(t) else t for t in tokens]
+        if 2 * masked.count(STAR) <= n:
+            tokens = masked
     head = b"%d|" % n + b" ".join(tokens[:LEADING])
     rest = tokens[LEADING:]
     m = len(rest)

@@ -29,10 +29,11 @@ OP3 = r"""
 WITH lines AS (
   SELECT doc_id, text, i AS line, ls[i + 1] AS said
   FROM (SELECT doc_id, text, ls, unnest(range(len(ls))) AS i FROM (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents))),
+plain AS (SELECT doc_id, text, line, regexp_extract_all(said, '[^\x20\x09-\x0D]+') AS raw FROM lines),
+masked AS (
+  SELECT *, list_transform(raw, lambda t: CASE WHEN regexp_matches(t, '[0-9@]|://') THEN '<*>' ELSE t END) AS stars FROM plain),
 parsed AS (
-  SELECT doc_id, text, line,
-         list_transform(regexp_extract_all(said, '[^\x20\x09-\x0D]+'), lambda t: CASE WHEN regexp_matches(t, '[0-9@]|://') THEN '<*>' ELSE t END) AS ts
-  FROM lines),
+  SELECT doc_id, text, line, CASE WHEN 2 * len(list_filter(stars, lambda t: t = '<*>')) <= len(raw) THEN stars ELSE raw END AS ts FROM masked),
 leaves AS (
   SELECT doc_id, text, line, array_to_string(ts, ' ') AS leaf FROM parsed WHERE len(ts) >= 4
   UNION ALL
