@@ -146,9 +146,9 @@ def percent_quote(c: Column) -> Column:
     return c
 
 
-def page_fingerprint(body: Column, width: int) -> Column:
-    """MD5 of a page's head with numbers and blanks evened out; null when empty."""
-    t = F.left(body, F.lit(width))
+def page_fingerprint(body: Column, width: int | None = None) -> Column:
+    """MD5 of a page, or of its head, with numbers and blanks evened out; null when empty."""
+    t = F.left(body, F.lit(width)) if width else body
     t = F.regexp_replace(t, java_pattern(r"\d+"), "#")
     t = F.trim(F.regexp_replace(t, java_pattern(r"\s+"), " "))
     return F.when(F.length(body) > 0, F.md5(t))

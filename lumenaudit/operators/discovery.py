@@ -19,7 +19,6 @@ _LINK = (
     r"""\s*=\s*["']?((?<=")[^"]*|(?<=')[^']*|(?<!["'])[^\s"'>]+)"""
 )
 _SKIPPED = ("#", "mailto:", "tel:", "javascript:", "data:")
-MAX_INLINE_WORDS = 20_000
 # A relative path that needs no resolution: no dot segments, no doubled slashes, no special characters.
 _PLAIN_VARIANT = re.compile(r"(?:(?!\.{1,2}(?:/|$))[^\s/?#;&:%\\]+/)*(?!\.{1,2}$)[^\s/?#;&:%\\]*$")
 
@@ -103,12 +102,10 @@ def word_variants(words, extensions=None) -> list[str]:
 def candidate_urls(targets: DataFrame, words, extensions=None) -> DataFrame:
     """Candidate URLs of a short word list: ``target, url``.
 
-    The list becomes a constant array, hence the bound on its length; to find
-    which candidates of a long list exist use ``candidate_hits``, which never
+    The list becomes a constant array; to find which candidates of a long list
+    exist use ``candidate_hits``, which never
     writes the product out.
     """
-    if len(words) > MAX_INLINE_WORDS:
-        raise ValueError(f"{len(words)} words; use candidate_hits for more than {MAX_INLINE_WORDS}")
     variants = word_variants(words, extensions)
     plain = all(_PLAIN_VARIANT.match(v) for v in variants)
     every = F.explode(F.expr(f"array({', '.join(map(X.sql_text, variants))})")).alias("_v")
@@ -144,7 +141,7 @@ def candidate_hits(captures: DataFrame, words: DataFrame, extensions=None) -> Da
     d = d.select("target", "url", F.explode(F.array_distinct(origins)).alias("word"))
     w = words.select(F.regexp_replace(X.strip(F.col("word")), "^/+", "").alias("word"))
     w = w.filter((F.col("word") != "") & ~F.col("word").startswith("#")).distinct()
-    return d.join(w, "word", "left_semi").select("target", "url", "word")
+    return salted_join(d, w, ["word"], "left_semi", F.col("url")).select("target", "url", "word")
 
 
 def url_seeds(*sources: tuple[DataFrame, int]) -> DataFrame:
@@ -156,21 +153,21 @@ def url_seeds(*sources: tuple[DataFrame, int]) -> DataFrame:
     return out.groupBy("target", "url").agg(F.min("priority").alias("priority"))
 
 
-def within_budget(seeds: DataFrame, budget: int = C.DEFAULT_URL_BUDGET) -> DataFrame:
+def within_budget(seeds: DataFrame, budget: int) -> DataFrame:
     """The first ``budget`` URLs per target, by priority, then by URL."""
     return first_per_key(seeds, ["target"], [F.col("priority"), F.col("url")], budget, F.col("url"))
 
 
-def crawl(seeds: DataFrame, edges: DataFrame, depth: int = C.DEFAULT_DEPTH,
-          budget: int = C.DEFAULT_URL_BUDGET) -> DataFrame:
+def crawl(seeds: DataFrame, edges: DataFrame, depth: int, budget: int | None = None) -> DataFrame:
     """Breadth-first order over captured links: ``target, url, depth``.
 
     ``seeds`` has ``target, url, priority``; ``edges`` is what ``links`` returns.
     Every level is checkpointed, so the plan does not grow with the depth and a
-    lost executor does not restart the crawl.  Each level takes at most what is
-    left of the target's budget.
+    lost executor does not restart the crawl.  With a ``budget`` each level takes
+    at most what is left of it for the target.
     """
-    level = within_budget(seeds, budget).select("target", "url", F.lit(0).alias("depth"))
+    level = seeds if budget is None else within_budget(seeds, budget)
+    level = level.select("target", "url", F.lit(0).alias("depth"))
     if depth <= 0:
         return level
     level = cut_lineage(level)
@@ -183,9 +180,10 @@ def crawl(seeds: DataFrame, edges: DataFrame, depth: int = C.DEFAULT_DEPTH,
         found = edges.join(front, ["target", "src"], "left_semi") \
             .select("target", F.col("dst").alias("url")).distinct()
         found = found.join(visited.select("target", "url"), ["target", "url"], "left_anti")
-        used = visited.groupBy("target").agg((F.lit(budget) - F.count("*")).alias("_left"))
-        found = salted_join(found, used, ["target"], "inner", F.col("url")).filter(F.col("_left") > 0)
-        found = first_per_key(found, ["target"], [F.col("url")], F.col("_left"), F.col("url"))
+        if budget is not None:
+            used = visited.groupBy("target").agg((F.lit(budget) - F.count("*")).alias("_left"))
+            found = salted_join(found, used, ["target"], "inner", F.col("url")).filter(F.col("_left") > 0)
+            found = first_per_key(found, ["target"], [F.col("url")], F.col("_left"), F.col("url"))
         level = found.select("target", "url", F.lit(d).alias("depth"))
         if d == depth:
             return visited.unionByName(level)

@@ -38,16 +38,15 @@ def enrich(findings: DataFrame) -> DataFrame:
 
 
 def deduplicate(findings: DataFrame) -> DataFrame:
-    """First finding per target, URL, category and value head.
+    """First finding per target, URL, category and whole value.
 
     A minimum over an ordered struct: it combines on the map side, so a value
     repeated in a third of all rows arrives once per task.
     """
     order = ["stage_ord", "detector_ord", "match_ord"]
     rest = [c for c in findings.columns if c not in order]
-    key = ["target", "url", "category", "_head"]
-    d = findings.withColumn("_head", F.left("value", F.lit(C.DEDUP_KEY_WIDTH)))
-    d = d.groupBy(*key).agg(F.min(F.struct(*order, *[c for c in rest if c not in key])).alias("_f"))
+    key = ["target", "url", "category", "value"]
+    d = findings.groupBy(*key).agg(F.min(F.struct(*order, *[c for c in rest if c not in key])).alias("_f"))
     return d.select(*[F.col(c) if c in key else F.col(f"_f.{c}") for c in findings.columns])
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumenaudit import advice as A
 from lumenaudit import catalog as C
 from lumenaudit.functions import text as X
+from lumenaudit.functions.skew import salted_join
 from lumenaudit.schemas import finding
 
 _WILDCARD_NOTE = " (wildcard DNS zone: likely resolves to the same catch-all host as every other name here)"
@@ -40,7 +41,7 @@ def ct_subdomains(entries: DataFrame, dns: DataFrame | None = None, strict: bool
     suffix = F.lit("")
     if dns is not None:
         zones = wildcard_zones(dns).withColumn("_wild", F.lit(True))
-        d = d.join(zones, "domain", "left")
+        d = salted_join(d, zones, ["domain"], "left", F.col("host"))
         suffix = F.when(F.col("_wild"), F.lit(_WILDCARD_NOTE)).otherwise(F.lit(""))
     return _subdomain(d, "certificate transparency", suffix, 40)
 
@@ -56,8 +57,8 @@ def dns_subdomains(dns: DataFrame, words: DataFrame | None = None) -> DataFrame:
     d = d.filter(F.endswith("host", F.concat(F.lit("."), F.col("domain"))))
     if words is not None:
         label = F.expr("left(host, length(host) - length(domain) - 1)")
-        d = d.withColumn("word", label).join(words.select("word").distinct(), "word", "left_semi")
-    d = d.join(wildcard_zones(dns), "domain", "left_anti")
+        d = salted_join(d.withColumn("word", label), words.select("word").distinct(), ["word"], "left_semi", F.col("host"))
+    d = salted_join(d, wildcard_zones(dns), ["domain"], "left_anti", F.col("host"))
     return _subdomain(d, "DNS brute-force", F.lit(""), 41)
 
 
@@ -68,7 +69,7 @@ def port_banner(port: Column, raw: Column) -> Column:
     served = X.strip(F.regexp_replace(served, "^[^:]*:", ""))
     greeting = F.get(F.filter(F.transform(lines, X.strip), lambda s: s != ""), F.lit(0))
     return F.coalesce(F.when(port.isin(*C.HTTP_PORTS), served)
-                      .otherwise(F.left(greeting, F.lit(C.BANNER_WIDTH))), F.lit(""))
+                      .otherwise(greeting), F.lit(""))
 
 
 def _intercepted(ports: DataFrame) -> DataFrame:
@@ -86,9 +87,14 @@ def unreliable_hosts(ports: DataFrame) -> DataFrame:
 
 
 def open_ports(ports: DataFrame, only: list[int] | None = None) -> DataFrame:
-    """Open ports with service and banner, without hosts whose canary ports answered."""
+    """Open ports with service and banner, without hosts whose canary ports answered.
+
+    All ports count unless some are named; those without a known service are ``unknown``.
+    """
     names = F.create_map(*[F.lit(x) for kv in C.PORT_SERVICES.items() for x in kv])
-    d = ports.filter(F.col("open") & ~F.col("is_canary") & F.col("port").isin(*(only or C.PORT_SERVICES)))
+    d = ports.filter(F.col("open") & ~F.col("is_canary"))
+    if only:
+        d = d.filter(F.col("port").isin(*only))
     d = d.join(_intercepted(ports), "host", "left_anti")
     d = d.groupBy("host", "port").agg(F.max(port_banner(F.col("port"), F.col("banner_raw"))).alias("_b"))
     d = d.withColumn("_svc", F.coalesce(F.try_element_at(names, F.col("port")), F.lit("unknown")))

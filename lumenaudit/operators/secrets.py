@@ -12,8 +12,7 @@ from lumenaudit.schemas import finding
 
 # Letters that case-insensitive matching equates with ASCII ones but ``lower`` does not.
 _FOLDS = (("ſ", "s"), ("K", "k"), ("İ", "i"), ("ı", "i"))
-_HEAD_CHARS = 64      # holds the longest name, a quote and blanks up to ...
-_HEAD_MIN = 24        # ... where fewer other characters than this remain
+_HEAD_BLANKS = 40     # blanks and quotes behind a name that a short piece has room for
 
 
 def _scan_pattern(det: C.Detector) -> str:
@@ -25,14 +24,16 @@ def _scan_pattern(det: C.Detector) -> str:
     return X.java_pattern(det.pattern.replace("""(?i)["\\']?""", "(?i)", 1))
 
 
-def _heads() -> str:
+def _heads(detectors) -> str:
     """What stands before each equals sign or colon, case-folded, as one short text.
 
-    A piece that ends in a long run of blanks is taken whole, so that no name is missed.
+    Pieces have room for the longest name of the detectors; one that ends in a
+    long run of blanks is taken whole, so that no name is missed.
     """
-    piece = (f"CASE WHEN length(p) > {_HEAD_CHARS} AND "
-             f"length(rtrim({q(X.SPACES)}, right(p, {_HEAD_CHARS}))) < {_HEAD_MIN} "
-             f"THEN p ELSE right(p, {_HEAD_CHARS}) END")
+    longest = max((len(h) for det in detectors for h in det.heads), default=0) + 4
+    chars = longest + _HEAD_BLANKS
+    piece = (f"CASE WHEN length(p) > {chars} AND length(rtrim({q(X.SPACES)}, right(p, {chars}))) < {longest} "
+             f"THEN p ELSE right(p, {chars}) END")
     folded = f"array_join(transform(split(_t, '[=:]'), p -> {piece}), '\\n')"
     for special, plain in _FOLDS:
         folded = f"replace({folded}, '{special}', '{plain}')"
@@ -70,7 +71,7 @@ def secret_matches(df: DataFrame, text: str = "text", detectors=C.DETECTORS,
     src = F.left(F.col(text), F.lit(window)) if window else F.col(text)
     d = df.filter(F.col(text).isNotNull()).select(*keep, src.alias("_t"))
     if gate:
-        d = d.select(*keep, "_t", F.expr(_heads()).alias("_heads"), F.expr("contains(_t, '_')").alias("_low_line"))
+        d = d.select(*keep, "_t", F.expr(_heads(detectors)).alias("_heads"), F.expr("contains(_t, '_')").alias("_low_line"))
     hits = []
     for i, det in enumerate(detectors):
         hit = (f"named_struct('detector_ord', {i}, "
@@ -193,7 +194,7 @@ def is_valid(category: Column, value: Column, url: Column) -> Column:
 
 
 def sanitise(value: Column) -> Column:
-    return X.ellipsis(X.strip(value), C.VALUE_WIDTH)
+    return X.strip(value)
 
 
 def secret_findings(df: DataFrame, text: str = "text", url: str = "url", detectors=C.DETECTORS,

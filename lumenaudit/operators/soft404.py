@@ -12,7 +12,7 @@ from lumenaudit.functions.skew import salted_join
 
 
 def fingerprint(body: Column) -> Column:
-    return X.page_fingerprint(body, C.FINGERPRINT_CHARS)
+    return X.page_fingerprint(body)
 
 
 def baseline_signatures(responses: DataFrame) -> DataFrame:

@@ -173,8 +173,10 @@ def _resources(body: Column) -> Column:
 
 
 def _first_of_each(resources: Column) -> Column:
-    names = F.transform(resources, lambda r: r["res"])
-    return F.filter(resources, lambda r, i: F.array_position(names, r["res"]) == i + 1)
+    """One tag per address, the first; sorted by address and position, so the work is n log n."""
+    placed = F.array_sort(F.transform(resources, lambda r, i: F.struct(r["res"].alias("res"), i.alias("at"), r.alias("r"))))
+    firsts = X.bind(placed, lambda p: F.filter(p, lambda x, i: (i == 0) | (F.get(p, i - 1)["res"] != x["res"])))
+    return F.transform(F.array_sort(F.transform(firsts, lambda x: F.struct(x["at"], x["r"].alias("r")))), lambda x: x["r"])
 
 
 def _html() -> Column:

@@ -49,7 +49,7 @@ _ENTROPY = (
 _VALID = f"""
 stripped AS (SELECT *, trim(value) AS v, lower(trim(value)) AS l FROM raw),
 valid AS (
-  SELECT *, CASE WHEN length(v) > 100 THEN left(v, 100) || '...' ELSE v END AS shown FROM stripped
+  SELECT *, v AS shown FROM stripped
   WHERE v <> '' AND l NOT IN ({_list(C.PLACEHOLDER_VALUES)}) AND NOT {_any('l', C.PLACEHOLDER_PARTS)}
     AND CASE
       WHEN category = 'emails' THEN NOT regexp_matches(lower(url), '[.](png|jpg|jpeg|gif|svg|webp|ico|css|js)$')
@@ -62,7 +62,7 @@ valid AS (
 _DEDUP = """
 found AS (
   SELECT target, url, category, shown AS value, confidence, detector_ord, match_ord, context, row_number() OVER (
-    PARTITION BY target, url, category, left(shown, 200) ORDER BY detector_ord, match_ord) AS rn FROM valid_c),
+    PARTITION BY target, url, category, shown ORDER BY detector_ord, match_ord) AS rn FROM valid_c),
 kept AS (SELECT * EXCLUDE (rn) FROM found WHERE rn = 1)"""
 
 
@@ -199,7 +199,7 @@ pairs AS (SELECT page_id, url, pos, (row_number() OVER (PARTITION BY page_id ORD
   url_decode(replace(CASE WHEN contains(part, '=') THEN substr(part, strpos(part, '=') + 1) ELSE '' END, '+', ' ')) AS value
   FROM q WHERE part <> '')"""
 
-_FP = ("md5(trim(regexp_replace(regexp_replace(left(body, 4000), '[0-9]+', '#', 'g'), "
+_FP = ("md5(trim(regexp_replace(regexp_replace(body, '[0-9]+', '#', 'g'), "
        "'[\\s\\x{a0}\\x{2003}]+', ' ', 'g')))")
 
 _FIXED = [(i, d) for i, d in enumerate(x for x in C.DETECTORS if x.group == 0)]
@@ -219,7 +219,7 @@ pl AS (SELECT host, port, generate_subscripts(l, 1) AS pos, unnest(l) AS line FR
   SELECT host, port, string_split(replace(banner_raw, chr(13), chr(10)), chr(10)) AS l FROM ports WHERE open)),
 pb AS (SELECT p.host, p.port, coalesce(CASE WHEN p.port IN ({", ".join(map(str, C.HTTP_PORTS))})
     THEN (SELECT trim(substr(line, 8)) FROM pl WHERE pl.host = p.host AND pl.port = p.port AND starts_with(lower(line), 'server:') ORDER BY pos LIMIT 1)
-    ELSE (SELECT left(trim(line), 200) FROM pl WHERE pl.host = p.host AND pl.port = p.port AND trim(line) <> '' ORDER BY pos LIMIT 1) END, '') AS banner
+    ELSE (SELECT trim(line) FROM pl WHERE pl.host = p.host AND pl.port = p.port AND trim(line) <> '' ORDER BY pos LIMIT 1) END, '') AS banner
   FROM ports p WHERE open)"""
 _SERVICE = "CASE port " + " ".join(f"WHEN {p} THEN {_s(n)}" for p, n in C.PORT_SERVICES.items()) + " ELSE 'unknown' END"
 
@@ -316,7 +316,7 @@ SELECT target, count(DISTINCT url) AS urls_scanned, 0::BIGINT AS errors FROM cap
 ORACLES["file_references"] = duck_with("captures") + f"""
 SELECT DISTINCT target, url, 'sensitive_file_reference' AS category, value FROM (
   SELECT target, url, unnest(regexp_extract_all(body, {_s(C.FILE_REFERENCE)}, 1)) AS value FROM captures)
-WHERE length(value) <= 200 AND (regexp_matches(lower(value), '[.](env|sql|bak|backup|old|log|pem|key|crt|cert|pfx|sqlite|db|mdb|dump|yml|yaml|ini|conf|config|htaccess)$')
+WHERE (regexp_matches(lower(value), '[.](env|sql|bak|backup|old|log|pem|key|crt|cert|pfx|sqlite|db|mdb|dump|yml|yaml|ini|conf|config|htaccess)$')
    OR regexp_extract(lower(value), '[^/]*$', 0) IN ({_list(C.REFERENCE_NAMES)}))"""
 ORACLES["exposed_files"] = duck_with("file_captures") + f""",
 suffixes AS (SELECT col0 AS suffix, length(col0) AS n FROM {_values([(f,) for f in C.SENSITIVE_FILES])}),
@@ -434,13 +434,13 @@ SELECT target, url, 'open_redirect' AS category, 'Parameter ''' || key || ''' st
   url || ' -> ' || final_url AS context FROM h WHERE rn = 1"""
 ORACLES["text_eligibility"] = duck_with("captures") + f"""
 SELECT target, url, lower(content_type) AS content_type, body_bytes FROM captures
-WHERE status_code = 200 AND body_bytes <= 10000000 AND {_any('lower(content_type)', C.TEXT_TYPES)}"""
+WHERE status_code = 200 AND {_any('lower(content_type)', C.TEXT_TYPES)}"""
 
 ORACLES["link_extraction"] = duck_with("link_pages") + "," + _links("link_pages") + "\nSELECT target, src, dst FROM edges"
 ORACLES["in_scope_links"] = duck_with("link_pages") + "," + _links("link_pages") + """
 SELECT target, lower(regexp_extract(dst, '^https?://([^/?#]*)', 1)) AS host, count(*) AS n FROM edges GROUP BY ALL"""
 ORACLES["url_seeds"] = _SEEDS + "\nSELECT target, url, priority FROM seeds"
-ORACLES["crawl_frontier"] = _crawl(3, C.DEFAULT_URL_BUDGET)
+ORACLES["crawl_frontier"] = _crawl(3, 1 << 40)
 ORACLES["crawl_budget"] = _crawl(2, 4)
 ORACLES["url_budget"] = duck_with("link_pages") + """
 SELECT target, url, priority::INT AS priority FROM (SELECT target, url, page_id % 3 AS priority,
@@ -469,7 +469,7 @@ SELECT target, url, category, shown AS value, confidence FROM valid v WHERE NOT
   SELECT 1 FROM (SELECT target, url, {_FP} AS fp FROM soft_pages) s JOIN (SELECT target, {_FP} AS fp FROM baselines) b ON s.target = b.target AND s.fp = b.fp
   WHERE s.target = v.target AND s.url = v.url)"""
 
-_ELIGIBLE = f"status_code = 200 AND body_bytes <= 10000000 AND {_any('lower(content_type)', C.TEXT_TYPES)}"
+_ELIGIBLE = f"status_code = 200 AND {_any('lower(content_type)', C.TEXT_TYPES)}"
 ORACLES["content_scan"] = (
     duck_with("captures") + f", p AS (SELECT target, url, body AS text FROM captures WHERE {_ELIGIBLE}), "
     + _raw("p", "target") + "," + _VALID + f"""
@@ -497,7 +497,7 @@ SELECT host AS target, host || ':' || port::VARCHAR AS url, 'open_port' AS categ
   CASE WHEN port IN ({", ".join(map(str, C.SENSITIVE_PORTS))}) THEN 'medium' ELSE 'low' END AS confidence,
   'TCP connect to ' || host || ':' || port::VARCHAR || ' succeeded' || CASE WHEN banner <> '' THEN chr(10) || 'Banner: ' || banner ELSE '' END AS evidence,
   port IN (80, 443) AS informational
-FROM pb WHERE port IN ({", ".join(map(str, C.PORT_SERVICES))}) AND host NOT IN (SELECT host FROM ports WHERE is_canary AND open)"""
+FROM pb WHERE host NOT IN (SELECT host FROM ports WHERE is_canary AND open)"""
 ORACLES["unreliable_hosts"] = duck_with("ports") + """
 SELECT DISTINCT host AS url, 'port_scan_unreliable' AS category, 'low' AS confidence, 'Random high ports on ' || host || ' all reported open' AS evidence
 FROM ports WHERE is_canary AND open"""
@@ -540,7 +540,7 @@ SELECT v.target, coalesce(sum(p.n), 0)::BIGINT AS total_findings, coalesce(sum(p
 FROM verdict v LEFT JOIN per p USING (target) GROUP BY ALL"""
 
 ORACLES["stream_scan"] = ORACLES["secret_findings_valid"]
-ORACLES["stream_dedup"] = _KEPT + "\nSELECT target, url, category, left(value, 200) AS value_key FROM kept"
+ORACLES["stream_dedup"] = _KEPT + "\nSELECT target, url, category, value AS value_key FROM kept"
 ORACLES["stream_dedup_watermark"] = ORACLES["stream_dedup"]
 ORACLES["stream_counts"] = _KEPT + "\nSELECT target, category, count(*)::BIGINT AS n FROM kept GROUP BY ALL"
 ORACLES["stream_verdicts"] = ORACLES["overall_risk"]

@@ -236,6 +236,7 @@ _VIEWS = {
         UNION ALL SELECT host, 80, true, false, 'HTTP/1.0 200 OK' || chr(13) || {_NL} || 'SERVER:  nginx/1.' || hx || chr(13) || {_NL} FROM domains
         UNION ALL SELECT host, 443, hx < '8', false, 'HTTP/1.0 200 OK' FROM domains
         UNION ALL SELECT host, 3306, hx > '3', false, '' FROM domains
+        UNION ALL SELECT host, 8888, hx > '5', false, repeat('greeting ', 40) FROM domains
         UNION ALL SELECT host, 50001, hx IN ('c', 'd'), true, cast(NULL as string) FROM domains"""),
     "robots": (f"""
         SELECT target, target || '/robots.txt' AS url, CASE WHEN hx = '0' THEN 404 ELSE 200 END AS status_code,

@@ -48,15 +48,15 @@ def stream_captures(spark: SparkSession, path: str, fmt: str = "parquet", **opti
     return conform(spark.readStream.schema(RESPONSE).format(fmt).options(**options).load(path))
 
 
-def is_eligible(max_bytes: int = C.MAX_BODY_BYTES) -> Column:
-    return ((F.col("status_code") == 200) & (F.col("body_bytes") <= max_bytes)
-            & X.contains_any(F.lower(F.col("content_type")), C.TEXT_TYPES))
+def is_eligible(max_bytes: int | None = None) -> Column:
+    text = (F.col("status_code") == 200) & X.contains_any(F.lower(F.col("content_type")), C.TEXT_TYPES)
+    return text if max_bytes is None else text & (F.col("body_bytes") <= max_bytes)
 
 
-def eligible(responses: DataFrame, max_bytes: int = C.MAX_BODY_BYTES) -> DataFrame:
-    """Answers that count as text: status 200, known type, at most ``max_bytes``.
+def eligible(responses: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Answers that count as text: status 200, known type, of any size unless ``max_bytes`` is given.
 
-    Status and size are plain column tests and reach the file scan.
+    The status is a plain column test and reaches the file scan.
     """
     return responses.filter(is_eligible(max_bytes))
 

@@ -23,12 +23,12 @@ def stream_findings(texts: DataFrame, text: str = "text", time: str | None = Non
 
 
 def deduplicated(stream: DataFrame, delay: str | None = None) -> DataFrame:
-    """First arrival per target, URL, category and value head.
+    """First arrival per target, URL, category and whole value.
 
     With ``delay`` state is kept for that long past the watermark over
     ``event_time`` and an older key may pass again; without it all keys are kept.
     """
-    keyed = stream.withColumn("value_key", F.left("value", F.lit(C.DEDUP_KEY_WIDTH)))
+    keyed = stream.withColumn("value_key", F.col("value"))
     key = ["target", "url", "category", "value_key"]
     if delay is None:
         return keyed.dropDuplicates(key)
