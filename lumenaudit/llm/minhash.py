@@ -3,10 +3,14 @@
 A document is the set of its word shingles; documents with one set form a
 class, and the work goes on with one text per class.  Classes that share a band
 of their signature meet in a bucket.  Buckets never give all pairs: in each
-round a few hubs of a bucket, those with the most company first, are compared
-with its members that are not connected with them yet, and eight times as many
-in the next round, until the members that have not been hubs are connected or
-have all been compared.  A pair's signatures are compared batch by batch and
+round a few hubs of a bucket, those with the fewest shingles of their own first,
+are compared with its members that are not connected with them yet, and eight
+times as many in the next round, until the members that have not been hubs are
+connected or have all been compared.  Before that, every class learns how many
+of its shingles no other class in a bucket holds: these bound its similarity
+with any other text from above, and so does, for two members of a large bucket,
+what each has in common with the bucket's first hub; classes and pairs whose
+bound lies below the threshold are not compared.  A pair's signatures are compared batch by batch and
 the pair is dropped once the posterior probability that its similarity reaches
 the threshold is below ``PRUNE``; survivors are decided on their full sets.
 
@@ -38,6 +42,7 @@ MISS = 1e-5           # chance that two documents just at the threshold share no
 PRUNE = 1e-6          # chance at which a pair is given up early
 BATCH = 20            # signature places compared at a time
 GROWTH = 8            # hubs per bucket grow by this factor from round to round
+CROWD = 8             # in larger buckets the first hub is compared in full with every member
 
 
 def bands_for(threshold: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -143,7 +148,7 @@ def least_matches(places: int, threshold: float, prune: float = PRUNE, batch: in
 
 
 def similar_signatures(pairs: DataFrame, places: int, threshold: float) -> DataFrame:
-    """Drops pairs (u, v with signatures su, sv) whose posterior falls below the bound."""
+    """Drops pairs (u, v with signatures su, sv) whose posterior falls below the bound, but for those marked ``crowded``."""
     least = least_matches(places, threshold)
 
     def run(batches):
@@ -157,14 +162,14 @@ def similar_signatures(pairs: DataFrame, places: int, threshold: float) -> DataF
             for n, need in least.items():
                 matches[left] += (u[left, done:n] == v[left, done:n]).sum(1)
                 left, done = left[matches[left] >= need], n
-            kept = batch.take(pa.array(left))
+            kept = batch.take(pa.array(np.union1d(left, np.flatnonzero(np.array(batch.column("crowded").to_pylist(), bool)))))
             yield pa.RecordBatch.from_arrays([kept.column("u"), kept.column("v")], ["u", "v"])
 
     return pairs.mapInArrow(run, "u string, v string")
 
 
-def similar_sets(pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Keeps pairs (u, v with texts tu, tv) with 100 * intersection >= percent * union."""
+def compared_sets(pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Shingles that pairs (u, v with texts tu, tv) have in common, and whether 100 * intersection >= percent * union."""
 
     def run(batches):
         for batch in batches:
@@ -172,15 +177,16 @@ def similar_sets(pairs: DataFrame, k: int, percent: int) -> DataFrame:
                 part = batch.slice(at, 64)
                 n = part.num_rows
                 h, first = shingle_sets(part.column("tu").to_pylist() + part.column("tv").to_pylist(), k)
-                good = []
+                both, good = [], []
                 for i in range(n):
                     a, b = h[first[i]:first[i + 1]], h[first[n + i]:first[n + i + 1]]
                     common = len(a) + len(b) - len(np.unique(np.concatenate([a, b])))
+                    both.append(common)
                     good.append(100 * common >= percent * (len(a) + len(b) - common))
-                part = part.filter(pa.array(good))
-                yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v")], ["u", "v"])
+                yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v"), pa.array(both, pa.int64()), pa.array(good, pa.bool_())],
+                                                 ["u", "v", "common", "linked"])
 
-    return pairs.mapInArrow(run, "u string, v string")
+    return pairs.mapInArrow(run, "u string, v string, common bigint, linked boolean")
 
 
 def own_shingles(texts: DataFrame, k: int) -> DataFrame:
@@ -220,6 +226,46 @@ def own_shingles(texts: DataFrame, k: int) -> DataFrame:
     return blocks.join(answers, "block", "left").mapInArrow(count, "node string, n bigint, own bigint")
 
 
+def _at_most(n, own, pivot, n2, own2, pivot2):
+    """Bound on the shingles two classes have in common.
+
+    Those no other class holds are never in common.  When both were compared
+    with the same hub, they have in common what each has in common with the hub
+    at most, and beyond it at most what each holds outside it and not alone.
+    """
+    plain = F.least(n - own, n2 - own2)
+    through = F.least(pivot, pivot2) + F.least(n - pivot - own, n2 - pivot2 - own2)
+    known = pivot.isNotNull() & pivot2.isNotNull()
+    return F.when(known, F.least(plain, through)).otherwise(plain)
+
+
+def _candidates(members: DataFrame, hubs: DataFrame, signed: DataFrame, places: int, threshold: float, percent: int) -> DataFrame:
+    """Pairs of hubs and members of their buckets that are not connected and may be similar enough."""
+    c = F.col
+    both = _at_most(c("n"), c("own"), c("pivot"), c("h_n"), c("h_own"), c("h_pivot"))
+    pairs = members.join(hubs, "bucket").filter((c("root") != c("h_root")) & (100 * both >= percent * (c("n") + c("h_n") - both)))
+    pairs = pairs.groupBy(F.least("node", "h_node").alias("u"), F.greatest("node", "h_node").alias("v")).agg(
+        F.max((c("size") > CROWD) & c("pivot").isNull()).alias("crowded"))
+    pairs = (pairs.join(signed.select(c("node").alias("u"), c("signature").alias("su")), "u")
+             .join(signed.select(c("node").alias("v"), c("signature").alias("sv")), "v"))
+    return stored(similar_signatures(pairs, places, threshold), "candidates")
+
+
+def _with_texts(pairs: DataFrame, said: DataFrame) -> DataFrame:
+    return (pairs.join(said.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u")
+            .join(said.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v"))
+
+
+def _pivoted(members: DataFrame, hubs: DataFrame, found: DataFrame) -> DataFrame:
+    """Members with what they have in common with their bucket's first hub, where that was counted."""
+    c = F.col
+    with_hub = members.drop("pivot").join(hubs.select("bucket", "h_node", "h_n"), "bucket", "left")
+    common = found.select(c("u").alias("_u"), c("v").alias("_v"), "common")
+    known = with_hub.join(common, (F.least("node", "h_node") == c("_u")) & (F.greatest("node", "h_node") == c("_v")), "left")
+    pivot = F.when(c("node") == c("h_node"), c("h_n")).otherwise(c("common"))
+    return known.select(*[x for x in members.columns if x != "pivot"], pivot.alias("pivot"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: size of its set, smallest id of its component, the set's digest, and whether it stays.
 
@@ -245,40 +291,31 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     members = stored(members.join(able, "node"), "able")
     members = members.join(crowded(members), "bucket")
     company = members.groupBy("node").agg(F.sum("size").alias("company"))
-    members = stored(members.join(company, "node"), "buckets")
+    members = stored(members.join(company, "node").withColumn("pivot", F.lit(None).cast("bigint")), "buckets")
 
+    signed, said = texts.select("node", "signature"), texts.select("node", "text")
     roots, edges = None, None
     low, high = 0, 1
     while True:
-        here = members
+        here = members.withColumn("root", F.col("node"))
         if roots is not None:
             here = members.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").drop("_n")
             here = here.withColumn("root", F.coalesce("root", "node"))
-        else:
-            here = here.withColumn("root", F.col("node"))
         open_ = here.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("bucket")
-        here = here.filter(F.col("size") >= low + 2).join(open_, "bucket", "left_semi")
-        here = stored(here, "open")
+        here = stored(here.filter(F.col("size") >= low + 2).join(open_, "bucket", "left_semi"), "open")
         if here.isEmpty():
             break
-        order = [F.col("company").desc(), F.xxhash64("node"), F.col("node")]
+        order = [F.col("own") / F.col("n"), F.col("company").desc(), F.xxhash64("node"), F.col("node")]
         hubs = first_per_key(here, ["bucket"], order, high, F.col("node"))
-        hubs = hubs.select("bucket", F.col("node").alias("u"), F.col("root").alias("ru"), F.col("n").alias("nu"), F.col("own").alias("ou"))
-        common = F.least(F.col("nu") - F.col("ou"), F.col("n") - F.col("own"))
-        within = 100 * common >= percent * (F.col("nu") + F.col("n") - common)
-        pairs = here.select("bucket", F.col("node").alias("v"), "root", "n", "own").join(hubs, "bucket").filter((F.col("ru") != F.col("root")) & within)
-        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        signed = texts.select("node", "signature")
-        pairs = (pairs.join(signed.select(F.col("node").alias("u"), F.col("signature").alias("su")), "u")
-                 .join(signed.select(F.col("node").alias("v"), F.col("signature").alias("sv")), "v"))
-        pairs = stored(similar_signatures(pairs, places, threshold), "candidates")
-        said = texts.select("node", "text")
-        full = (pairs.join(said.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u")
-                .join(said.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v"))
-        found = similar_sets(full, k, percent)
+        hubs = stored(hubs.select("bucket", *[F.col(c).alias(f"h_{c}") for c in ("node", "root", "n", "own", "pivot")]), "hubs")
+        found = _candidates(here, hubs, signed, places, threshold, percent)
+        found = stored(compared_sets(_with_texts(found, said), k, percent), "compared")
+        if not low:
+            members = stored(_pivoted(members, hubs, found), "pivoted")
+        links = found.filter("linked").select("u", "v")
         if edges is not None:
-            found = found.unionByName(edges)
-        roots = stored(components(found), "components")
+            links = links.unionByName(edges)
+        roots = stored(components(links), "components")
         edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
         low, high = high, high * (GROWTH + 1)
     if roots is None:
