@@ -76,13 +76,16 @@ def split(flags: np.ndarray, sizes: list[int]) -> list[bytes]:
     return [np.packbits(f).tobytes() for f in np.split(flags, np.cumsum(sizes)[:-1])]
 
 
-def shared(width, parts: int = 1):
+def shared(*widths):
     """Resolver: a bit per name, set when another entry of the bucket equals it in all its columns."""
+    widths = [np.dtype(w) for w in widths]
 
     def resolve(payloads: list[bytes]) -> list[bytes]:
-        sizes = [len(p) // (np.dtype(width).itemsize * parts) for p in payloads]
-        raw = [np.frombuffer(p, width) for p in payloads]
-        keys = [np.concatenate([r[c * n:(c + 1) * n] for r, n in zip(raw, sizes)]) for c in range(parts)]
+        sizes = [len(p) // sum(w.itemsize for w in widths) for p in payloads]
+        keys, skip = [], 0
+        for w in widths:
+            keys.append(np.concatenate([np.frombuffer(p, w, n, skip * n) for p, n in zip(payloads, sizes)]))
+            skip += w.itemsize
         return split(runs(np.lexsort(keys[::-1]), *keys), sizes)
 
     return resolve

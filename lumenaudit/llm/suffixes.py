@@ -17,12 +17,11 @@ prefixes of ``length - PERIOD + 1`` bytes.
 
 A name is a 64-bit polynomial hash: buckets are ranges of names, so the order
 within the suffix array is that of names, not of bytes, which groups equal
-strings just as well.  Step 4 decides on two names (128 bits), step 2 on one
-name of the prefix and one of the whole (about 100 bits).
+strings just as well.  Steps 2 and 4 decide on two names of 64 and 32 bits.
 
 Texts lie in blocks of a few MB in a table bucketed by block, written once, so
 only names travel: every block sends each name once per bucket, with four bytes
-in step 1, and gets back a bit per name.  A string that a third of all texts
+in step 1, and gets back a bit per name.  No pass keeps what it sends, only answers are written.  A string that a third of all texts
 share is therefore at most one entry per block.  Buckets are as many as the
 number of bytes asks for; each is sorted alone.
 
@@ -39,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,28 +59,28 @@ def _blocks(docs: DataFrame) -> DataFrame:
     """Texts in blocks: block, doc ids, sizes, compressed bytes."""
 
     def pack(batches):
-        made = uuid.uuid4().hex  # the table is written once; a retried task's rows replace those of the lost one
+        part = TaskContext.get().partitionId()
         for b, batch in enumerate(batches):
             sizes = pc.binary_length(batch.column("text")).to_pylist()
             for a, z in chunks(sizes, BLOCK_BYTES):
                 body = b"".join(batch.column("text").slice(a, z - a).to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([f"{made}-{b}-{a}"]), pa.array([batch.column("doc_id").slice(a, z - a).to_pylist()], pa.list_(pa.int64())),
-                     pa.array([sizes[a:z]], pa.list_(pa.int64())), pa.array([len(body)], pa.int64()),
-                     pa.array([zstandard.compress(body, 3)], pa.binary())], ["block", "doc_ids", "sizes", "bytes", "body"])
+                    [pa.array([f"{part}-{b}-{a}"]), pa.array([batch.column("doc_id").slice(a, z - a).to_pylist()], pa.list_(pa.int64())),
+                     pa.array([sizes[a:z]], pa.list_(pa.int64())), pa.array([zstandard.compress(body, 6)], pa.binary())],
+                    ["block", "doc_ids", "sizes", "body"])
 
-    return docs.mapInArrow(pack, "block string, doc_ids array<bigint>, sizes array<bigint>, bytes bigint, body binary")
+    return docs.mapInArrow(pack, "block string, doc_ids array<bigint>, sizes array<bigint>, body binary")
 
 
-def _bucketed(blocks: DataFrame) -> tuple[DataFrame, int]:
-    """The blocks as a table bucketed by block in the shared folder, and all their bytes."""
-    spark = blocks.sparkSession
-    blocks = stored(blocks, "blocks")
-    total = blocks.agg(F.sum("bytes")).first()[0] or 0
+def _bucketed(docs: DataFrame) -> tuple[DataFrame, int]:
+    """The blocks as a table bucketed by block in the shared folder, and all bytes of the texts."""
+    spark = docs.sparkSession
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     files = max(24, -(-total // FILE_BYTES))
     name = f"suffix_blocks_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark).rstrip('/')}/{name}"
-    (blocks.repartition(files, "block").write.option("path", path).bucketBy(files, "block").sortBy("block").saveAsTable(name))
+    (_blocks(docs).repartition(files, "block").write.option("path", path).option("compression", "none")
+     .bucketBy(files, "block").sortBy("block").saveAsTable(name))
     return spark.table(name), total
 
 
@@ -138,52 +138,77 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
     """One row per document: doc_id, n_bytes, removed spans (start, end) and the kept bytes."""
     if length < 2 * PERIOD:
         raise ValueError(f"strings of at least {2 * PERIOD} bytes can be looked for")
-    blocks, total = _bucketed(_blocks(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), utf8(text).alias("text"))))
+    blocks, total = _bucketed(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), utf8(text).alias("text")))
     bits = bucket_bits(total * len(COVER) / PERIOD)
     bare = blocks.select("block", "sizes", "body")
 
+    def opened(row):
+        return Block(row["body"], row["sizes"], length)
+
     def samples(block, row):
-        b = Block(row["body"], row["sizes"], length)
+        b = opened(row)
         names = np.unique(b.names(b.samples, b.depth))
         return entries(block, bits, names, [low_bits(names, bits)])
 
-    def company(row):
-        """Block, samples with company, and where their windows fit."""
-        b = Block(row["body"], row["sizes"], length)
-        return b, flags_of(row["company"], len(b.samples))
-
-    def long_names(b, have):
-        at = b.samples[have & (b.end - b.samples >= length)]
-        names, inverse, count = np.unique(b.names(at, length), return_inverse=True, return_counts=True)
-        return at, names, inverse, count
-
     first = ask(each(bare, samples), shared(np.uint32))
 
-    def step2(block, row):
-        b = Block(row["body"], row["sizes"], length)
+    def found_company(block, row):
+        b = opened(row)
         names, inverse, count = np.unique(b.names(b.samples, b.depth), return_inverse=True, return_counts=True)
         have = (answered(row["answers"], names, bits) | (count > 1))[inverse] if len(names) else np.zeros(0, bool)
-        at, full, _, _ = long_names(b, have)
-        return [(block, STATE, np.packbits(have).tobytes()), *entries(block, bits, full, [full])]
+        return [(block, STATE, np.packbits(have).tobytes())]
+
+    company = stored(each(bare.join(first, "block", "left"), found_company), "suffix-company").select("block", F.col("payload").alias("company"))
+    known = bare.join(company, "block")
 
-    second = stored(each(bare.join(first, "block", "left"), step2), "suffix-names")
-    state = lambda df, name: df.filter(F.col("bucket") == STATE).select("block", F.col("payload").alias(name))
-    sent = lambda df: df.filter(F.col("bucket") != STATE)
-    told = ask(sent(second), shared(U))
+    def paired(b, at):
+        """Names of windows, 64 and 32 bits, the order of their pairs, and the first of each distinct pair."""
+        one = b.names(at, length)
+        two = (b.names(at, length, prefix(b.codes, other=True)) >> U(32)).astype(np.uint32) if len(at) else np.zeros(0, np.uint32)
+        order = np.lexsort((two, one))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+        return one, two, order, fresh
+
+    def asked(block, b, at):
+        one, two, order, fresh = paired(b, at)
+        one, two = one[order][fresh], two[order][fresh]
+        return entries(block, bits, one, [one, two])
+
+    def repeats(b, at, answers):
+        """Which of the windows start anywhere else."""
+        one, _, order, fresh = paired(b, at)
+        if not len(at):
+            return np.zeros(0, bool)
+        run = np.cumsum(fresh) - 1
+        out = np.empty(len(at), bool)
+        out[order] = (answered(answers, one[order][fresh], bits) | (np.bincount(run) > 1))[run]
+        return out
+
+    def long_samples(b, row):
+        have = flags_of(row["company"], len(b.samples))
+        return b.samples[have & (b.end - b.samples >= length)]
 
-    def ranked(b, have):
-        """Samples with company, ordered names of their prefixes, and which name each has."""
+    def step2(block, row):
+        b = opened(row)
+        return asked(block, b, long_samples(b, row))
+
+    told = stored(ask(each(known, step2), shared(U, np.uint32)), "suffix-told").withColumnRenamed("answers", "told")
+    known = known.join(told, "block", "left")
+
+    def ranked(b, row):
+        """Samples with company, the bounds of their texts, ordered names of their prefixes, and which name each has."""
+        have = flags_of(row["company"], len(b.samples))
         at = b.samples[have]
-        names, inverse = np.unique(b.names(at, b.depth), return_inverse=True)
-        return at, b.begin[have], b.end[have], names, inverse
+        names, which = np.unique(b.names(at, b.depth), return_inverse=True)
+        return at, b.begin[have], b.end[have], names, which
 
     def step3(block, row):
-        b, have = company(row)
-        at, full, inverse, count = long_names(b, have)
-        repeats = (answered(row["answers"], full, bits) | (count > 1))[inverse] if len(full) else np.zeros(0, bool)
-        covered = b.covered(at[repeats])
+        b = opened(row)
+        at = long_samples(b, row)
+        covered = b.covered(at[repeats(b, at, row["told"])])
         bare_before = np.concatenate([[0], np.cumsum(~covered)])
-        at, begin, end, names, which = ranked(b, have)
+        at, begin, end, names, which = ranked(b, row)
         mask = np.zeros(len(at), U)
         for shift in range(PERIOD):
             w = at - shift
@@ -194,53 +219,37 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
         if len(names):
             order = np.argsort(which, kind="stable")
             union = np.bitwise_or.reduceat(mask[order], np.searchsorted(which[order], np.arange(len(names))))
-        return [(block, STATE, np.packbits(repeats).tobytes()), *entries(block, bits, names, [low_bits(names, bits), union])]
+        return entries(block, bits, names, [low_bits(names, bits), union])
 
-    with_company = bare.join(state(second, "company"), "block")
-    third = stored(each(with_company.join(told, "block", "left"), step3), "suffix-shifts")
-    shifts = ask(sent(third), _united)
+    shifts = stored(ask(each(known, step3), _united), "suffix-shifts").withColumnRenamed("answers", "shifts")
+    known = known.drop("told").join(shifts, "block", "left")
 
-    def step4(block, row):
-        b, have = company(row)
-        at, begin, end, names, which = ranked(b, have)
-        parts = [np.frombuffer(a["payload"], U) for a in row["answers"] or []]
-        mask = np.concatenate(parts)[which] if parts else np.zeros(0, U)
-        wanted = np.zeros(len(b.codes), bool)
+    def wanted(b, row):
+        """Windows at the shifts that matter from samples with company."""
+        at, begin, end, names, which = ranked(b, row)
+        parts = [np.frombuffer(a["payload"], U) for a in row["shifts"] or []]
+        mask = np.concatenate(parts)[which] if parts else np.zeros(len(at), U)
+        marked = np.zeros(len(b.codes), bool)
         some = np.flatnonzero(mask)
         at, begin, end, mask = at[some], begin[some], end[some], mask[some]
         for shift in range(PERIOD):
             w = at - shift
-            wanted[w[(mask & U(1 << shift) != 0) & (w >= begin) & (w + length <= end)]] = True
-        one, two, order, fresh = paired(b, np.flatnonzero(wanted))
-        one, two = one[order][fresh], two[order][fresh]
-        return [(block, STATE, zstandard.compress(np.packbits(wanted).tobytes())), *entries(block, bits, one, [one, two])]
+            marked[w[(mask & U(1 << shift) != 0) & (w >= begin) & (w + length <= end)]] = True
+        return np.flatnonzero(marked)
 
-    def paired(b, at):
-        """Both names of windows, their sorted order, and the first of each distinct pair."""
-        one, two = b.names(at, length), b.names(at, length, prefix(b.codes, other=True)) if len(at) else np.zeros(0, U)
-        order = np.lexsort((two, one))
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)
-        return one, two, order, fresh
+    def step4(block, row):
+        b = opened(row)
+        return asked(block, b, wanted(b, row))
 
-    fourth = stored(each(with_company.join(shifts, "block", "left"), step4), "suffix-windows")
-    answers = ask(sent(fourth), shared(U, 2))
-    last = (blocks.join(state(second, "company"), "block").join(state(third, "repeats"), "block")
-            .join(state(fourth, "wanted"), "block").join(answers, "block", "left"))
+    answers = ask(each(known, step4), shared(U, np.uint32))
+    last = (blocks.join(company, "block").join(told, "block", "left").join(shifts, "block", "left").join(answers, "block", "left"))
 
     def finish(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                b, have = company(row)
-                at, *_ = long_names(b, have)
-                starts = [at[flags_of(row["repeats"], len(at))]]
-                w = np.flatnonzero(flags_of(zstandard.decompress(row["wanted"]), len(b.codes)))
-                if len(w):
-                    one, _, order, fresh = paired(b, w)
-                    again = np.bincount(np.cumsum(fresh) - 1) > 1
-                    repeated = (answered(row["answers"], one[order][fresh], bits) | again)[np.cumsum(fresh) - 1]
-                    starts.append(w[order][repeated])
-                gone = b.covered(np.concatenate(starts))
+                b = opened(row)
+                at, w = long_samples(b, row), wanted(b, row)
+                gone = b.covered(np.concatenate([at[repeats(b, at, row["told"])], w[repeats(b, w, row["answers"])]]))
                 body, spans, kept = b.codes.tobytes(), [], []
                 edge = np.zeros(len(gone) + 1, bool)
                 edge[1:-1] = gone[1:] != gone[:-1]
