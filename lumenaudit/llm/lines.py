@@ -90,14 +90,13 @@ def line_templates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """Per document with any: row_id, row_text and the numbers of the lines to drop."""
     leaves = stored(line_templates(docs, doc_id, text), "line-templates")
-    per_text = leaves.groupBy("template", "row_text").agg(F.min(F.col("row_id")).alias("row_id"))
-    recurring = per_text.groupBy("template").agg(F.count("*").alias("texts"), F.min("row_id").alias("first_id"))
-    recurring = recurring.filter(F.col("texts") >= min_docs).select("template", "first_id")
+    # a row per template and text: no more than a count is needed of them
+    recurring = leaves.select("template", "row_text").distinct().groupBy("template").agg(F.count("*").alias("texts"))
+    recurring = recurring.filter(F.col("texts") >= min_docs).select("template")
     hits = stored(leaves.join(recurring, "template"), "recurring-lines")
-    # the first occurrence: smallest line of the smallest id; ids that repeat are told apart by their text's digest
-    first = hits.filter("row_id = first_id").groupBy("template").agg(F.min(F.struct("row_text", "line")).alias("first"))
-    later = hits.join(first, "template").filter(
-        (F.col("row_id") != F.col("first_id")) | (F.struct("row_text", "line") != F.col("first")))
+    # the first occurrence: smallest id, then line; ids that repeat are told apart by their text's digest
+    place = F.struct("row_id", "row_text", "line")
+    later = hits.join(hits.groupBy("template").agg(F.min(place).alias("first")), "template").filter(place != F.col("first"))
     return later.groupBy("row_id", "row_text").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
 
 
