@@ -7,6 +7,7 @@ use arrays and folds.  Patterns and tables are the shared fixed values.
 from __future__ import annotations
 
 from lumenaudit import catalog as C
+from lumenaudit.advice import REMEDIATION
 from lumenaudit.registry.planted import LABELS, WORDS, duck_with
 from lumenaudit.registry.queries import AS_OF
 
@@ -71,6 +72,14 @@ def _risk(expr: str) -> str:
             f"WHEN {expr} IN ({_list(k for k, v in C.RISK.items() if v == 'MEDIUM')}) THEN 'MEDIUM' ELSE 'LOW' END")
 
 
+def _advice(expr: str) -> str:
+    return f"CASE {expr} " + " ".join(f"WHEN {_s(k)} THEN {_s(v)}" for k, v in REMEDIATION.items()) + " ELSE '' END"
+
+
+def _pattern(expr: str) -> str:
+    return f"CASE {expr} " + " ".join(f"WHEN {i} THEN {_s(d.pattern)}" for i, d in enumerate(C.DETECTORS)) + " END"
+
+
 def _cwe(expr: str) -> str:
     return f"CASE {expr} " + " ".join(f"WHEN {_s(k)} THEN {_s(v)}" for k, v in C.CWE.items()) + " ELSE 'CWE-200' END"
 
@@ -299,7 +308,7 @@ ORACLES["finding_dedup"] = _KEPT + f"""
 SELECT {_KEY}, detector_ord::INT AS detector_ord, match_ord::INT AS match_ord FROM kept"""
 ORACLES["findings_enriched"] = _FOUND + f"""
 SELECT target, url, category, shown AS value, confidence, {_risk('category')} AS risk, {_cwe('category')} AS cwe_id,
-       '' AS evidence, false AS informational FROM valid"""
+       '' AS evidence, false AS informational, {_advice('category')} AS remediation FROM valid"""
 ORACLES["category_counts"] = _KEPT + f"""
 SELECT target, category, {_risk('category')} AS risk, count(*) AS n FROM kept GROUP BY ALL"""
 ORACLES["finding_totals"] = _KEPT + """
@@ -464,6 +473,8 @@ SELECT target, CASE WHEN body <> '' THEN {_FP} END AS fp, count(*) AS n FROM doc
 ORACLES["soft404_exact"] = duck_with("doc_pages") + f""",
 f AS (SELECT target, url, {_FP} AS fp, length(body) AS n FROM doc_pages WHERE body <> '')
 SELECT DISTINCT target, url FROM f WHERE (target, fp) IN (SELECT (target, fp) FROM f WHERE n < 600)"""
+# two of four planted kinds differ from their target's baseline by a few characters
+ORACLES["soft404_similar"] = duck_with("soft_pages") + "SELECT DISTINCT target, url FROM soft_pages WHERE page_id % 4 IN (0, 1)"
 ORACLES["content_without_soft404"] = duck_with("soft_pages", "baselines") + ", p AS (SELECT target, url, body AS text FROM soft_pages), " + _raw("p", "target") + "," + _VALID + f"""
 SELECT target, url, category, shown AS value, confidence FROM valid v WHERE NOT EXISTS (
   SELECT 1 FROM (SELECT target, url, {_FP} AS fp FROM soft_pages) s JOIN (SELECT target, {_FP} AS fp FROM baselines) b ON s.target = b.target AND s.fp = b.fp
@@ -527,7 +538,8 @@ _CELLS = "".join([
     " || '</td><td class=''mono rem''>' || " + _esc(_s("<advice> & 'more'")) + " || '</td></tr>'"])
 ORACLES["report_csv_rows"] = _KEPT_LINES + f"""
 SELECT {_cwe('category')} AS cwe_id, category, confidence, {_risk('category')} AS risk, url, value, '' AS content_type, '' AS status_code,
-  context, '' AS evidence, '' AS informational FROM kept"""
+  context, '' AS evidence, '' AS informational, coalesce(nullif({_advice('category')}, ''), context) AS remediation,
+  {_pattern('detector_ord')} AS pattern FROM kept"""
 ORACLES["report_html_rows"] = _KEPT_LINES + f"""
 SELECT target, '<tr><td><span class=''pill cwe''>' || {_cwe('category')} || '</span><br/><span class=''pill ' || lower({_risk('category')}) || chr(39) || '>' || category ||
   '</span></td><td>' || confidence || '</td>' || {_CELLS} AS row FROM kept"""
@@ -539,6 +551,12 @@ SELECT v.target, coalesce(sum(p.n), 0)::BIGINT AS total_findings, coalesce(sum(p
   '{' || coalesce(string_agg('"' || p.category || '":' || p.n::VARCHAR, ',' ORDER BY p.category), '') || '}' AS category_counts
 FROM verdict v LEFT JOIN per p USING (target) GROUP BY ALL"""
 
+ORACLES["report_json"] = _SUMMARY + """
+SELECT v.target, v.target AS scan_target, 1::INT AS depth, 0::BIGINT AS errors, 'false' AS active, 'library use' AS command,
+  coalesce(sum(p.n), 0)::BIGINT AS total_findings, 0::BIGINT AS informational_findings, coalesce(sum(p.n), 0)::BIGINT AS actionable_findings,
+  v.risk_assessment, '{' || coalesce(string_agg('"' || p.category || '":' || p.n::VARCHAR, ',' ORDER BY p.category), '') || '}' AS category_counts
+FROM verdict v LEFT JOIN per p USING (target) GROUP BY ALL"""
+
 ORACLES["stream_scan"] = ORACLES["secret_findings_valid"]
 ORACLES["stream_dedup"] = _KEPT + "\nSELECT target, url, category, value AS value_key FROM kept"
 ORACLES["stream_dedup_watermark"] = ORACLES["stream_dedup"]

@@ -84,7 +84,7 @@ def finding_dedup(spark, sf):
 
 def findings_enriched(spark, sf):
     return O.enrich(_found(spark, sf)).select(
-        *_KEY, O.risk_of(F.col("category")).alias("risk"), "cwe_id", "evidence", "informational")
+        *_KEY, O.risk_of(F.col("category")).alias("risk"), "cwe_id", "evidence", "informational", "remediation")
 
 
 def corpus_findings(spark, sf):
@@ -356,7 +356,7 @@ def probe_template_eval(spark, sf):
 # --- reports -----------------------------------------------------------------
 
 def report_csv_rows(spark, sf):
-    return reports.csv_rows(_report(spark, sf, context=True)).drop("remediation", "pattern")
+    return reports.csv_rows(_report(spark, sf, context=True))
 
 
 def report_html_rows(spark, sf):
@@ -376,7 +376,18 @@ def report_summary(spark, sf):
 
 
 def report_json(spark, sf):
-    return reports.report_json(reports.report_header(_report(spark, sf), _targets(spark, sf)))
+    """Fields read back from the headers written as JSON."""
+    d = reports.report_json(reports.report_header(_report(spark, sf), _targets(spark, sf)))
+
+    def field(path, name, kind="string"):
+        return F.get_json_object("json", f"$.{path}").cast(kind).alias(name)
+
+    return d.select(
+        "target", field("scan_info.target", "scan_target"), field("scan_info.depth", "depth", "int"), field("scan_info.errors", "errors", "bigint"),
+        field("scan_info.active", "active"), field("scan_info.reproducibility.command", "command"),
+        field("summary.total_findings", "total_findings", "bigint"), field("summary.informational_findings", "informational_findings", "bigint"),
+        field("summary.actionable_findings", "actionable_findings", "bigint"), field("summary.risk_assessment", "risk_assessment"),
+        field("summary.category_counts", "category_counts"))
 
 
 def _landed(spark, frame, name):
