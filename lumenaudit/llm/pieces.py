@@ -46,7 +46,7 @@ SAMPLES = 2
 LONGEST = 64
 FLOOR = -40.0
 BYTE_LOG = -25.0
-CHUNK = 1 << 21
+CHUNK = 5 << 18
 _SLOTS = 1 << 21
 _ALL = (1 << 64) - 1
 _MARK = "▁"
@@ -198,9 +198,12 @@ class Lattice:
             cuts, n = self.begin[nodes[a:b]] - i, degree[nodes[a:b]]
             top = np.maximum.reduceat(value[i:j], cuts)
             beta[nodes[a:b]] = top + np.log(np.add.reduceat(np.exp(value[i:j] - np.repeat(top, n)), cuts))
-        self.log_prob = value - beta[self.at]
-        mass = np.cumsum(np.exp(self.log_prob))
-        self.upto = mass - np.repeat(np.concatenate([[0.0], mass[ends[:-1] - 1]]) if len(ends) else ends, degree[nodes])
+        value -= beta[self.at]
+        self.log_prob = value
+        mass = np.exp(self.log_prob)
+        np.cumsum(mass, out=mass)
+        mass -= np.repeat(np.concatenate([[0.0], mass[ends[:-1] - 1]]) if len(ends) else ends, degree[nodes])
+        self.upto = mass
         self.upto[ends - 1] = 2.0
         self.closes = left[self.target] == 0
 
