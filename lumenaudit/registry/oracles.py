@@ -558,6 +558,7 @@ SELECT v.target, v.target AS scan_target, 1::INT AS depth, 0::BIGINT AS errors,
 FROM verdict v LEFT JOIN per p USING (target) GROUP BY ALL"""
 
 ORACLES["stream_scan"] = ORACLES["secret_findings_valid"]
+ORACLES["stream_content_scan"] = ORACLES["content_scan"]
 ORACLES["stream_dedup"] = _KEPT + "\nSELECT target, url, category, value AS value_key FROM kept"
 ORACLES["stream_dedup_watermark"] = ORACLES["stream_dedup"]
 ORACLES["stream_counts"] = _KEPT + "\nSELECT target, category, count(*)::BIGINT AS n FROM kept GROUP BY ALL"

@@ -432,6 +432,14 @@ def stream_scan(spark, sf):
     return _run(spark, s, "scan")
 
 
+def stream_content_scan(spark, sf):
+    """All content checks over captures that arrive as a stream, de-duplicated once they have landed."""
+    schema = spark.read.parquet(f"{sf}/pages.parquet").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(sf)
+    found = streams.stream_content(conform(view_of(spark, "captures", pages=raw)))
+    return O.deduplicate(_run(spark, found, "content")).select(*_KEY)
+
+
 def stream_dedup(spark, sf):
     s = streams.deduplicated(streams.stream_findings(_stream_texts(spark, sf)))
     return _run(spark, s.select("target", "url", "category", "value_key"), "dedup")
@@ -476,5 +484,5 @@ QUERIES = {f.__name__: f for f in (
     ct_subdomains, dns_subdomains, open_ports, unreliable_hosts, port_banners,
     probe_reflection, probe_db_error, probe_file_disclosure, probe_template_eval,
     report_csv_rows, report_html_rows, report_html_summary, report_summary, report_json, full_scan,
-    stream_scan, stream_dedup, stream_dedup_watermark, stream_counts, stream_verdicts,
+    stream_scan, stream_content_scan, stream_dedup, stream_dedup_watermark, stream_counts, stream_verdicts,
 )}

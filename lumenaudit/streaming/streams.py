@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from lumenaudit import catalog as C
 from lumenaudit.operators import findings as O
 from lumenaudit.operators.secrets import secret_findings
+from lumenaudit.plans.scan import content_findings
 
 
 def stream_findings(texts: DataFrame, text: str = "text", time: str | None = None) -> DataFrame:
@@ -22,6 +23,11 @@ def stream_findings(texts: DataFrame, text: str = "text", time: str | None = Non
     return O.enrich(secret_findings(stamped, text, carry=("event_time",)))
 
 
+def stream_content(captures: DataFrame) -> DataFrame:
+    """Findings of all content checks and secrets over a stream of captures; stateless, one capture at a time."""
+    return O.enrich(content_findings(captures))
+
+
 def deduplicated(stream: DataFrame, delay: str | None = None) -> DataFrame:
     """First arrival per target, URL, category and whole value.
 
