@@ -4,7 +4,7 @@ A document is the set of its word shingles; documents with one set form a
 class, and the work goes on with one text per class.  Classes that share a band
 of their signature meet in a bucket.  Buckets never give all pairs: in each
 round a few hubs of a bucket, those with the fewest shingles of their own first,
-are compared with its members that are not connected with them yet, and eight
+are compared with its members that are not connected with them yet, and 32
 times as many in the next round, until the members that have not been hubs are
 connected or have all been compared.  Before that, every class learns how many
 of its shingles no other class in a bucket holds: these bound its similarity
@@ -41,7 +41,7 @@ ROWS = 5              # of a band
 MISS = 1e-5           # chance that two documents just at the threshold share no band
 PRUNE = 1e-6          # chance at which a pair is given up early
 BATCH = 20            # signature places compared at a time
-GROWTH = 8            # hubs per bucket grow by this factor from round to round
+GROWTH = 31           # hubs per bucket grow by this factor, and one, from round to round
 CROWD = 8             # in larger buckets the first hub is compared in full with every member
 
 
