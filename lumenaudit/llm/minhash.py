@@ -243,7 +243,8 @@ def _candidates(members: DataFrame, hubs: DataFrame, signed: DataFrame, places:
     """Pairs of hubs and members of their buckets that are not connected and may be similar enough."""
     c = F.col
     both = _at_most(c("n"), c("own"), c("pivot"), c("h_n"), c("h_own"), c("h_pivot"))
-    pairs = members.join(hubs, "bucket").filter((c("root") != c("h_root")) & (100 * both >= percent * (c("n") + c("h_n") - both)))
+    first = F.coalesce(F.array_min(F.array_intersect("places", "h_places")) == c("bucket"), F.lit(True))
+    pairs = members.join(hubs, "bucket").filter((c("root") != c("h_root")) & (100 * both >= percent * (c("n") + c("h_n") - both)) & first)
     pairs = pairs.groupBy(F.least("node", "h_node").alias("u"), F.greatest("node", "h_node").alias("v")).agg(
         F.max((c("size") > CROWD) & c("pivot").isNull()).alias("crowded"))
     pairs = (pairs.join(signed.select(c("node").alias("u"), c("signature").alias("su")), "u")
@@ -290,8 +291,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     able = own_shingles(texts, k).filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
     members = stored(members.join(able, "node"), "able")
     members = members.join(crowded(members), "bucket")
-    company = members.groupBy("node").agg(F.sum("size").alias("company"))
-    members = stored(members.join(company, "node").withColumn("pivot", F.lit(None).cast("bigint")), "buckets")
+    company = stored(members.groupBy("node").agg(F.sum("size").alias("company"), F.collect_list("bucket").alias("places")), "company")
+    members = stored(members.join(company.drop("places"), "node").withColumn("pivot", F.lit(None).cast("bigint")), "buckets")
 
     signed, said = texts.select("node", "signature"), texts.select("node", "text")
     roots, edges = None, None
@@ -302,12 +303,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
             here = members.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").drop("_n")
             here = here.withColumn("root", F.coalesce("root", "node"))
         open_ = here.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("bucket")
-        here = stored(here.filter(F.col("size") >= low + 2).join(open_, "bucket", "left_semi"), "open")
+        here = here.filter(F.col("size") >= low + 2).join(open_, "bucket", "left_semi")
+        # in the first round every member meets the hub of each of its buckets; later a pair meets in one bucket only
+        here = here.join(company.select("node", "places"), "node") if low else here.withColumn("places", F.lit(None).cast("array<bigint>"))
+        here = stored(here, "open")
         if here.isEmpty():
             break
         order = [F.col("own") / F.col("n"), F.col("company").desc(), F.xxhash64("node"), F.col("node")]
         hubs = first_per_key(here, ["bucket"], order, high, F.col("node"))
-        hubs = stored(hubs.select("bucket", *[F.col(c).alias(f"h_{c}") for c in ("node", "root", "n", "own", "pivot")]), "hubs")
+        hubs = stored(hubs.select("bucket", *[F.col(c).alias(f"h_{c}") for c in ("node", "root", "n", "own", "pivot", "places")]), "hubs")
         found = _candidates(here, hubs, signed, places, threshold, percent)
         found = stored(compared_sets(_with_texts(found, said), k, percent), "compared")
         if not low:
