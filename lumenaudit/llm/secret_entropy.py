@@ -4,8 +4,9 @@ Named assignments, access keys and long hexadecimal runs are matched by
 pattern.  Beyond these, every run of token characters is a candidate: a window
 slides over it, the entropy of its characters follows from incremental counts
 (the character that enters, the one that leaves), and the stretch of windows
-above the threshold of their character class is reported, unless an allow-list
-pattern covers the candidate.
+above the threshold of the window's own character class is reported, unless an
+allow-list pattern covers the candidate.  Runs of letters of one case are never
+reported: words reach the entropy of random letters.
 
 Positions are code points, ends exclusive.  Results in odd cases: a null or
 empty text has no spans; equal rows give equal rows; other columns are ignored;
@@ -41,15 +42,19 @@ KINDS = (
 ENTROPY = "entropy"
 WINDOW = 20
 CANDIDATE = rf"[A-Za-z0-9+/=_-]{{{WINDOW},}}"
-#: Bits per character a window of the class needs: hexadecimal digits (at most 4 bits), all token characters (at most 4.32).
-HEX_BITS, TOKEN_BITS = 3.1, 3.85
-# Allow list: whole candidates that are no secrets: digits, plain or hyphenated words, paths, UUIDs, alphabets, rulers.
+#: Bits per character a window of the class needs; about 1 % of random windows of the class lie below.  Hexadecimal digits, digits with
+#: letters of one case, base64 with digits and both cases (or letters with ``BOTH_CASES`` of each); what fits no class (with separators
+#: such as hyphens) needs more, and a digit in its candidate.
+HEX_BITS, ONE_CASE_BITS, TOKEN_BITS, OTHER_BITS = 2.9, 3.38, 3.64, 3.85
+BOTH_CASES = 5
+# Allow list: whole candidates that are no secrets: digits, plain, numbered or hyphenated words, UUIDs, alphabets, rulers.
+_ALPHABET = "abcdefghij" + "".join(f"(?:{c}" for c in "klmnopqrstuvwxyz") + ")?" * 16
 ALLOWED = (
     r"^[0-9+=/_-]+$",
-    r"^[A-Za-z]+$",
+    r"^(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,4}$",
     r"^[A-Za-z]{1,15}(?:[/_+=-]+[A-Za-z]{0,15})*$",
     r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"(?i)abcdefghijklm|0123456789abcdef|qwertyuiop",
+    rf"^(?i:(?:{_ALPHABET}|0123456789abcdef|0?1234567890?|qwertyuiop|asdfghjkl|zxcvbnm|[+/=_-])+)$",
     r"^(.)\1+$",
 )
 
@@ -113,28 +118,41 @@ def window_bits(chars: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(chars) - 1), step)
 
 
+def _class_bits(w: Column, pure_hex: Column, digits: Column) -> Column:
+    """Entropy that a window needs by its characters; no window reaches the last one."""
+    both = rf"^(?=(?:[^A-Z]*[A-Z]){{{BOTH_CASES}}})(?=(?:[^a-z]*[a-z]){{{BOTH_CASES}}})[A-Za-z]+$"
+    return (F.when(w.rlike("^[0-9a-fA-F]+$") & (pure_hex | w.rlike("[a-fA-F]")), HEX_BITS)
+            .when(w.rlike("^(?=.*[0-9])(?=.*[A-Za-z])(?:[a-z0-9]+|[A-Z0-9]+)$"), ONE_CASE_BITS)
+            .when(w.rlike("^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/]+$") | w.rlike(both), TOKEN_BITS)
+            .when(digits, OTHER_BITS).otherwise(float(WINDOW)))
+
+
 def _entropy_span(found: Column, order: int) -> Column:
-    """Stretch of windows above the threshold of each candidate, if any."""
-    is_hex = lambda s: s.rlike(r"^[0-9a-fA-F]+$")
-    need = lambda s: F.lit(float(WINDOW)) * (F.log2(F.lit(float(WINDOW))) - F.when(is_hex(s), HEX_BITS).otherwise(TOKEN_BITS))
+    """Stretch of windows above the threshold of their class in each candidate, if any."""
     start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("at"), F.lit(-1).alias("low"), F.lit(-1).alias("high"))
 
-    def fold(s):
-        """Sum of n log2 n at most ``need``: entropy at least the threshold."""
-        limit = need(s)
+    def fold(c):
+        """Sum of n log2 n at most its limit: entropy at least the threshold."""
+        window = lambda i: F.array_join(F.slice(c["chars"], i - (WINDOW - 2), F.lit(WINDOW)), "")
+        limit = lambda i: float(WINDOW) * (F.log2(F.lit(float(WINDOW))) - _class_bits(window(i), c["hex"], c["digits"]))
 
         def add(acc, d):
             total = acc["sum"] + d["enter"] - d["leave"]
-            over = (acc["at"] >= WINDOW - 1) & (total <= limit + 1e-9)
+            over = F.when(acc["at"] >= WINDOW - 1, total <= limit(acc["at"]) + 1e-9).otherwise(F.lit(False))
             return F.struct(total.alias("sum"), (acc["at"] + 1).alias("at"),
                             F.when(over & (acc["low"] < 0), acc["at"] - (WINDOW - 1)).otherwise(acc["low"]).alias("low"),
                             F.when(over, acc["at"] + 1).otherwise(acc["high"]).alias("high"))
 
-        return F.aggregate(window_bits(F.split(s, "")), start, add)
+        return F.aggregate(window_bits(c["chars"]), start, add)
+
+    def scored(s):
+        # an array of one: its element is split and looked at once, not at every step
+        once = F.struct(F.split(s, "").alias("chars"), s.rlike("^[0-9a-fA-F]+$").alias("hex"), s.rlike("[0-9]").alias("digits"))
+        return F.element_at(F.transform(F.array(once), fold), 1)
 
-    likely = F.filter(found, lambda m: ~m["said"].rlike("|".join(f"(?:{p})" for p in ALLOWED)) & m["said"].rlike("[0-9]"))
-    scored = F.transform(likely, lambda m: F.struct((m["end"] - F.length(m["said"])).alias("start"), fold(m["said"]).alias("w")))
-    good = F.filter(scored, lambda c: c["w"]["low"] >= 0)
+    likely = F.filter(found, lambda m: ~m["said"].rlike("|".join(f"(?:{p})" for p in ALLOWED)))
+    spans = F.transform(likely, lambda m: F.struct((m["end"] - F.length(m["said"])).alias("start"), scored(m["said"]).alias("w")))
+    good = F.filter(spans, lambda c: c["w"]["low"] >= 0)
     return F.transform(good, lambda c: F.struct((c["start"] + c["w"]["low"]).alias("start"), F.lit(order).alias("kind"),
                                                 (c["start"] + c["w"]["high"]).alias("end")))
 

@@ -1,7 +1,9 @@
 """Spans against plain regular expressions and direct entropies."""
 
 import math
+import random
 import re
+import string
 
 from pyspark.sql import functions as F
 
@@ -71,3 +73,54 @@ def test_query(spark, sf):
     got = {r.doc_id: r.spans for r in found.collect()}
     for d in spark.read.parquet(f"{sf}/documents.parquet").collect():
         assert got[d.doc_id] == ",".join(f"{k}:{a}:{b}" for k, a, b in brute(d.text))
+
+
+LOWER, UPPER, DIGITS = string.ascii_lowercase, string.ascii_uppercase, string.digits
+CLASSES = {"hex": DIGITS + "abcdef", "upper hex": DIGITS + "ABCDEF", "lower": LOWER + DIGITS, "upper": UPPER + DIGITS,
+           "mixed": LOWER + UPPER + DIGITS, "letters": LOWER + UPPER, "base64": LOWER + UPPER + DIGITS + "+/"}
+
+
+def needed(w, s):
+    """Threshold of a window of candidate ``s``, by plain sets of characters."""
+    kinds = {"l" if c in LOWER else "u" if c in UPPER else "d" if c in DIGITS else c for c in w}
+    if set(w) <= set(string.hexdigits) and (set(s) <= set(string.hexdigits) or kinds != {"d"}):
+        return S.HEX_BITS
+    if kinds in ({"l", "d"}, {"u", "d"}):
+        return S.ONE_CASE_BITS
+    if {"l", "u", "d"} <= kinds <= {"l", "u", "d", "+", "/"}:
+        return S.TOKEN_BITS
+    if kinds == {"l", "u"} and min(sum(c in x for c in w) for x in (LOWER, UPPER)) >= S.BOTH_CASES:
+        return S.TOKEN_BITS
+    return S.OTHER_BITS if re.search("[0-9]", s) else 99
+
+
+def entropy_spans(text):
+    for m in re.finditer(S.CANDIDATE, text):
+        s = m[0]
+        if not any(re.search(a, s) for a in S.ALLOWED):
+            high = [i for i in range(len(s) - S.WINDOW + 1) if bits(s[i:i + S.WINDOW]) >= needed(s[i:i + S.WINDOW], s) - 1e-9]
+            if high:
+                yield m.start() + high[0], m.start() + high[-1] + S.WINDOW
+
+
+def test_classes(spark):
+    """At least 96 of 100 random strings of each class and length are found, alone or glued to a name."""
+    rng = random.Random(5)
+    made = lambda name, n: "".join(rng.choice(CLASSES[name]) for _ in range(n))
+    cases = [(name, n, glue, glue + made(name, n)) for name in CLASSES for n in (20, 24, 32, 64) for glue in ("", "KEY=", "ID_") for _ in range(100)]
+    found = spans(S.secret_spans(frame(spark, [t for *_, t in cases])))
+    missed = {}
+    for i, (name, n, glue, t) in enumerate(cases):
+        got = [(a, b) for k, a, b in found[i] if k == S.ENTROPY]
+        assert got == list(entropy_spans(t)), t
+        missed[name, n, glue] = missed.get((name, n, glue), 0) + (not got)
+    assert {k: v for k, v in missed.items() if v > 4} == {}
+
+
+def test_no_secrets(spark):
+    secret = "Zk9a8Kd03lfPq29Xm5Vn"
+    texts = ["donaudampfschifffahrtsgesellschaft", "INTERNATIONALIZATION", "internationalization2024", "InternationalizationService",
+             "order_20240512123456789012", LOWER + DIGITS, (UPPER + LOWER + DIGITS + "+/"), "0123456789abcdefABCDEF"[:16] * 2,
+             "the-quick-brown-fox/jumps", "abcdefghijklmnop1234567890", LOWER + secret]
+    found = spans(S.secret_spans(frame(spark, texts)))
+    assert [i for i in range(len(texts)) if any(k == S.ENTROPY for k, *_ in found[i])] == [len(texts) - 1]
