@@ -6,7 +6,9 @@ below that stand the remaining tokens.  Tokens that hold digits, at signs or
 is after that, or with one of ``FIELDS`` consecutive stretches of its remaining
 tokens generalised to ``<*>`` as well, so lines that differ in one stretch meet.
 A template found in ``MIN_DOCS`` different texts recurs; its first occurrence
-(smallest id, then line) stays and the others are dropped.
+(smallest id, then line) stays and the others are dropped.  With ``long_docs``
+a line of ``LONG_TOKENS`` tokens or more that stands as it is in that many
+different texts recurs as well, so a passage of two texts can go.
 
 Exact copies of a whole text count as one text, so that copied documents are
 left to document-level dedup.  Results in odd cases: a null text stays null and
@@ -33,6 +35,7 @@ from lumenaudit.llm.common import map_texts, stored, utf8
 
 MIN_DOCS = 3
 MIN_TOKENS = 4
+LONG_TOKENS = 20
 LEADING = 2
 FIELDS = 5
 STAR = b"<*>"
@@ -62,19 +65,27 @@ def templates(line: bytes) -> list[int]:
     return out
 
 
+def whole_line(line: bytes) -> list[int]:
+    """Hash of a long line as it is, digits included; empty for others.  Its lowest bit is set."""
+    tokens = line.split()
+    return [xxhash.xxh3_64_intdigest(b"whole|" + b" ".join(tokens)) | 1] if len(tokens) >= LONG_TOKENS else []
+
+
 def _identity(doc_id: str, text: str) -> list[Column]:
     """Tells rows apart: the id (nulls first) and a digest of the text."""
     return [F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-(1 << 63))).alias("row_id"), F.xxhash64(text).alias("row_text")]
 
 
-def line_templates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per line and template: row_id, row_text, line, template."""
+def line_templates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
+    """One row per line and template: row_id, row_text, line, template; with ``whole`` long lines too, told apart by the lowest bit."""
 
     def emit(texts, rest):
         of, at, leaf = [], [], []
         for d, t in enumerate(texts):
             for i, line in enumerate(t.split(b"\n")):
                 found = templates(line)
+                if whole:
+                    found = [leaf_id & ~1 for leaf_id in found] + whole_line(line)
                 of += [d] * len(found)
                 at += [i] * len(found)
                 leaf += found
@@ -87,12 +98,14 @@ def line_templates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                      "row_id bigint, row_text bigint, line int, template bigint")
 
 
-def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS,
+                  long_docs: int | None = None) -> DataFrame:
     """Per document with any: row_id, row_text and the numbers of the lines to drop."""
-    leaves = stored(line_templates(docs, doc_id, text), "line-templates")
+    leaves = stored(line_templates(docs, doc_id, text, long_docs is not None), "line-templates")
     # a row per template and text: no more than a count is needed of them
     recurring = leaves.select("template", "row_text").distinct().groupBy("template").agg(F.count("*").alias("texts"))
-    recurring = recurring.filter(F.col("texts") >= min_docs).select("template")
+    least = F.lit(min_docs) if long_docs is None else F.when(F.col("template").bitwiseAND(1) == 1, long_docs).otherwise(min_docs)
+    recurring = recurring.filter(F.col("texts") >= least).select("template")
     hits = stored(leaves.join(recurring, "template"), "recurring-lines")
     # the first occurrence: smallest id, then line; ids that repeat are told apart by their text's digest
     place = F.struct("row_id", "row_text", "line")
@@ -112,9 +125,9 @@ def _without(text: pd.Series, dropped: pd.Series) -> pd.Series:
 
 
 def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lines: str = "dropped_lines",
-               min_docs: int = MIN_DOCS) -> DataFrame:
+               min_docs: int = MIN_DOCS, long_docs: int | None = None) -> DataFrame:
     """The documents with recurring lines taken out of ``text``; ``lines`` holds the numbers of those dropped."""
-    found = dropped_lines(docs, doc_id, text, min_docs).select(
+    found = dropped_lines(docs, doc_id, text, min_docs, long_docs).select(
         F.col("row_id").alias("_row_id"), F.col("row_text").alias("_row_text"), F.col("dropped").alias("_dropped"))
     row_id, row_text = _identity(doc_id, text)
     both = docs.join(found, (row_id == F.col("_row_id")) & (row_text == F.col("_row_text")), "left")

@@ -56,3 +56,39 @@ def test_odd_rows(odd_docs, no_docs):
     found = lines.line_dedup(odd_docs, min_docs=2).collect()
     assert len(found) == 15 and set(odd_docs.columns) < set(found[0].asDict())
     assert lines.line_dedup(no_docs).collect() == []
+
+
+def test_long_lines_of_two_texts(spark):
+    """A long line of two otherwise different texts goes with ``long_docs``, however often one of them is copied; others need three."""
+    passage = words(24, 50) + " on page 17"
+    near = passage.split()
+    near[8] = "changed"
+    short = words(lines.LONG_TOKENS - 1, 51)
+    one, two = (words(30, s) + "\n" + passage + "\n" + short + "\n" + words(30, s + 1) for s in (60, 70))
+    third = words(30, 80) + "\n" + " ".join(near) + "\n" + words(12, 81)
+    fourth = words(30, 90) + "\n" + passage.replace("17", "18")[:-1] + "8x\n" + words(12, 91)
+    texts = [one, two, two, two, two]
+    found = {r.doc_id: r for r in lines.line_dedup(frame(spark, texts), long_docs=2).collect()}
+    assert [found[i].dropped_lines for i in range(5)] == [[], [1], [1], [1], [1]]
+    assert passage in found[0].text and all(passage not in found[i].text and short in found[i].text for i in range(1, 5))
+    assert all(r.dropped_lines == [] for r in lines.line_dedup(frame(spark, texts)).collect())
+    for extra in (third, fourth):
+        assert all(r.dropped_lines == [] for r in lines.line_dedup(frame(spark, [one, extra]), long_docs=2).collect())
+
+
+def test_long_lines_against_brute(spark, sf):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    expected = {d: set(x) for d, x in brute(docs).items()}
+    texts, at = defaultdict(set), defaultdict(set)
+    for d, t in docs:
+        for i, line in enumerate((t or "").encode().split(b"\n")):
+            if len(line.split()) >= lines.LONG_TOKENS:
+                texts[b" ".join(line.split())].add(t)
+                at[b" ".join(line.split())].add((d, i))
+    for line, of in texts.items():
+        if len(of) >= 2:
+            for d, i in sorted(at[line])[1:]:
+                expected[d].add(i)
+    found = lines.line_dedup(spark.read.parquet(f"{sf}/documents.parquet"), long_docs=2).collect()
+    assert {r.doc_id: r.dropped_lines for r in found} == {d: sorted(x) for d, x in expected.items()}
+    assert expected != {d: set(x) for d, x in brute(docs).items()}
