@@ -70,7 +70,97 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
 FROM shown GROUP BY conv_id
 """
 
+OP12 = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS said,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+marks AS (
+  SELECT doc_id, part,
+         (CASE WHEN len(ws) < 100 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 2 ELSE 0 END)
+         + (CASE WHEN 100 * (length(said) - length(regexp_replace(said, '[A-Z]', '', 'g'))) > 10 * length(said) THEN 4 ELSE 0 END)
+         + (CASE WHEN regexp_matches(said, '[#$%&*|]') THEN 8 ELSE 0 END)
+         + (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY said) THEN 16 ELSE 0 END) AS mask
+  FROM words),
+known AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS bad FROM labels GROUP BY doc_id),
+counts AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad
+  FROM marks LEFT JOIN known USING (doc_id) GROUP BY part, mask),
+bits AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS v(f, b)),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bs
+  FROM bits a, bits b, bits c, bits d, bits e WHERE a.b + b.b + c.b + d.b + e.b = 31
+    AND len(list_distinct([a.b, b.b, c.b, d.b, e.b])) = 5),
+steps AS (
+  SELECT filter_order, step, bs[step] AS here, list_sum(bs[1 : step]) - bs[step] AS before
+  FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+found AS (
+  SELECT part, filter_order, step, here,
+         sum(CASE WHEN mask & here = 0 AND mask & before = 0 THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN mask & here > 0 AND mask & before = 0 THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN mask & here > 0 AND mask & before > 0 THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN mask = here THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN mask & here > 0 AND mask & before = 0 THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN mask & here > 0 AND mask & before = 0 THEN bad ELSE 0 END) AS toxic_lost
+  FROM (SELECT part, mask, n, good, bad, filter_order, step, here, CAST(before AS INTEGER) AS before FROM counts, steps)
+  GROUP BY part, filter_order, step, here)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, here) AS BIGINT) AS shapley
+FROM found
+"""
+
+OP13 = r"""
+WITH RECURSIVE rows AS (
+  SELECT doc_id, lang, n_chars,
+         CASE WHEN doc_id IS NULL THEN '-' ELSE length(doc_id::VARCHAR) || ':' || doc_id END
+         || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END
+         || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END AS head,
+         CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS tail,
+         list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(length(doc_id::VARCHAR)),
+           lambda i: [ascii((doc_id::VARCHAR)[i + 1])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda crc, b: CASE WHEN b >= 0 THEN xor(crc, b) WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END) AS crc
+  FROM documents),
+said AS (
+  SELECT doc_id, lang, xor(crc, 4294967295) % 7 = 0 AS touched,
+         sha256(head || coalesce(length(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+         sha256(head || coalesce(length((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || tail) AS other
+  FROM rows),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+         dense_rank() OVER (ORDER BY lang NULLS FIRST) AS g FROM said),
+nodes AS (
+  SELECT g, 0 AS lv, pos, leaf AS d, count(*) OVER (PARTITION BY g) AS n FROM placed
+  UNION ALL
+  SELECT g, lv + 1, pos // 2, sha256(string_agg(d, '' ORDER BY pos)), (n + 1) // 2 FROM nodes WHERE n > 1 GROUP BY g, lv, pos // 2, n),
+tops AS (
+  SELECT 0 AS lv, g - 1 AS pos, d, count(*) OVER () AS n FROM nodes WHERE n = 1
+  UNION ALL
+  SELECT lv + 1, pos // 2, sha256(string_agg(d, '' ORDER BY pos)), (n + 1) // 2 FROM tops WHERE n > 1 GROUP BY lv, pos // 2, n),
+subroots AS (SELECT g, d AS subroot FROM nodes WHERE n = 1),
+heights AS (SELECT g, max(lv) AS h FROM nodes GROUP BY g),
+ways AS (
+  SELECT p.g, p.pos, x.lv, s.d AS sib, (p.pos >> x.lv) % 2 = 1 AS goes_right
+  FROM placed p JOIN (SELECT DISTINCT g, lv FROM nodes WHERE n > 1) x USING (g)
+  LEFT JOIN nodes s ON s.g = p.g AND s.lv = x.lv AND s.pos = xor((p.pos >> x.lv)::BIGINT, 1::BIGINT)
+  UNION ALL
+  SELECT p.g, p.pos, h.h + x.lv, s.d, ((p.g - 1) >> x.lv) % 2 = 1
+  FROM placed p JOIN heights h USING (g) JOIN (SELECT DISTINCT lv FROM tops WHERE n > 1) x ON true
+  LEFT JOIN tops s ON s.lv = x.lv AND s.pos = xor(((p.g - 1) >> x.lv)::BIGINT, 1::BIGINT)),
+folded AS (
+  SELECT g, pos, 0 AS lv, CASE WHEN coalesce(touched, false) THEN other ELSE leaf END AS d FROM placed
+  UNION ALL
+  SELECT f.g, f.pos, f.lv + 1, sha256(CASE WHEN w.sib IS NULL THEN f.d WHEN w.goes_right THEN w.sib || f.d ELSE f.d || w.sib END)
+  FROM folded f JOIN ways w ON w.g = f.g AND w.pos = f.pos AND w.lv = f.lv),
+ends AS (SELECT g, pos, max_by(d, lv) AS folded_root FROM folded GROUP BY g, pos),
+proofs AS (SELECT g, pos, sha256(coalesce(string_agg(sib, '' ORDER BY lv), '')) AS proof_sha256 FROM ways GROUP BY g, pos),
+top AS (SELECT d AS root FROM tops WHERE n = 1)
+SELECT p.doc_id, p.leaf, s.subroot, t.root, coalesce(w.proof_sha256, sha256('')) AS proof_sha256, e.folded_root, e.folded_root = t.root AS verified
+FROM placed p JOIN subroots s USING (g) JOIN ends e ON e.g = p.g AND e.pos = p.pos LEFT JOIN proofs w ON w.g = p.g AND w.pos = p.pos JOIN top t ON true
+"""
+
 ORACLES: dict[str, str] = {
+    "op12_audit": OP12,
+    "op13_merkle": OP13,
     "op3_lines": OP3,
     "op4_chat": OP4,
     "op6_decontaminate": OP6,

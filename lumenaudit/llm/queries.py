@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenaudit.llm import chat, decontaminate, language, licenses, lines, minhash, pieces, quality, secret_entropy, suffixes
+from lumenaudit.llm import (
+    byte_bpe, chat, decontaminate, filter_audit, language, licenses, lines, merkle, minhash, pieces, quality, secret_entropy, suffixes,
+)
 from lumenaudit.llm.common import table
 
 
@@ -80,9 +82,31 @@ def op10_minhash(spark, sf_dir):
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
+def op11_byte_bpe(spark, sf_dir):
+    found = byte_bpe.encode(table(spark, sf_dir, "documents"), decoded=True)
+    spelled = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    return found.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(spelled, 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_audit(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_merkle(spark, sf_dir):
+    one_in_seven = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 0
+    found = merkle.manifest(table(spark, sf_dir, "documents"), {"n_chars": F.col("n_chars") + 1}, one_in_seven)
+    shown = lambda c: F.lower(F.hex(c))
+    return found.select("doc_id", *[shown(c).alias(c) for c in ("leaf", "subroot", "root")],
+                        F.sha2(F.array_join(F.transform("proof", shown), ""), 256).alias("proof_sha256"), shown("folded_root").alias("folded_root"), "verified")
+
+
 QUERIES = {
     "op1_suffixes": op1_suffixes,
     "op10_minhash": op10_minhash,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_audit": op12_audit,
+    "op13_merkle": op13_merkle,
     "op2_licenses": op2_licenses,
     "op3_lines": op3_lines,
     "op4_chat": op4_chat,
