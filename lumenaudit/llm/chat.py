@@ -16,7 +16,7 @@ are ordered by role, then text, and repeated rows stay; a null turn comes
 first; a null conversation id is a conversation; other columns are ignored; an
 empty table gives an empty result.  Encoding runs per turn, before the turns of
 a conversation meet; a conversation is one output row, so only its own tokens
-meet in one task.  Segments over ``CUT`` characters are encoded in parts.
+meet in one task.
 """
 
 from __future__ import annotations
@@ -30,11 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenaudit.llm import byte_bpe
+
 #: Ranks of a public byte-level vocabulary of 50,256 tokens.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 START, END = 50_257, 50_258
 MARKS = {START: b"<|im_start|>", END: b"<|im_end|>"}
 LEARNED = "assistant"
+#: Longer segments are encoded by the operator for long pieces, which finds the same ids in bounded memory.
 CUT = 8192
 
 # Fixed value: how that vocabulary splits texts.
@@ -64,7 +67,7 @@ class Codec:
     """The vocabulary, loaded where it is first used."""
 
     def __init__(self, path: str):
-        self.path, self.loaded = path, None
+        self.path, self.loaded, self.long = path, None, None
 
     def __reduce__(self):
         return Codec, (self.path,)
@@ -82,7 +85,9 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         if len(text) <= CUT:
             return self.encoding.encode_ordinary(text)
-        return [i for a in range(0, len(text), CUT) for i in self.encoding.encode_ordinary(text[a:a + CUT])]
+        if self.long is None:
+            self.long = byte_bpe.Codec(self.path, PATTERN)
+        return self.long.encode(text)
 
     def decode(self, ids) -> str:
         return self.encoding.decode_bytes(list(ids)).decode("utf-8", "replace")

@@ -129,7 +129,9 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", line
     """The documents with recurring lines taken out of ``text``; ``lines`` holds the numbers of those dropped."""
     found = dropped_lines(docs, doc_id, text, min_docs, long_docs).select(
         F.col("row_id").alias("_row_id"), F.col("row_text").alias("_row_text"), F.col("dropped").alias("_dropped"))
-    row_id, row_text = _identity(doc_id, text)
-    both = docs.join(found, (row_id == F.col("_row_id")) & (row_text == F.col("_row_text")), "left")
-    out = [_without(text, F.col("_dropped")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c != lines]
+    whole = docs.select(F.struct("*").alias("row"))  # so that no name of the table meets one of these
+    row_id, row_text = _identity(f"row.`{doc_id}`", f"row.`{text}`")
+    both = whole.join(found, (row_id == F.col("_row_id")) & (row_text == F.col("_row_text")), "left")
+    out = [_without(F.col(f"row.`{c}`"), F.col("_dropped")).alias(c) if c == text else F.col(f"row.`{c}`")
+           for c in docs.columns if c.lower() != lines.lower()]
     return both.select(*out, F.coalesce("_dropped", F.array().cast("array<int>")).alias(lines))

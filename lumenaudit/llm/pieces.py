@@ -23,9 +23,9 @@ texts give equal samples wherever and how often they run.
 Results in odd cases: null and empty texts are the piece of the leading space
 alone; a text with fewer than k segmentations gives fewer rows, each with
 inclusion 1; characters outside the vocabulary are bytes; control bytes and the
-literal mark of the vocabulary's space decode to themselves.  Words over
-``LONGEST`` bytes are cut into lattices of that size.  Other columns are
-ignored; an empty table gives an empty result; texts are read whole.
+literal mark of the vocabulary's space decode to themselves.  Other columns are
+ignored; an empty table gives an empty result; texts are read whole, and a word
+of any length is one lattice, whose nodes take one step each.
 """
 
 from __future__ import annotations
@@ -43,7 +43,6 @@ from lumenaudit.llm.rolling import U, mix, powers, prefix, ranges
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
-LONGEST = 64
 FLOOR = -40.0
 BYTE_LOG = -25.0
 CHUNK = 5 << 18
@@ -116,6 +115,17 @@ class Vocabulary:
             out[odd] = np.where(self.more_hash[at] == h[odd], self.more_value[at], -2)
         return out
 
+    def spell(self, ids: np.ndarray, offsets) -> list[str]:
+        """The texts of rows of ids laid out one behind the other, without the leading space."""
+        out = []
+        for a, b in zip(offsets[:-1], offsets[1:]):
+            flat = ids[a:b]
+            size = self.sizes[flat]
+            ends = np.cumsum(size)
+            source = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[flat] - ends + size, size)
+            out.append(self.joined[source].tobytes()[1:].decode("utf-8", "replace"))
+        return out
+
 
 def split_units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Buffer of all texts with a space in front; starts and ends of units, and each text's first unit."""
@@ -126,17 +136,6 @@ def split_units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     head[1:] = space[1:] & ~space[:-1]
     head[begin[:-1]] = True
     starts = np.flatnonzero(head)
-    size = np.diff(np.append(starts, len(codes)))
-    if len(size) and size.max() > LONGEST:
-        extra = []
-        for s, n in zip(starts[size > LONGEST].tolist(), size[size > LONGEST].tolist()):
-            at, end = s, s + n
-            while end - at > LONGEST:
-                at += LONGEST
-                while at < end and codes[at] & 0xC0 == 0x80:
-                    at -= 1
-                extra.append(at)
-        starts = np.sort(np.concatenate([starts, np.array(extra, np.int64)]))
     return codes, starts, np.append(starts[1:], len(codes)), np.searchsorted(starts, begin)
 
 
@@ -174,7 +173,7 @@ class Lattice:
         degree = np.zeros(len(codes), np.int32)
         for here in at:
             degree[here] += 1
-        nodes = np.argsort(left.astype(np.uint8), kind="stable")
+        nodes = np.argsort(left.astype(np.min_scalar_type(int(left.max(initial=0)))), kind="stable")
         nodes = nodes[degree[nodes] > 0]
         ends = np.cumsum(degree[nodes])
         self.degree, self.begin = degree, np.zeros(len(codes), np.int32)
@@ -337,10 +336,10 @@ def segmentations(lattice: Lattice, drawn: list[tuple[np.ndarray, np.ndarray]],
     return out
 
 
-def encode(docs: DataFrame, k: int = SAMPLES, model: str = MODEL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Up to ``k`` rows per document: sample, ids, log_prob, perturbed, inclusion."""
+def encode(docs: DataFrame, k: int = SAMPLES, model: str = MODEL, doc_id: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
+    """Up to ``k`` rows per document: sample, ids, log_prob, perturbed, inclusion and, if asked for, the ``text`` that the ids spell."""
     vocabulary = Vocabulary(model)
-    names = ["doc_id", "sample", "ids", "log_prob", "perturbed", "inclusion"]
+    names = ["doc_id", "sample", "ids", "log_prob", "perturbed", "inclusion"] + ["text"] * decoded
 
     def run(texts, rest):
         v = vocabulary.load()
@@ -362,14 +361,16 @@ def encode(docs: DataFrame, k: int = SAMPLES, model: str = MODEL, doc_id: str =
                 ids.append(lattice.piece[path])
                 numbers.append(scores)
         offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-        joined = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32())
+        flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
+        joined = pa.array(flat, pa.int32())
         log_prob, value, inclusion = np.array(numbers, np.float64).reshape(-1, 3).T
         return pa.RecordBatch.from_arrays(
             [rest["doc_id"].take(pa.array(row, pa.int64())), pa.array(sample, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), joined),
-             pa.array(log_prob), pa.array(value), pa.array(inclusion)], names)
+             pa.array(log_prob), pa.array(value), pa.array(inclusion), *([pa.array(v.spell(flat, offsets), pa.string())] * decoded)], names)
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(doc_id).alias("seed"), utf8(text).alias("text"))
-    return map_texts(rows, run, "doc_id bigint, sample int, ids array<int>, log_prob double, perturbed double, inclusion double", limit=CHUNK)
+    made = "doc_id bigint, sample int, ids array<int>, log_prob double, perturbed double, inclusion double" + ", text string" * decoded
+    return map_texts(rows, run, made, limit=CHUNK)
 
 
 def decode(rows: DataFrame, model: str = MODEL, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -382,13 +383,7 @@ def decode(rows: DataFrame, model: str = MODEL, ids: str = "ids", text: str = "t
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                said = []
-                for one in part.column(ids):
-                    flat = one.values.to_numpy()
-                    size = v.sizes[flat]
-                    ends = np.cumsum(size)
-                    source = np.arange(ends[-1] if len(ends) else 0) + np.repeat(v.starts[flat] - ends + size, size)
-                    said.append(v.joined[source].tobytes()[1:].decode("utf-8", "replace"))
+                said = [v.spell(f := one.values.to_numpy(), [0, len(f)])[0] for one in part.column(ids)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(said, pa.string())], [*part.schema.names, text])
 
     return rows.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*rows.dtypes, (text, "string")]))

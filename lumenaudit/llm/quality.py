@@ -126,4 +126,6 @@ def base_failed() -> Column:
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: counts, ratios, ``base_failed`` and ``kept``."""
     found = map_texts(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), utf8(text).alias("text")), _measure, SCHEMA)
-    return found.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & F.col("in_band"))
+    found = found.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & F.col("in_band"))
+    own = ["ratio", "n_chunks", "n_odd_chunks", "in_band"]
+    return found.select(*[c for c in found.columns if c not in own], *own)

@@ -65,7 +65,7 @@ def op7_quality(spark, sf_dir):
 
 def op8_pieces(spark, sf_dir):
     """One row per document and sample; ids are digested, and decoded again into the text they came from."""
-    found = pieces.decode(pieces.encode(table(spark, sf_dir, "documents")))
+    found = pieces.encode(table(spark, sf_dir, "documents"), decoded=True)
     return found.select("doc_id", "sample", F.size("ids").cast("bigint").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob",
                         "perturbed", "inclusion", F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 

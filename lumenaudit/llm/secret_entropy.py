@@ -47,14 +47,15 @@ CANDIDATE = rf"[A-Za-z0-9+/=_-]{{{WINDOW},}}"
 #: such as hyphens) needs more, and a digit in its candidate.
 HEX_BITS, ONE_CASE_BITS, TOKEN_BITS, OTHER_BITS = 2.9, 3.38, 3.64, 3.85
 BOTH_CASES = 5
-# Allow list: whole candidates that are no secrets: digits, plain, numbered or hyphenated words, UUIDs, alphabets, rulers.
+# Allow list: whole candidates that are no secrets: digits, plain, numbered or hyphenated words, UUIDs, alphabets, rulers.  Repeated
+# groups are possessive, so that a long candidate neither backtracks nor fills the stack.
 _ALPHABET = "abcdefghij" + "".join(f"(?:{c}" for c in "klmnopqrstuvwxyz") + ")?" * 16
 ALLOWED = (
     r"^[0-9+=/_-]+$",
     r"^(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,4}$",
-    r"^[A-Za-z]{1,15}(?:[/_+=-]+[A-Za-z]{0,15})*$",
+    r"^[A-Za-z]{1,15}+(?:[/_+=-]++[A-Za-z]{0,15}+)*+$",
     r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    rf"^(?i:(?:{_ALPHABET}|0123456789abcdef|0?1234567890?|qwertyuiop|asdfghjkl|zxcvbnm|[+/=_-])+)$",
+    rf"^(?i:(?:{_ALPHABET}|0123456789abcdef(?!ghij)|0?123456789(?:0(?!123456789abcdef))?|qwertyuiop|asdfghjkl|zxcvbnm|[+/=_-])++)$",
     r"^(.)\1+$",
 )
 

@@ -42,3 +42,10 @@ def test_table(spark):
 @pytest.mark.parametrize("text", ["", " ", "a" * (chat.CUT + 3), "é" * chat.CUT + "😀"])
 def test_long_texts(text):
     assert CODEC.decode(CODEC.encode(text)) == text
+
+
+def test_ids_of_long_segments():
+    """As the tokenizer finds them, wherever the segment might be cut."""
+    codec = CODEC
+    for text in ("internationalisation" * 630, "one two  three\n" * 2000, "x" * 20_000):
+        assert list(codec.encode(text)) == codec.encoding.encode_ordinary(text)

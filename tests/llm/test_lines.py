@@ -92,3 +92,13 @@ def test_long_lines_against_brute(spark, sf):
     found = lines.line_dedup(spark.read.parquet(f"{sf}/documents.parquet"), long_docs=2).collect()
     assert {r.doc_id: r.dropped_lines for r in found} == {d: sorted(x) for d, x in expected.items()}
     assert expected != {d: set(x) for d, x in brute(docs).items()}
+
+
+def test_clashing_names(spark):
+    """Columns named like those the operator uses come back as they were; one named like the result is replaced, whatever its case."""
+    line = "the same old line of many words here"
+    rows = [(i, f"{line}\n{words(8, i)}", 1, 2, 3, 4) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _row_id int, _row_text int, _dropped int, DROPPED_LINES int")
+    found = lines.line_dedup(docs)
+    assert found.columns == ["doc_id", "text", "_row_id", "_row_text", "_dropped", "dropped_lines"]
+    assert sorted((r.doc_id, len(r.dropped_lines), r._row_id, r._dropped) for r in found.collect()) == [(0, 0, 1, 3), (1, 1, 1, 3), (2, 1, 1, 3), (3, 1, 1, 3)]

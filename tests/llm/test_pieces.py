@@ -85,3 +85,37 @@ def test_query(spark, sf):
     texts = {d.doc_id: d.text or "" for d in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert {r.doc_id for r in rows} == set(texts)
     assert all(r.text_sha256 == sha256(texts[r.doc_id].encode()).hexdigest() for r in rows)
+
+
+def test_long_words(vocabulary):
+    """One lattice whatever the length: pieces across any byte are sampled, and the weights are those of the whole word."""
+    unit = b" " + b"then" * 125
+    lattice, found = sampled(vocabulary, unit, 200, 2)
+    assert lattice.first.tolist() == [0] and abs(np.exp(lattice.log_prob[:1]).item()) > 0
+    across = sum(any(lattice.at[e] < 64 < lattice.target[e] for e in path) for rows in found for path, *_ in rows)
+    assert across > 40
+    for rows in found:
+        for path, log_prob, _, inclusion in rows:
+            assert vocabulary.spell(lattice.piece[path], [0, len(path)])[0].encode() == unit[1:]
+            assert lattice.at[path[0]] == 0 and (lattice.at[path[1:]] == lattice.target[path[:-1]]).all() and lattice.closes[path[-1]]
+            assert abs(log_prob - lattice.log_prob[path].sum()) < 1e-9 and 0 <= inclusion <= 1
+
+
+def test_several_words(vocabulary):
+    """Samples of a chain of words against all their combinations."""
+    units = [b" then", b" a", b" it"]
+    lattice = P.Lattice(vocabulary, units)
+    n, k = 4000, 2
+    seeds = mix(np.arange(n).astype(U))
+    of = np.tile(np.arange(3), n)
+    drawn = [lattice.paths(of, mix(mix(np.repeat(seeds, 3) + U(s + 1)) + np.tile(np.arange(3), n).astype(U))) for s in range(k)]
+    found = P.segmentations(lattice, drawn, np.arange(n + 1) * 3, seeds, k)
+    exact = {(*a, *b, *c): np.exp(p + q + r) for a, p in every(lattice, lattice.first[0]) for b, q in every(lattice, lattice.first[1])
+             for c, r in every(lattice, lattice.first[2])}
+    assert abs(sum(exact.values()) - 1) < 1e-9
+    first = Counter(tuple(f[0][0].tolist()) for f in found)
+    second = Counter(tuple(f[1][0].tolist()) for f in found)
+    for path, p in exact.items():
+        assert abs(first[path] / n - p) < 4 * np.sqrt(p * (1 - p) / n) + 1e-3
+        after = sum(q / (1 - q) * p for other, q in exact.items() if other != path)
+        assert abs(second[path] / n - after) < 4 * np.sqrt(after * (1 - after) / n) + 2e-3

@@ -124,3 +124,15 @@ def test_no_secrets(spark):
              "the-quick-brown-fox/jumps", "abcdefghijklmnop1234567890", LOWER + secret]
     found = spans(S.secret_spans(frame(spark, texts)))
     assert [i for i in range(len(texts)) if any(k == S.ENTROPY for k, *_ in found[i])] == [len(texts) - 1]
+
+
+def test_long_odd_candidates(spark):
+    """Underlined headings, long hyphenated runs and keyboard rows neither hang nor fill the stack."""
+    import time
+
+    texts = ["a" + "=" * 10_000 + "1", "ab-" * 300_000, "ab-" * 300_000 + "#", "qwertyuiop" * 100_000, "qwertyuiop" * 50_000 + "!", "0123456789" * 20_000 + "abcdef",
+             "0123456789abcdefghij" * 5000]
+    began = time.time()
+    rows = {r.doc_id: r for r in S.secret_spans(frame(spark, texts)).collect()}
+    assert time.time() - began < 90
+    assert [len([s for s in rows[i].spans if s.kind == "entropy"]) for i in range(7)] == [0] * 7
