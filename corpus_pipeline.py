@@ -14,14 +14,10 @@ from pyspark.sql import functions as F
 from lumenaudit.llm import decontaminate, language, lines, minhash, pieces
 from lumenaudit.llm.common import stored, table
 
-#: A text is rejected when its main language has less than this share of its letters.
-LEAST_SHARE = 0.4
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without letters or without a main language; a null ``lang`` becomes the predicted one."""
+    """Drops texts in which no language is found; mixed ones stay.  A null ``lang`` becomes the predicted one."""
     model = language.fit(docs, ~language.held_out())
-    found = language.identify(docs, model, carry=True).filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
+    found = language.identify(docs, model, carry=True).filter(F.col("lang_pred") != language.UNKNOWN)
     return found.select(*[F.coalesce("row.lang", "lang_pred").alias(c) if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
@@ -46,7 +42,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def segment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per document and sample: piece ids, scores, and the text decoded from them."""
-    found = pieces.decode(pieces.encode(docs))
+    found = pieces.encode(docs, decoded=True)
     return found.select("doc_id", "sample", F.size("ids").cast("bigint").alias("n_pieces"), "ids", "log_prob", "inclusion", "text")
 
 
