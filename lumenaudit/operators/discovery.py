@@ -13,11 +13,20 @@ from lumenaudit.functions import urls as U
 from lumenaudit.functions.skew import first_per_key, salted_join
 from lumenaudit.session import cut_lineage
 
-# Six tag/attribute pairs; the value follows the equals sign, quoted or bare.
-_LINK = (
-    r"(?i)<(?:(?:a|link)\b[^>]*?\shref|(?:script|img|iframe)\b[^>]*?\ssrc|form\b[^>]*?\saction)"
-    r"""\s*=\s*["']?((?<=")[^"]*|(?<=')[^']*|(?<!["'])[^\s"'>]+)"""
-)
+_LINKING = (("a|link", "href"), ("script|img|iframe", "src"), ("form", "action"))
+# One tag with its attributes; a bracket inside quotes does not end it.  Every loop is possessive and the end is
+# optional, so a tag that was begun is always a match and no character is read twice, closed or not.
+_TAG = rf"""(?i)<(?:{"|".join(t for t, _ in _LINKING)})(?=[\s/])(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+
+
+def _attribute(tags: str, name: str) -> str:
+    """From the start of a tag over its other attributes up to the first one of that name."""
+    other = rf"""[\s/=]*+(?!{name}\s*+=)[^\s=/>]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]*+))?+"""
+    return rf"(?:{tags})(?=[\s/])(?:{other})*+[\s/=]*+{name}\s*+=\s*+"
+
+
+# The value is quoted or bare.
+_VALUE = rf"""(?i)^<(?:{"|".join(_attribute(*x) for x in _LINKING)})["']?+((?<=")[^"]*+|(?<=')[^']*+|(?<!["'])[^\s"'>]++)"""
 _SKIPPED = ("#", "mailto:", "tel:", "javascript:", "data:")
 # A relative path that needs no resolution: no dot segments, no doubled slashes, no special characters.
 _PLAIN_VARIANT = re.compile(r"(?:(?!\.{1,2}(?:/|$))[^\s/?#;&:%\\]+/)*(?!\.{1,2}$)[^\s/?#;&:%\\]*$")
@@ -26,9 +35,11 @@ _PLAIN_VARIANT = re.compile(r"(?:(?!\.{1,2}(?:/|$))[^\s/?#;&:%\\]+/)*(?!\.{1,2}$
 def links(pages: DataFrame, body: str = "body") -> DataFrame:
     """In-scope links of every page: ``target, src, dst``, once per page.
 
-    Works within the row, so there is no shuffle.
+    Works within the row, so there is no shuffle.  Tags are cut out first and
+    looked at one by one, in time linear in the page, well-formed or not.
     """
-    raw = F.regexp_extract_all(F.col(body), F.lit(X.java_pattern(_LINK)), F.lit(1))
+    tags = F.array_distinct(F.regexp_extract_all(F.col(body), F.lit(X.java_pattern(_TAG)), F.lit(0)))
+    raw = F.transform(tags, lambda t: F.regexp_extract(t, X.java_pattern(_VALUE), 1))
     hrefs = F.filter(F.array_distinct(F.transform(raw, X.strip)),
                      lambda h: (h != "") & ~X.starts_with_any(h, _SKIPPED))
     d = pages.select("target", F.col("url").alias("src"), hrefs.alias("_hrefs"))
