@@ -57,7 +57,7 @@ def _constant(values, key: str) -> Column:
 
 
 def secret_matches(df: DataFrame, text: str = "text", detectors=C.DETECTORS,
-                   gate: bool = True, context: bool = False, window: int | None = None) -> DataFrame:
+                   gate: bool = True, context: bool = False, window: int | None = None, last_only: str | None = None) -> DataFrame:
     """Every non-overlapping match of every detector, one row each.
 
     Keeps the other columns of ``df`` and adds ``category``, ``detector_ord``,
@@ -65,7 +65,8 @@ def secret_matches(df: DataFrame, text: str = "text", detectors=C.DETECTORS,
     also ``match_start`` and ``context``.  A text is matched against a detector
     only if it passes the detector's gate.  No shuffle: texts are scanned where
     they are read.  The gate conditions are written as SQL text, which keeps the
-    driver's share of the work small.
+    driver's share of the work small.  The column ``last_only`` is kept in the rows
+    of the last detector only, before matches multiply them.
     """
     keep = [c for c in df.columns if c != text]
     src = F.left(F.col(text), F.lit(window)) if window else F.col(text)
@@ -80,6 +81,8 @@ def secret_matches(df: DataFrame, text: str = "text", detectors=C.DETECTORS,
     carried = [*keep, "_t"] if context else keep
     d = d.select(*carried, F.expr(f"explode(array_compact(array({', '.join(hits)})))").alias("_hit"))
     d = d.select(*carried, "_hit.detector_ord", "_hit._m")
+    if last_only is not None:
+        d = d.withColumn(last_only, F.when(F.col("detector_ord") == len(detectors) - 1, F.col(last_only)))
     pattern = _constant([q(_scan_pattern(x)) for x in detectors], "detector_ord")
     group = _constant([x.group for x in detectors], "detector_ord")
     extra = []

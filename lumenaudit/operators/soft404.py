@@ -15,11 +15,21 @@ def fingerprint(body: Column) -> Column:
     return X.page_fingerprint(body)
 
 
+def signature() -> list[Column]:
+    """Fingerprint ``fp`` and ``head`` of a capture's body."""
+    return [fingerprint(F.col("body")).alias("fp"), F.left("body", F.lit(C.SIMILARITY_CHARS)).alias("head")]
+
+
+def _signed(captures: DataFrame) -> DataFrame:
+    """Captures with their signatures, which may be columns of theirs already; bodies are read if not."""
+    if "fp" in captures.columns:
+        return captures
+    return captures.select("target", "url", "status_code", "body_bytes", *signature())
+
+
 def baseline_signatures(responses: DataFrame) -> DataFrame:
     """Status, length, fingerprint and head of the captured random-path answers."""
-    return responses.filter(F.col("probe") == "baseline").select(
-        "target", "status_code", "body_bytes", fingerprint(F.col("body")).alias("fp"),
-        F.left("body", F.lit(C.SIMILARITY_CHARS)).alias("head"))
+    return _signed(responses.filter(F.col("probe") == "baseline")).select("target", "status_code", "body_bytes", "fp", "head")
 
 
 def exact_matches(pages: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -28,7 +38,7 @@ def exact_matches(pages: DataFrame, baseline: DataFrame) -> DataFrame:
     A catch-all page may be most of a target, so the equal keys are salted.
     """
     known = baseline.filter(F.col("fp").isNotNull()).select("target", "status_code", "fp").distinct()
-    seen = pages.select("target", "url", "status_code", fingerprint(F.col("body")).alias("fp"))
+    seen = _signed(pages).select("target", "url", "status_code", "fp")
     hit = salted_join(seen.filter(F.col("fp").isNotNull()), known, ["target", "status_code", "fp"],
                       "left_semi", F.col("url"))
     return hit.select("target", "url").distinct()
@@ -54,9 +64,8 @@ def similar_matches(pages: DataFrame, baseline: DataFrame) -> DataFrame:
         .select("target", "status_code", F.col("body_bytes").alias("_blen"), F.col("head").alias("_bhead")).distinct()
     base = base.withColumn("_cls", F.explode(F.sequence(
         _bucket(F.greatest(blen - slack, F.lit(0))), _bucket(blen + slack))))
-    cand = pages.select("target", "url", "status_code", "body_bytes",
-                        F.left("body", F.lit(C.SIMILARITY_CHARS)).alias("_head"),
-                        _bucket(F.col("body_bytes")).alias("_cls"))
+    cand = _signed(pages).select("target", "url", "status_code", "body_bytes", F.col("head").alias("_head"),
+                                 _bucket(F.col("body_bytes")).alias("_cls"))
     pairs = salted_join(cand, base, ["target", "status_code", "_cls"], "inner", F.col("url"))
     la, lb = F.length("_head"), F.length("_bhead")
     pairs = pairs.filter((F.abs(F.col("body_bytes") - blen) <= slack)

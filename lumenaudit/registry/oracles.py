@@ -128,12 +128,12 @@ hdr AS (SELECT target, status_code, lower(trim(split_part(line, ':', 1))) AS low
         FROM (SELECT target, status_code, unnest(string_split(raw_headers, chr(10))) AS line FROM {v}) WHERE contains(line, ':'))"""
 
 
-def _tag_rows(where: str) -> str:
+def _tag_rows(where: str, view: str) -> str:
     """Script and link tags of HTML captures, first of each address per page."""
     p = _s(C.RESOURCE_TAG)
-    return duck_with("captures") + f""",
+    return duck_with(view) + f""",
 tags AS (SELECT target, url, generate_subscripts(m, 1) AS pos, unnest(m) AS tag FROM
-  (SELECT target, url, regexp_extract_all(body, {p}, 0) AS m FROM captures WHERE contains(lower(content_type), 'text/html'))),
+  (SELECT target, url, regexp_extract_all(body, {p}, 0) AS m FROM {view} WHERE contains(lower(content_type), 'text/html'))),
 res AS (SELECT target, url, pos, lower(regexp_extract(tag, {p}, 1)) AS tag, regexp_extract(tag, {p}, 3) AS res,
         lower(regexp_extract(tag, {p}, 2) || regexp_extract(tag, {p}, 4)) AS rest FROM tags),
 firsts AS (SELECT *, row_number() OVER (PARTITION BY target, url, res ORDER BY pos) AS rn FROM res WHERE {where})
@@ -200,14 +200,16 @@ variants AS (SELECT word, word AS rel FROM words
   UNION SELECT word, word || '/' FROM words WHERE bare
   UNION SELECT word, word || '.' || col0 FROM words, {_values([(e,) for e in C.CANDIDATE_EXTENSIONS])} WHERE bare)"""
 
-_PAIRS = """
-q AS (SELECT page_id, url, generate_subscripts(p, 1) AS pos, unnest(p) AS part FROM (
-  SELECT page_id, url, string_split(regexp_extract(url, '[?]([^#]*)', 1), '&') AS p FROM redirects WHERE contains(url, '?'))),
-pairs AS (SELECT page_id, url, pos, (row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1)::INT AS param_index,
+def _pairs(view: str) -> str:
+    return f"""
+q AS (SELECT page_id, target, url, generate_subscripts(p, 1) AS pos, unnest(p) AS part FROM (
+  SELECT page_id, target, url, string_split(regexp_extract(url, '[?]([^#]*)', 1), '&') AS p FROM {view} WHERE contains(url, '?'))),
+pairs AS (SELECT page_id, target, url, pos, (row_number() OVER (PARTITION BY page_id, url ORDER BY pos) - 1)::INT AS param_index,
   url_decode(replace(split_part(part, '=', 1), '+', ' ')) AS key,
   url_decode(replace(CASE WHEN contains(part, '=') THEN substr(part, strpos(part, '=') + 1) ELSE '' END, '+', ' ')) AS value
   FROM q WHERE part <> '')"""
 
+
 _FP = ("md5(trim(regexp_replace(regexp_replace(body, '[0-9]+', '#', 'g'), "
        "'[\\s\\x{a0}\\x{2003}]+', ' ', 'g')))")
 
@@ -322,32 +324,64 @@ SELECT target, position::INT AS position, url, category, value, greatest(n - 5,
 ORACLES["scan_stats"] = duck_with("captures") + """
 SELECT target, count(DISTINCT url) AS urls_scanned, 0::BIGINT AS errors FROM captures GROUP BY ALL"""
 
-ORACLES["file_references"] = duck_with("captures") + f"""
+
+def _references(view: str) -> str:
+    return duck_with(view) + f"""
 SELECT DISTINCT target, url, 'sensitive_file_reference' AS category, value FROM (
-  SELECT target, url, unnest(regexp_extract_all(body, {_s(C.FILE_REFERENCE)}, 1)) AS value FROM captures)
+  SELECT target, url, unnest(regexp_extract_all(body, {_s(C.FILE_REFERENCE)}, 1)) AS value FROM {view})
 WHERE (regexp_matches(lower(value), '[.](env|sql|bak|backup|old|log|pem|key|crt|cert|pfx|sqlite|db|mdb|dump|yml|yaml|ini|conf|config|htaccess)$')
    OR regexp_extract(lower(value), '[^/]*$', 0) IN ({_list(C.REFERENCE_NAMES)}))"""
-ORACLES["exposed_files"] = duck_with("file_captures") + f""",
+
+
+def _exposed(view: str) -> str:
+    return duck_with(view) + f""",
 suffixes AS (SELECT col0 AS suffix, length(col0) AS n FROM {_values([(f,) for f in C.SENSITIVE_FILES])}),
-best AS (SELECT c.target, c.url, c.content_type, c.status_code, c.body, c.body_bytes, s.suffix, row_number() OVER (PARTITION BY c.page_id ORDER BY s.n DESC) AS rn
-  FROM file_captures c JOIN suffixes s ON ends_with(lower(regexp_extract(c.url, '^https?://[^/?#]*([^?#]*)', 1)), lower(s.suffix)))
+best AS (SELECT c.target, c.url, c.content_type, c.status_code, c.body, c.body_bytes, s.suffix, row_number() OVER (PARTITION BY c.page_id, c.url ORDER BY s.n DESC) AS rn
+  FROM {view} c JOIN suffixes s ON ends_with(lower(regexp_extract(c.url, '^https?://[^/?#]*([^?#]*)', 1)), lower(s.suffix)) WHERE c.status_code = 200)
 SELECT target, url, 'exposed_sensitive_file' AS category, 'Exposed ' || suffix || ' file (' || body_bytes::VARCHAR || ' bytes)' AS value,
        'high' AS confidence, content_type, status_code
 FROM best WHERE rn = 1 AND {_confirmed(_kind('suffix'))}"""
-ORACLES["content_confirmation"] = duck_with("file_captures") + f"""
-SELECT url, name, content_type, {_confirmed(_kind())} AS confirmed FROM file_captures"""
-ORACLES["directory_listing"] = duck_with("captures") + f"""
+
+
+def _listings(view: str) -> str:
+    return duck_with(view) + f"""
 SELECT target, url, 'directory_listing' AS category, 'Directory listing (autoindex) is enabled' AS value, 'high' AS confidence, lower(content_type) AS content_type
-FROM captures WHERE contains(lower(content_type), 'text/html') AND regexp_matches(body, {_s(C.LISTING_TITLE)}) AND regexp_matches(body, {_s(C.LISTING_MARKER)})"""
+FROM {view} WHERE contains(lower(content_type), 'text/html') AND regexp_matches(body, {_s(C.LISTING_TITLE)}) AND regexp_matches(body, {_s(C.LISTING_MARKER)})"""
 
-ORACLES["mixed_content"] = _tag_rows("starts_with(url, 'https:') AND starts_with(lower(res), 'http://')") + """
+
+def _mixed(view: str) -> str:
+    return _tag_rows("starts_with(url, 'https:') AND starts_with(lower(res), 'http://')", view) + """
 SELECT target, url, 'mixed_content' AS category, 'Insecure <' || tag || '> resource loaded over HTTP on an HTTPS page: ' || res AS value,
        'medium' AS confidence, res AS evidence FROM firsts WHERE rn = 1"""
-ORACLES["missing_sri"] = _tag_rows(
-    "lower(regexp_extract(res, '^https?://([^/?#]*)', 1)) NOT IN ('', lower(regexp_extract(url, '^https?://([^/?#]*)', 1))) "
-    "AND NOT contains(rest, 'integrity=')") + """
+
+
+def _unpinned(view: str) -> str:
+    return _tag_rows(
+        "lower(regexp_extract(res, '^https?://([^/?#]*)', 1)) NOT IN ('', lower(regexp_extract(url, '^https?://([^/?#]*)', 1))) "
+        "AND NOT contains(rest, 'integrity=')", view) + """
 SELECT target, url, 'sri_missing' AS category, 'Cross-origin <' || tag || '> without Subresource Integrity: ' || res AS value,
        'low' AS confidence, res AS evidence FROM firsts WHERE rn = 1"""
+
+
+def _content(view: str) -> str:
+    """Secrets and content checks of eligible captures."""
+    return (duck_with(view) + f", p AS (SELECT target, url, body AS text FROM {view} WHERE {_ELIGIBLE}), "
+            + _raw("p", "target") + "," + _VALID + f"""
+SELECT target, url, category, shown AS value, arg_min(confidence, detector_ord * 100000 + match_ord) AS confidence FROM valid GROUP BY ALL
+UNION ALL SELECT {_KEY} FROM ({_listings(view)}) WHERE url IN (SELECT url FROM p)
+UNION ALL SELECT {_KEY} FROM ({_mixed(view)}) WHERE url IN (SELECT url FROM p)
+UNION ALL SELECT {_KEY} FROM ({_unpinned(view)}) WHERE url IN (SELECT url FROM p)
+UNION ALL SELECT target, url, category, value, 'low' FROM ({_references(view)}) WHERE url IN (SELECT url FROM p)""")
+
+
+_ELIGIBLE = f"status_code = 200 AND {_any('lower(content_type)', C.TEXT_TYPES)}"
+ORACLES["file_references"] = _references("captures")
+ORACLES["exposed_files"] = _exposed("file_captures")
+ORACLES["content_confirmation"] = duck_with("file_captures") + f"""
+SELECT url, name, content_type, {_confirmed(_kind())} AS confirmed FROM file_captures"""
+ORACLES["directory_listing"] = _listings("captures")
+ORACLES["mixed_content"] = _mixed("captures")
+ORACLES["missing_sri"] = _unpinned("captures")
 ORACLES["security_headers"] = _CAP + "," + _EV + f"""
 SELECT c.target, c.url, 'Missing header: ' || r.col1 AS value, 'medium' AS confidence, r.col2 AS cwe_id, c.status_code, ev.evidence, r.col3 AS remediation
 FROM captures c JOIN ev USING (page_id), {_values(C.REQUIRED_HEADERS)} r
@@ -431,11 +465,17 @@ SELECT c.target, c.url, 'waf_detected' AS category, 'WAF/CDN detected: ' || t.na
   concat_ws(chr(10), ln.ls, 'Set-Cookie contains: ' || by_c.cs) AS evidence
 FROM hit t JOIN captures c USING (page_id) LEFT JOIN ln ON ln.page_id = t.page_id AND ln.i = t.i LEFT JOIN by_c ON by_c.page_id = t.page_id AND by_c.i = t.i"""
 
-ORACLES["query_params"] = duck_with("redirects") + "," + _PAIRS + "\nSELECT page_id, url, param_index, key, value FROM pairs"
-ORACLES["ssrf_candidates"] = duck_with("redirects") + "," + _PAIRS + f"""
-SELECT r.target, p.url, 'ssrf_candidate' AS category, 'Parameter ''' || key || ''' accepts what looks like a URL - possible SSRF sink' AS value, 'low' AS confidence,
-  'Parameter name: ' || key AS evidence FROM pairs p JOIN redirects r USING (page_id) WHERE regexp_matches(trim(key), {_s(C.URL_PARAM_NAME)})"""
-ORACLES["open_redirect"] = duck_with("redirects") + "," + _PAIRS + f""",
+ORACLES["query_params"] = duck_with("redirects") + "," + _pairs("redirects") + "\nSELECT page_id, url, param_index, key, value FROM pairs"
+
+
+def _fetching(view: str) -> str:
+    return duck_with(view) + "," + _pairs(view) + f"""
+SELECT target, url, 'ssrf_candidate' AS category, 'Parameter ''' || key || ''' accepts what looks like a URL - possible SSRF sink' AS value, 'low' AS confidence,
+  'Parameter name: ' || key AS evidence FROM pairs WHERE regexp_matches(trim(key), {_s(C.URL_PARAM_NAME)})"""
+
+
+ORACLES["ssrf_candidates"] = _fetching("redirects")
+ORACLES["open_redirect"] = duck_with("redirects") + "," + _pairs("redirects") + f""",
 o AS (SELECT *, lower(regexp_extract(final_url, '^https?://([^/?#]*)', 1)) AS fh FROM redirects WHERE redirected AND NOT {_scope('final_url', 'target')}),
 h AS (SELECT o.target, o.url, o.final_url, o.fh, p.key, row_number() OVER (PARTITION BY o.page_id ORDER BY p.pos) AS rn FROM o JOIN pairs p USING (page_id)
   WHERE p.value <> '' AND o.fh <> '' AND (contains(lower(p.value), o.fh) OR contains(o.final_url, rtrim(p.value, '/'))))
@@ -480,15 +520,7 @@ SELECT target, url, category, shown AS value, confidence FROM valid v WHERE NOT
   SELECT 1 FROM (SELECT target, url, {_FP} AS fp FROM soft_pages) s JOIN (SELECT target, {_FP} AS fp FROM baselines) b ON s.target = b.target AND s.fp = b.fp
   WHERE s.target = v.target AND s.url = v.url)"""
 
-_ELIGIBLE = f"status_code = 200 AND {_any('lower(content_type)', C.TEXT_TYPES)}"
-ORACLES["content_scan"] = (
-    duck_with("captures") + f", p AS (SELECT target, url, body AS text FROM captures WHERE {_ELIGIBLE}), "
-    + _raw("p", "target") + "," + _VALID + f"""
-SELECT target, url, category, shown AS value, arg_min(confidence, detector_ord * 100000 + match_ord) AS confidence FROM valid GROUP BY ALL
-UNION ALL SELECT {_KEY} FROM ({ORACLES["directory_listing"]}) WHERE url IN (SELECT url FROM p)
-UNION ALL SELECT {_KEY} FROM ({ORACLES["mixed_content"]}) WHERE url IN (SELECT url FROM p)
-UNION ALL SELECT {_KEY} FROM ({ORACLES["missing_sri"]}) WHERE url IN (SELECT url FROM p)
-UNION ALL SELECT target, url, category, value, 'low' FROM ({ORACLES["file_references"]}) WHERE url IN (SELECT url FROM p)""")
+ORACLES["content_scan"] = _content("captures")
 
 ORACLES["ct_subdomains"] = duck_with("ct", "dns") + """,
 n AS (SELECT DISTINCT domain, ltrim(lower(trim(unnest(string_split(name_value, chr(10))))), '*.') AS host FROM ct)
@@ -532,6 +564,24 @@ h AS (SELECT *, row_number() OVER (PARTITION BY target, url, param_index ORDER B
 SELECT target, test_url AS url, 'ssti' AS category, 'Possible Server-Side Template Injection: parameter ''' || param || ''' evaluates ''' || payload || ''' to ' || n AS value,
   'high' AS confidence, 'Injected: ' || payload || chr(10) || 'Evaluated to: ' || n AS evidence FROM h WHERE rn = 1"""
 
+# The life cycle: what the checks find on their own, less what stands on catch-all pages, once per finding.
+_AUDIT = ("mixed_content", "missing_sri", "weak_nosniff", "version_banners", "cookie_flags", "cors_audit", "risky_methods", "tls_health",
+          "security_txt_missing", "graphql_introspection", "tech_fingerprint", "meta_generator", "waf_detection", "open_redirect",
+          "ct_subdomains", "dns_subdomains", "open_ports", "probe_reflection", "probe_db_error", "probe_file_disclosure", "probe_template_eval")
+_INFORMATIONAL = ("tech_fingerprint", "subdomain_found", "port_scan_unreliable", "ssrf_candidate", "waf_detected")
+ORACLES["full_scan"] = f"""
+WITH soft AS (SELECT target, url || '/soft' AS url FROM ({duck_with("soft_pages")} SELECT target, url FROM soft_pages WHERE page_id % 4 IN (0, 1))),
+seen AS (
+  SELECT {_KEY}, {_cwe('category')} AS cwe_id FROM (
+    SELECT {_KEY} FROM ({_content("page_captures")}) f WHERE NOT EXISTS (SELECT 1 FROM soft s WHERE s.target = f.target AND s.url = f.url)
+    UNION ALL SELECT {_KEY} FROM ({_exposed("page_captures")}) f WHERE NOT EXISTS (SELECT 1 FROM soft s WHERE s.target = f.target AND s.url = f.url)
+    UNION ALL SELECT url, url, category, 'Port scan skipped: unassigned ports accepted a connection', confidence FROM ({ORACLES["unreliable_hosts"]})
+    UNION ALL SELECT {_KEY} FROM ({_fetching("page_captures")})
+    {" ".join(f"UNION ALL SELECT {_KEY} FROM ({ORACLES[name]})" for name in _AUDIT)})
+  UNION ALL SELECT target, url, 'security_headers', value, confidence, cwe_id FROM ({ORACLES["security_headers"]}))
+SELECT DISTINCT {_KEY}, cwe_id, category IN ({_list(_INFORMATIONAL)})
+  OR category = 'open_port' AND regexp_matches(value, '^Open port (80|443) ') AS informational FROM seen"""
+
 _CELLS = "".join([
     "'<td class=''mono url''>' || " + _esc("url"), " || '</td><td class=''mono val''>' || " + _esc("value"),
     " || '</td><td class=''mono ev''>&mdash;</td><td class=''mono ctx''>' || " + _esc("context"),

@@ -192,6 +192,12 @@ _VIEWS = {
         SELECT DISTINCT {_ORIGIN} AS target, {_ORIGIN} || '/zqxj' AS url, 'baseline' AS probe, 200 AS status_code,
                '<html><title>Oops 404</title><p>Nothing here, code 31337. token: "' || md5({_ORIGIN}) || '"</p></html>' AS body
         FROM {{pages}}"""),
+    "catch_all_pages": ("SELECT page_id, target, url || '/soft' AS url, status_code, content_type, body FROM soft_pages"),
+    "page_captures": ("""
+        SELECT page_id, target, url, status_code, content_type, body, body_bytes FROM captures
+        UNION ALL SELECT page_id, target, url, status_code, content_type, body, body_bytes FROM file_captures
+        UNION ALL SELECT page_id, target, url, status_code, content_type, body, cast(@bytes(body) as bigint) FROM catch_all_pages
+        UNION ALL SELECT page_id, target, url, cast(NULL as int), cast(NULL as string), cast(NULL as string), cast(NULL as bigint) FROM redirects"""),
     "doc_pages": ("SELECT doc_id, lang AS target, cast(doc_id as string) AS url, 200 AS status_code, text AS body FROM {documents}"),
     "cors_probes": (f"""
         SELECT target, target AS url, 'cors' AS probe, 'https://probe.invalid' AS request_origin, 200 AS status_code,

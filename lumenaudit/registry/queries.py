@@ -398,12 +398,12 @@ def _landed(spark, frame, name):
 
 
 def full_scan(spark, sf):
-    """The whole life cycle over all planted captures and observations, counted."""
-    parts = ["captures", "file_captures", "redirects", "cors_probes", "options_probes", "endpoint_probes", "baselines"]
+    """The whole life cycle over all planted captures and observations."""
+    parts = ["captures", "file_captures", "catch_all_pages", "redirects", "cors_probes", "options_probes", "endpoint_probes", "baselines"]
     responses = O.union_findings(*[conform(view(spark, sf, p)) for p in parts])
     obs = {n: _landed(spark, view(spark, sf, n), n) for n in ("tls", "dns", "ct", "ports", "probe_results")}
     found = scan_captures(_landed(spark, responses, "captures"), words=_words(spark, LABELS), as_of=AS_OF, **obs)
-    return O.category_counts(found)
+    return found.select(*_KEY, "cwe_id", "informational")
 
 
 # --- streaming ---------------------------------------------------------------

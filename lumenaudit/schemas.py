@@ -106,9 +106,19 @@ def found(**fields) -> Column:
     return F.struct(*_filled(fields, _ROW))
 
 
+def as_detection(**fields) -> Column:
+    """The same with every field of its type."""
+    return found(**fields).cast(T.StructType([f for f in FINDING.fields if f.name not in _ROW]))
+
+
+def gathered(*detections: Column) -> Column:
+    """All detections of all given arrays, which may be null, as one array."""
+    arrays = [F.coalesce(a, F.expr(_NONE)) for a in detections]
+    return F.concat(*arrays) if len(arrays) > 1 else arrays[0]
+
+
 def detect(df: DataFrame, *detections: Column) -> DataFrame:
     """All detections of all given arrays as findings, in one pass over the rows."""
-    arrays = [F.coalesce(a, F.expr(_NONE)) for a in detections]
     source = [F.col("source_id") if "source_id" in df.columns else F.lit(None).cast("string").alias("source_id")]
-    d = df.select("target", *source, F.inline(F.concat(*arrays) if len(arrays) > 1 else arrays[0]))
+    d = df.select("target", *source, F.inline(gathered(*detections)))
     return d.select(*FINDING_COLUMNS)
