@@ -613,3 +613,8 @@ ORACLES["stream_dedup"] = _KEPT + "\nSELECT target, url, category, value AS valu
 ORACLES["stream_dedup_watermark"] = ORACLES["stream_dedup"]
 ORACLES["stream_counts"] = _KEPT + "\nSELECT target, category, count(*)::BIGINT AS n FROM kept GROUP BY ALL"
 ORACLES["stream_verdicts"] = ORACLES["overall_risk"]
+ORACLES["stream_first_wins"] = ORACLES["finding_dedup"]
+ORACLES["stream_merged_verdicts"] = ORACLES["overall_risk"]
+ORACLES["stream_endpoints"] = f"""
+SELECT {_KEY}, evidence FROM ({ORACLES["security_txt_missing"]}) UNION ALL SELECT {_KEY}, evidence FROM ({ORACLES["graphql_introspection"]})"""
+ORACLES["stream_full_scan"] = ORACLES["full_scan"]

@@ -12,12 +12,12 @@ from lumenaudit.functions import text as X
 from lumenaudit.functions import urls as U
 from lumenaudit.operators import discovery, endpoints, files, params, probes, recon, secrets, soft404, web
 from lumenaudit.operators import findings as O
-from lumenaudit.plans.scan import content_findings, scan_captures, scan_corpus
+from lumenaudit.plans.scan import capture_records, content_findings, scan_captures, scan_corpus, scan_records
 from lumenaudit.registry.planted import LABELS, WORDS, view, view_of
 from lumenaudit.sources import reports
 from lumenaudit.sources.captures import conform, eligible
 from lumenaudit.session import shared_folder
-from lumenaudit.streaming import streams
+from lumenaudit.streaming import merged, streams
 
 AS_OF = "2025-07-01 00:00:00"
 _KEY = ("target", "url", "category", "value", "confidence")
@@ -397,12 +397,19 @@ def _landed(spark, frame, name):
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def full_scan(spark, sf):
-    """The whole life cycle over all planted captures and observations."""
+def _responses(spark, sf):
     parts = ["captures", "file_captures", "catch_all_pages", "redirects", "cors_probes", "options_probes", "endpoint_probes", "baselines"]
-    responses = O.union_findings(*[conform(view(spark, sf, p)) for p in parts])
+    return O.union_findings(*[conform(view(spark, sf, p)) for p in parts])
+
+
+def _observations(spark, sf):
     obs = {n: _landed(spark, view(spark, sf, n), n) for n in ("tls", "dns", "ct", "ports", "probe_results")}
-    found = scan_captures(_landed(spark, responses, "captures"), words=_words(spark, LABELS), as_of=AS_OF, **obs)
+    return {**obs, "words": _words(spark, LABELS), "as_of": AS_OF}
+
+
+def full_scan(spark, sf):
+    """The whole life cycle over all planted captures and observations."""
+    found = scan_captures(_landed(spark, _responses(spark, sf), "captures"), **_observations(spark, sf))
     return found.select(*_KEY, "cwe_id", "informational")
 
 
@@ -468,6 +475,46 @@ def stream_verdicts(spark, sf):
     return streams.verdicts(_counts(spark, sf))
 
 
+def _arriving(spark, frame, name, batches=3):
+    """The table as a stream that arrives in some micro-batches."""
+    path = _run_folder(spark, name)
+    frame.repartition(batches).write.parquet(path)
+    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _merged(spark, sf):
+    """Findings of documents that arrive in micro-batches, merged batch by batch."""
+    found = streams.stream_findings(_arriving(spark, view(spark, sf, "docs"), "docs"))
+    out = _run_folder(spark, "merged")
+    tables = merged.FindingTables(spark, out, found.schema, every=2)
+    tables.write(found, f"{out}/state", {"availableNow": True}).awaitTermination()
+    return tables
+
+
+def stream_first_wins(spark, sf):
+    """First-wins de-duplication over a stream: by the findings' order, not by arrival."""
+    return _merged(spark, sf).findings().select(*_KEY, "detector_ord", "match_ord")
+
+
+def stream_merged_verdicts(spark, sf):
+    return streams.verdicts(_merged(spark, sf).counts())
+
+
+def stream_endpoints(spark, sf):
+    """Checks across the captures of a target, which arrive in any order."""
+    d = conform(view(spark, sf, "endpoint_probes"))
+    out = _run_folder(spark, "endpoints")
+    facts = merged.EndpointFacts(spark, out, d, every=2)
+    facts.write(_arriving(spark, d, "probes"), f"{out}/state", {"availableNow": True}).awaitTermination()
+    return facts.findings().select(*_KEY, "evidence")
+
+
+def stream_full_scan(spark, sf):
+    """The whole life cycle with captures that arrive in micro-batches: each leaves its records, the scan is derived from all of them."""
+    records = _run(spark, capture_records(_arriving(spark, _responses(spark, sf), "captures")), "records")
+    return scan_records(records, **_observations(spark, sf)).select(*_KEY, "cwe_id", "informational")
+
+
 QUERIES = {f.__name__: f for f in (
     secret_scan, secret_scan_conversations, secret_findings_valid, secret_entropy, finding_context,
     finding_context_all, finding_dedup, findings_enriched, corpus_findings,
@@ -485,4 +532,5 @@ QUERIES = {f.__name__: f for f in (
     probe_reflection, probe_db_error, probe_file_disclosure, probe_template_eval,
     report_csv_rows, report_html_rows, report_html_summary, report_summary, report_json, full_scan,
     stream_scan, stream_content_scan, stream_dedup, stream_dedup_watermark, stream_counts, stream_verdicts,
+    stream_first_wins, stream_merged_verdicts, stream_endpoints, stream_full_scan,
 )}
