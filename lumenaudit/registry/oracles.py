@@ -582,20 +582,44 @@ seen AS (
 SELECT DISTINCT {_KEY}, cwe_id, category IN ({_list(_INFORMATIONAL)})
   OR category = 'open_port' AND regexp_matches(value, '^Open port (80|443) ') AS informational FROM seen"""
 
-_CELLS = "".join([
-    "'<td class=''mono url''>' || " + _esc("url"), " || '</td><td class=''mono val''>' || " + _esc("value"),
-    " || '</td><td class=''mono ev''>&mdash;</td><td class=''mono ctx''>' || " + _esc("context"),
-    " || '</td><td class=''mono rem''>' || " + _esc(_s("<advice> & 'more'")) + " || '</td></tr>'"])
+
+def _entry(name: str, expr: str) -> str:
+    return f"CASE WHEN coalesce({expr}, '') = '' THEN '' ELSE '<dt>{name}</dt><dd>' || " + _esc(expr) + " || '</dd>' END"
+
+
 ORACLES["report_csv_rows"] = _KEPT_LINES + f"""
 SELECT {_cwe('category')} AS cwe_id, category, confidence, {_risk('category')} AS risk, url, value, '' AS content_type, '' AS status_code,
   context, '' AS evidence, '' AS informational, coalesce(nullif({_advice('category')}, ''), context) AS remediation,
   {_pattern('detector_ord')} AS pattern FROM kept"""
-ORACLES["report_html_rows"] = _KEPT_LINES + f"""
-SELECT target, '<tr><td><span class=''pill cwe''>' || {_cwe('category')} || '</span><br/><span class=''pill ' || lower({_risk('category')}) || chr(39) || '>' || category ||
-  '</span></td><td>' || confidence || '</td>' || {_CELLS} AS row FROM kept"""
+_SHOWN_FIELDS = " || ".join([
+    _entry("value", "value"), _entry("url", "url"), _entry("confidence", "confidence"), _entry("cwe_id", "cwe"), _entry("context", "context"),
+    _entry("remediation", "remediation"), _entry("pattern", "pattern")])
+ORACLES["report_html_rows"] = _KEPT_LINES + f""",
+shown AS (SELECT *, {_cwe('category')} AS cwe, coalesce(nullif({_advice('category')}, ''), context) AS remediation, {_pattern('detector_ord')} AS pattern FROM kept)
+SELECT target, '<section data-risk="' || lower({_risk('category')}) || '"><h2>' || category || '</h2><dl>' || {_SHOWN_FIELDS} || '</dl></section>' AS row FROM shown
+UNION ALL SELECT 'https://clean.corpus.test', '<section data-risk="none"><h2>No findings</h2><dl><dt>target</dt><dd>https://clean.corpus.test</dd></dl></section>'
+UNION ALL SELECT target, '<section data-risk="none"><h2>No findings</h2><dl><dt>target</dt><dd>' || target || '</dd></dl></section>'
+  FROM (SELECT DISTINCT target FROM docs) WHERE target NOT IN (SELECT target FROM kept)"""
 ORACLES["report_html_summary"] = _KEPT + f"""
-SELECT target, '<tr><td>' || category || '</td><td class=''num''>' || n::VARCHAR || '</td><td><span class=''pill ' || lower(risk) || '''>' || risk || '</span></td></tr>' AS row
+SELECT target, '<section data-risk="' || lower(risk) || '"><h2>' || category || '</h2><dl><dt>risk</dt><dd>' || risk || '</dd><dt>findings</dt><dd>' || n::VARCHAR || '</dd></dl></section>' AS row
 FROM (SELECT target, category, {_risk('category')} AS risk, count(*) AS n FROM kept GROUP BY ALL)"""
+_RUN_ENTRIES = (
+    ("run", 1, "session_provided", "true"), ("run", 2, "active", "false"), ("run", 3, "recon", "true"), ("run", 6, "depth", "2"),
+    ("run", 7, "timestamp", "2025-07-01T00:00:00"), ("run", 8, "scanner_version", "0.1.0"),
+    ("reproducibility", 0, "command", "scan --session &lt;REDACTED&gt; all"), ("reproducibility", 1, "tls_verify", "false"),
+    ("reproducibility", 2, "active_probing", "false"), ("reproducibility", 3, "max_urls", "500"),
+    ("limitations", 0, "limitation", "Posture checks cover the root of each target, not every discovered host."),
+    ("limitations", 1, "limitation", "No recorded probe results were triaged; application weaknesses were not tested."),
+    ("limitations", 2, "limitation", "Certificates were not verified during acquisition; TLS findings are advisory."),
+    ("limitations", 3, "limitation", "Findings are passive observations; confirm each from its evidence before acting."))
+ORACLES["report_html_header"] = duck_with("docs", "captures") + f""",
+t AS (SELECT DISTINCT target FROM docs),
+n AS (SELECT sum(u) AS u FROM (SELECT count(DISTINCT url) AS u FROM captures GROUP BY target)),
+e AS (SELECT target, col0 AS part, col1 AS position, col2 AS name, col3 AS said FROM t, {_values(_RUN_ENTRIES)}
+  UNION ALL SELECT target, 'run', 0, 'target', target FROM t
+  UNION ALL SELECT target, 'run', 4, 'urls_scanned', (CASE WHEN target = 'https://wiki.corpus.test' THEN (SELECT u FROM n) ELSE 0 END)::BIGINT::VARCHAR FROM t
+  UNION ALL SELECT target, 'run', 5, 'errors', '0' FROM t)
+SELECT target, part, position::INT AS position, '<dt>' || name || '</dt><dd>' || said || '</dd>' AS row FROM e"""
 ORACLES["report_summary"] = _SUMMARY + """
 SELECT v.target, coalesce(sum(p.n), 0)::BIGINT AS total_findings, coalesce(sum(p.n), 0)::BIGINT AS actionable_findings, v.risk_assessment,
   '{' || coalesce(string_agg('"' || p.category || '":' || p.n::VARCHAR, ',' ORDER BY p.category), '') || '}' AS category_counts

@@ -360,14 +360,22 @@ def report_csv_rows(spark, sf):
 
 
 def report_html_rows(spark, sf):
-    d = _report(spark, sf, context=True).withColumn("remediation", F.lit("<advice> & 'more'"))
-    return reports.html_rows(d)
+    extra = spark.createDataFrame([("https://clean.corpus.test",)], "target string")
+    return reports.html_rows(_report(spark, sf, context=True), _targets(spark, sf).unionByName(extra))
 
 
 def report_html_summary(spark, sf):
     return reports.html_summary_rows(O.category_counts(_report(spark, sf)))
 
 
+def report_html_header(spark, sf):
+    """Header entries of a run with a session, which is not shown, and what the run leaves open."""
+    run = {"session": "k3y<&>", "command": "scan --session k3y<&> all", "timestamp": "2025-07-01T00:00:00", "depth": 2, "max_urls": 500}
+    stats = O.scan_stats(_captures(spark, sf)).select(F.lit("https://wiki.corpus.test").alias("target"), "urls_scanned", "errors") \
+        .groupBy("target").agg(F.sum("urls_scanned").alias("urls_scanned"), F.sum("errors").alias("errors"))
+    return reports.html_header_rows(reports.report_header(_report(spark, sf), _targets(spark, sf), stats, run))
+
+
 def report_summary(spark, sf):
     """The flat part of the report header, with the category counts as text."""
     h = reports.report_header(_report(spark, sf), _targets(spark, sf))
@@ -530,7 +538,7 @@ QUERIES = {f.__name__: f for f in (
     page_fingerprints, soft404_exact, soft404_similar, content_without_soft404, content_scan,
     ct_subdomains, dns_subdomains, open_ports, unreliable_hosts, port_banners,
     probe_reflection, probe_db_error, probe_file_disclosure, probe_template_eval,
-    report_csv_rows, report_html_rows, report_html_summary, report_summary, report_json, full_scan,
+    report_csv_rows, report_html_rows, report_html_summary, report_html_header, report_summary, report_json, full_scan,
     stream_scan, stream_content_scan, stream_dedup, stream_dedup_watermark, stream_counts, stream_verdicts,
     stream_first_wins, stream_merged_verdicts, stream_endpoints, stream_full_scan,
 )}

@@ -291,9 +291,11 @@ def test_csv_without_findings_has_a_header(spark, tmp_path):
 
 
 def test_html_is_escaped(spark):
-    rows = [r.row for r in reports.html_rows(awkward(spark)).collect()]
-    assert html.escape('a "quoted", <b>\'x\'</b>') in rows[0] and "pill info" in rows[0] and "<b>" not in rows[0]
-    assert "<td class='mono ev'>&mdash;</td>" in rows[1] and "only context" in rows[1]
+    targets = spark.createDataFrame([("t",), ("clean <t>",)], "target string")
+    rows = [r.row for r in reports.html_rows(awkward(spark), targets).collect()]
+    assert html.escape('a "quoted", <b>\'x\'</b>') in rows[0] and "<dd>informational</dd>" in rows[0] and "<b>" not in rows[0]
+    assert "<dt>evidence</dt>" not in rows[1] and "<dt>remediation</dt><dd>only context</dd>" in rows[1]
+    assert [r for r in rows if "No findings" in r and "clean &lt;t&gt;" in r] == rows[2:]
 
 
 def test_json_and_header(spark, tmp_path):
@@ -309,7 +311,7 @@ def test_json_and_header(spark, tmp_path):
     assert docs["clean"]["summary"]["risk_assessment"] == "NONE" and docs["clean"]["summary"]["category_counts"] == {}
     assert docs["t"]["scan_info"]["reproducibility"]["command"] == "scan -s <REDACTED> x" and "SECRET" not in json.dumps(docs)
     parts = reports.html_header_rows(h).filter("target = 't'").collect()
-    assert {p.part for p in parts} == {"scan_info", "reproducibility", "limitations"}
+    assert {p.part for p in parts} == {"run", "reproducibility", "limitations"}
     assert sum("command" in p.row for p in parts) == 1
 
 
