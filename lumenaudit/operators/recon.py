@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenaudit import advice as A
 from lumenaudit import catalog as C
 from lumenaudit.functions import text as X
+from lumenaudit.functions.order import globally_numbered
 from lumenaudit.functions.skew import salted_join
 from lumenaudit.schemas import finding
 
@@ -46,6 +49,17 @@ def ct_subdomains(entries: DataFrame, dns: DataFrame | None = None, strict: bool
     return _subdomain(d, "certificate transparency", suffix, 40)
 
 
+def host_list(*found: DataFrame) -> DataFrame:
+    """Names found by any source, once each and in order: ``position, target, host``."""
+    names = reduce(DataFrame.unionByName, [d.filter("category = 'subdomain_found'").select("target", F.col("evidence").alias("host")) for d in found])
+    return globally_numbered(names.distinct(), ["target", "host"])
+
+
+def write_hosts(hosts: DataFrame, path: str) -> None:
+    """One name a line; the parts of the folder follow each other in order."""
+    hosts.orderBy("position").select("host").write.mode("overwrite").text(path)
+
+
 def dns_subdomains(dns: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """Word-list names that resolve, outside wildcard zones.
 

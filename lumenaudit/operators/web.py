@@ -223,7 +223,7 @@ def technologies(window: int | None = None) -> Column:
         label = F.lit(product)
         if versioned:
             label = F.rtrim(F.concat(label, F.lit(" "), F.regexp_extract(hay, p, 1)))
-        evidence = F.concat(F.lit(f"{where}: "), X.strip(hay)) if where else F.left(hay, F.lit(120))
+        evidence = F.concat(F.lit(f"{where}: "), X.strip(hay)) if where else F.regexp_extract(hay, p, 0)
         return F.when(hay.rlike(p), X.bind(label, lambda l: found(
             url=page_url(), category="tech_fingerprint", value=F.concat(F.lit("Detected: "), l), confidence="low",
             pattern="recon", evidence=evidence, informational=True,

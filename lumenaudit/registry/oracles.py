@@ -285,7 +285,7 @@ def _tech() -> str:
             src = f"(SELECT c.target, c.url, o.value AS hay FROM captures c JOIN one o ON o.page_id = c.page_id AND o.low = {_s(where)})"
             ev = f"{_s(where + ': ')} || trim(hay)"
         else:
-            src, ev = "(SELECT target, url, body AS hay FROM captures)", "left(hay, 120)"
+            src, ev = "(SELECT target, url, body AS hay FROM captures)", f"regexp_extract(hay, {_s(pattern)}, 0)"
         parts.append(f"SELECT target, url, {version} AS label, {ev} AS evidence FROM {src} WHERE regexp_matches(hay, {_s(pattern)})")
     return " UNION ALL ".join(parts)
 
@@ -510,9 +510,8 @@ WHERE regexp_matches(url, '^https?://') AND {_scope('url', 'target')}"""
 
 ORACLES["page_fingerprints"] = duck_with("doc_pages") + f"""
 SELECT target, CASE WHEN body <> '' THEN {_FP} END AS fp, count(*) AS n FROM doc_pages GROUP BY ALL"""
-ORACLES["soft404_exact"] = duck_with("doc_pages") + f""",
-f AS (SELECT target, url, {_FP} AS fp, length(body) AS n FROM doc_pages WHERE body <> '')
-SELECT DISTINCT target, url FROM f WHERE (target, fp) IN (SELECT (target, fp) FROM f WHERE n < 600)"""
+ORACLES["soft404_exact"] = duck_with("doc_pages", "doc_baselines") + f"""
+SELECT DISTINCT target, url FROM doc_pages WHERE body <> '' AND (target, {_FP}) IN (SELECT (target, {_FP}) FROM doc_baselines WHERE body <> '')"""
 # two of four planted kinds differ from their target's baseline by a few characters
 ORACLES["soft404_similar"] = duck_with("soft_pages") + "SELECT DISTINCT target, url FROM soft_pages WHERE page_id % 4 IN (0, 1)"
 ORACLES["content_without_soft404"] = duck_with("soft_pages", "baselines") + ", p AS (SELECT target, url, body AS text FROM soft_pages), " + _raw("p", "target") + "," + _VALID + f"""
@@ -642,3 +641,29 @@ ORACLES["stream_merged_verdicts"] = ORACLES["overall_risk"]
 ORACLES["stream_endpoints"] = f"""
 SELECT {_KEY}, evidence FROM ({ORACLES["security_txt_missing"]}) UNION ALL SELECT {_KEY}, evidence FROM ({ORACLES["graphql_introspection"]})"""
 ORACLES["stream_full_scan"] = ORACLES["full_scan"]
+
+# Counts and verdicts of the whole scan: weights and limits are those of the catalogue.
+ORACLES["scan_verdicts"] = f"""
+WITH f AS ({ORACLES["full_scan"]}),
+per AS (SELECT target, category, count(*) AS n, count(*) FILTER (NOT informational) AS todo, {_risk('category')} AS risk,
+          max(CASE WHEN informational THEN NULL WHEN confidence = 'high' THEN 10 WHEN confidence = 'medium' THEN 7 ELSE 4 END) AS conf FROM f GROUP BY ALL),
+s AS (SELECT target, sum(n) AS total, sum(n - todo) AS info, sum(todo) AS todo,
+        coalesce(sum(CASE WHEN todo > 0 THEN CASE risk WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END * least(todo, 3) * conf END), 0) AS score,
+        bool_or(todo > 0 AND risk = 'HIGH') AS high, bool_or(todo > 0 AND risk = 'HIGH' AND conf >= 7) AS severe FROM per GROUP BY ALL)
+SELECT target, total::BIGINT AS total_findings, info::BIGINT AS informational_findings, todo::BIGINT AS actionable_findings, score::BIGINT AS score_tenths,
+  CASE WHEN severe AND score >= 80 THEN 'CRITICAL' WHEN severe OR score >= 50 THEN 'HIGH' WHEN high OR score >= 25 THEN 'MEDIUM'
+       WHEN score > 0 THEN 'LOW' ELSE 'NONE' END AS risk_assessment FROM s
+UNION ALL SELECT 'https://clean.test', 0, 0, 0, 0, 'NONE'"""
+ORACLES["scan_errors"] = duck_with("page_captures", "cors_probes", "options_probes", "endpoint_probes", "baselines") + """,
+every AS (SELECT target, url, status_code FROM page_captures UNION ALL SELECT target, url, status_code FROM cors_probes
+  UNION ALL SELECT target, url, status_code FROM options_probes UNION ALL SELECT target, url, status_code FROM endpoint_probes
+  UNION ALL SELECT target, url, status_code FROM baselines)
+SELECT target, count(DISTINCT url) AS urls_scanned, count(*) FILTER (status_code IS NULL) AS errors FROM every GROUP BY ALL"""
+ORACLES["subdomain_list"] = f"""
+WITH n AS (SELECT target, evidence AS host FROM ({ORACLES["ct_subdomains"]}) UNION SELECT target, evidence FROM ({ORACLES["dns_subdomains"]}))
+SELECT row_number() OVER (ORDER BY target, host) - 1 AS position, target, host FROM n"""
+ORACLES["word_list_hits"] = ORACLES["candidate_hits"]
+ORACLES["landed_captures"] = duck_with("landed") + """
+SELECT target, CASE WHEN kind > 3 THEN 'root' ELSE 'page' END AS probe, CASE WHEN kind > 3 THEN 'text/html' END AS content_type, count(*) AS n,
+  sum(CASE WHEN kind > 3 THEN size END)::BIGINT AS body_bytes FROM landed WHERE kind > 2 GROUP BY ALL
+UNION ALL SELECT CASE WHEN kind = 2 THEN 'no target or url' ELSE 'unreadable' END, NULL, NULL, count(*), NULL FROM landed WHERE kind < 3 GROUP BY 1"""

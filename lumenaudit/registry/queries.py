@@ -15,7 +15,7 @@ from lumenaudit.operators import findings as O
 from lumenaudit.plans.scan import capture_records, content_findings, scan_captures, scan_corpus, scan_records
 from lumenaudit.registry.planted import LABELS, WORDS, view, view_of
 from lumenaudit.sources import reports
-from lumenaudit.sources.captures import conform, eligible
+from lumenaudit.sources.captures import conform, eligible, read_landed, read_words
 from lumenaudit.session import shared_folder
 from lumenaudit.streaming import merged, streams
 
@@ -265,6 +265,22 @@ def candidate_hits(spark, sf):
     return discovery.candidate_hits(view(spark, sf, "word_captures"), _words(spark))
 
 
+def word_list_hits(spark, sf):
+    """The same with a word list read from a file."""
+    path = _run_folder(spark, "words")
+    spark.createDataFrame([(w,) for w in WORDS], "value string").write.text(path)
+    return discovery.candidate_hits(view(spark, sf, "word_captures"), read_words(spark, path))
+
+
+def landed_captures(spark, sf):
+    """Captures read from JSON lines, some of them broken, and what went to the quarantine."""
+    path = _run_folder(spark, "landed")
+    view(spark, sf, "landed").select(F.col("line").alias("value")).write.text(path)
+    good, bad = read_landed(spark, path)
+    counted = good.groupBy("target", "probe", "content_type").agg(F.count("*").alias("n"), F.sum("body_bytes").alias("body_bytes"))
+    return counted.unionByName(bad.groupBy(F.col("reason").alias("target")).agg(F.count("*").alias("n")), allowMissingColumns=True)
+
+
 def common_seeds(spark, sf):
     return discovery.common_seeds(view(spark, sf, "hosts"))
 
@@ -286,10 +302,9 @@ def page_fingerprints(spark, sf):
 
 
 def soft404_exact(spark, sf):
-    """Documents that equal a short document of their language but for numbers and blanks."""
-    d = conform(view(spark, sf, "doc_pages"))
-    base = d.filter(F.length("body") < 600).withColumn("probe", F.lit("baseline"))
-    return soft404.exact_matches(d, soft404.baseline_signatures(base))
+    """Documents that equal the baseline of a source of their language but for numbers and blanks."""
+    base = conform(view(spark, sf, "doc_baselines"))
+    return soft404.exact_matches(conform(view(spark, sf, "doc_pages")), soft404.baseline_signatures(base))
 
 
 def _soft(spark, sf):
@@ -322,6 +337,12 @@ def dns_subdomains(spark, sf):
     return recon.dns_subdomains(view(spark, sf, "dns"), _words(spark, LABELS)).select(*_KEY, "evidence")
 
 
+def subdomain_list(spark, sf):
+    """Names of both sources in order."""
+    dns = view(spark, sf, "dns")
+    return recon.host_list(recon.ct_subdomains(view(spark, sf, "ct"), dns), recon.dns_subdomains(dns, _words(spark, LABELS)))
+
+
 def open_ports(spark, sf):
     return recon.open_ports(view(spark, sf, "ports")).select(*_KEY, "evidence", "informational")
 
@@ -421,6 +442,19 @@ def full_scan(spark, sf):
     return found.select(*_KEY, "cwe_id", "informational")
 
 
+def scan_verdicts(spark, sf):
+    """Totals, score and verdict of every target of a whole scan, one without findings among them."""
+    responses = _landed(spark, _responses(spark, sf), "captures")
+    found = _landed(spark, scan_captures(responses, **_observations(spark, sf)), "findings")
+    targets = found.select("target").unionByName(spark.createDataFrame([("https://clean.test",)], "target string"))
+    return O.summaries(found, targets).drop("category_counts")
+
+
+def scan_errors(spark, sf):
+    """URLs and errors per target over all captures; some have no status."""
+    return O.scan_stats(_responses(spark, sf))
+
+
 # --- streaming ---------------------------------------------------------------
 
 def _stream_texts(spark, sf):
@@ -534,11 +568,11 @@ QUERIES = {f.__name__: f for f in (
     tech_fingerprint, meta_generator, waf_detection,
     open_redirect, ssrf_candidates, query_params, text_eligibility,
     link_extraction, in_scope_links, url_seeds, crawl_frontier, crawl_budget, url_budget,
-    candidate_urls, candidate_hits, common_seeds, robots_paths, sitemap_locs,
+    candidate_urls, candidate_hits, word_list_hits, landed_captures, common_seeds, robots_paths, sitemap_locs,
     page_fingerprints, soft404_exact, soft404_similar, content_without_soft404, content_scan,
-    ct_subdomains, dns_subdomains, open_ports, unreliable_hosts, port_banners,
+    ct_subdomains, dns_subdomains, subdomain_list, open_ports, unreliable_hosts, port_banners,
     probe_reflection, probe_db_error, probe_file_disclosure, probe_template_eval,
-    report_csv_rows, report_html_rows, report_html_summary, report_html_header, report_summary, report_json, full_scan,
+    report_csv_rows, report_html_rows, report_html_summary, report_html_header, report_summary, report_json, full_scan, scan_verdicts, scan_errors,
     stream_scan, stream_content_scan, stream_dedup, stream_dedup_watermark, stream_counts, stream_verdicts,
     stream_first_wins, stream_merged_verdicts, stream_endpoints, stream_full_scan,
 )}

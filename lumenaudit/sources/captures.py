@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lumenaudit import catalog as C
 from lumenaudit.functions import text as X
 from lumenaudit.schemas import RESPONSE
+from lumenaudit.session import written
 
 
 def parse_headers(raw: Column) -> Column:
@@ -43,6 +45,33 @@ def read_captures(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
     return conform(spark.read.schema(RESPONSE).format(fmt).load(path))
 
 
+#: Name of the column that holds a line which is no capture.
+CORRUPT = "_corrupt_record"
+
+
+def read_landed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Captures from JSON lines as crawlers land them, and a quarantine of the lines that are none.
+
+    Fields may be missing (they get their defaults) or unknown (they are left
+    out), so old and new crawlers can land in one folder.  A line that does not
+    parse, has a field of another type, or names neither target nor URL goes to
+    the quarantine with its ``reason``; no line is lost.  The lines are parsed
+    once, into a table of the shared folder that both results read.
+    """
+    raw = spark.read.schema(StructType([*RESPONSE.fields, StructField(CORRUPT, StringType())])).option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    raw = written(raw, "landed")  # parsed with all fields: a scan of some would not notice what is wrong in the others
+    unnamed = F.col("target").isNull() | F.col("url").isNull()
+    good = raw.filter(F.col(CORRUPT).isNull() & ~unnamed)
+    filled = {"probe": F.lit("page"), "method": F.lit("GET"), "redirected": F.lit(False), "final_url": F.col("url"),
+              "body_bytes": F.octet_length("body").cast("long")}
+    good = good.withColumns({c: F.coalesce(F.col(c), v) for c, v in filled.items()}).drop(CORRUPT)
+    plain = [f.name for f in RESPONSE.fields]
+    bad = raw.filter(F.col(CORRUPT).isNotNull() | unnamed).select(
+        F.when(F.col(CORRUPT).isNotNull(), "unreadable").otherwise("no target or url").alias("reason"),
+        F.coalesce(CORRUPT, F.to_json(F.struct(*plain))).alias("line"))
+    return conform(good), bad
+
+
 def stream_captures(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
     """The same from a landing folder as a stream."""
     return conform(spark.readStream.schema(RESPONSE).format(fmt).options(**options).load(path))
