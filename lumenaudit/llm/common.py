@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -52,6 +53,14 @@ def chunks(sizes: list[int], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         yield first, len(sizes)
 
 
+def release() -> None:
+    """Hands memory that is no longer used back to the system: a worker outlives its tasks, and its heap would stay as large as the largest of them made it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
+
+
 def map_texts(df: DataFrame, fn: Callable[[list[bytes], dict], pa.RecordBatch], schema: StructType | str, text: str = "text",
               limit: int = CHUNK_BYTES) -> DataFrame:
     """One pass over a table; ``fn`` gets the texts of a chunk and its other columns, and returns the rows to emit."""
@@ -63,5 +72,7 @@ def map_texts(df: DataFrame, fn: Callable[[list[bytes], dict], pa.RecordBatch],
                 part = batch.slice(a, b - a)
                 rest = {n: part.column(i) for i, n in enumerate(part.schema.names) if n != text}
                 yield fn(part.column(part.schema.get_field_index(text)).to_pylist(), rest)
+            batch = part = rest = None
+            release()
 
     return df.mapInArrow(run, schema)
