@@ -60,3 +60,29 @@ def test_query(spark, sf):
         starts = [i for i, _ in at]
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (n, len(at), min(starts, default=None), max(starts, default=None))
         assert r.base_labels == ",".join(sorted({x for _, x in at})) and set(r.base_labels.split(",")) <= set(r.labels.split(","))
+
+
+def test_words_must_stand_in_order(spark):
+    """Half the pairs in order and the other words in any order are no notice; most words in order, with edits spread over them, are."""
+    label, notice = licenses.NOTICES[0]
+    said = notice.split()
+    half = len(said) // 2
+    shuffled = " ".join(said[:half] + said[:half - 1:-1])
+    edits = " ".join(w if i not in (4, 9, 14) else "other" for i, w in enumerate(said))
+    twice = f"{notice} {words(30, 5)} {notice}"
+    found = {r.doc_id: [(s.label, s.first_word, s.end_word) for s in r.spans if not s.phrase]
+             for r in licenses.license_scan(frame(spark, [shuffled, words(7, 6) + " " + edits, twice])).collect()}
+    n = len(said)
+    assert found == {0: [], 1: [(label, 7, 7 + n)], 2: [(label, 0, n), (label, n + 30, 2 * n + 30)]}
+
+
+def test_common_subsequence():
+    assert licenses.in_order(list("xaybzcw"), list("abc")) == (3, 1, 6)
+    assert licenses.in_order(list("cba"), list("abc")) == (1, 0, 1)
+    assert licenses.in_order([], list("abc")) == (0, 0, 0)
+
+
+def test_many_hits_in_one_long_text(spark):
+    """Hits take their own words along only, so a long text of nothing but phrases is linear."""
+    r = licenses.license_scan(frame(spark, ["cc by " * 200_000])).first()
+    assert r.n_words == 400_000 and len(r.spans) == 200_000 and r.spans[-1].first_word == 399_998
