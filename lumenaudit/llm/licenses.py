@@ -105,15 +105,14 @@ def voted_spans(docs: DataFrame) -> DataFrame:
     around = F.slice("words", c("begin") + 1, c("diagonal") + c("length") + margin - c("begin"))
     hits = hits.select("key", "template", "phrase", "length", "place", "diagonal", "begin", F.array_join(around, " ").alias("said"))
     votes = hits.groupBy("key", "template", "phrase", "length", "diagonal", "begin", "said").agg(F.countDistinct("place").alias("votes"))
-    whole = votes.filter(c("phrase") & (c("votes") == c("length") - (K - 1))).select("key", "template", "begin", "said")
-    notices = votes.filter(~c("phrase"))
     order = Window.partitionBy("key", "template").orderBy("diagonal")
-    fresh = F.coalesce(c("diagonal") - F.lag("diagonal").over(order) > SLACK, F.lit(True))
-    notices = notices.withColumn("span", F.sum(fresh.cast("int")).over(order))
-    merged = notices.groupBy("key", "template", "length", "span").agg(
+    apart = F.when(c("phrase"), F.lit(0)).otherwise(F.lit(SLACK))
+    fresh = F.coalesce(c("diagonal") - F.lag("diagonal").over(order) > apart, F.lit(True))
+    votes = votes.withColumn("span", F.sum(fresh.cast("int")).over(order))
+    merged = votes.groupBy("key", "template", "phrase", "length", "span").agg(
         F.sum("votes").alias("votes"), F.max_by(F.struct("begin", "said"), F.struct("votes", -c("diagonal"))).alias("best"))
-    merged = merged.filter(c("votes") >= F.ceil((c("length") - (NOTICE_K - 1)) * F.lit(VOTES)))
-    return whole.unionByName(merged.select("key", "template", "best.begin", "best.said"))
+    need = F.when(c("phrase"), c("length") - (K - 1)).otherwise(F.ceil((c("length") - (NOTICE_K - 1)) * F.lit(VOTES)))
+    return merged.filter(c("votes") >= need).select("key", "template", "best.begin", "best.said")
 
 
 def in_order(said: list[bytes], expected: list[bytes]) -> tuple[int, int, int]:
