@@ -9,8 +9,8 @@ times as many in the next round, until the members that have not been hubs are
 connected or have all been compared.  Before that, every class learns how many
 of its shingles no other class in a bucket holds: these bound its similarity
 with any other text from above, and so does, for two members of a large bucket,
-what each has in common with the bucket's first hub; classes and pairs whose
-bound lies below the threshold are not compared.  A pair's signatures are compared batch by batch and
+which of the shingles of the bucket's first hub each holds; classes and pairs
+whose bound lies below the threshold are not compared.  A pair's signatures are compared batch by batch and
 the pair is dropped once the posterior probability that its similarity reaches
 the threshold is below ``PRUNE``; survivors are decided on their full sets.
 
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenaudit.functions.skew import first_per_key
+from lumenaudit.functions.skew import SALTS, first_per_key
 from lumenaudit.llm.buckets import answered, ask, bucket_bits, each, entries, low_bits, shared
 from lumenaudit.llm.common import map_texts, row_key, stored, utf8
 from lumenaudit.llm.graph import components
@@ -43,6 +43,7 @@ PRUNE = 1e-6          # chance at which a pair is given up early
 BATCH = 20            # signature places compared at a time
 GROWTH = 31           # hubs per bucket grow by this factor, and one, from round to round
 CROWD = 8             # in larger buckets the first hub is compared in full with every member
+HOT = 256             # members of larger buckets meet its hubs in several tasks
 
 
 def bands_for(threshold: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -163,13 +164,23 @@ def similar_signatures(pairs: DataFrame, places: int, threshold: float) -> DataF
                 matches[left] += (u[left, done:n] == v[left, done:n]).sum(1)
                 left, done = left[matches[left] >= need], n
             kept = batch.take(pa.array(np.union1d(left, np.flatnonzero(np.array(batch.column("crowded").to_pylist(), bool)))))
-            yield pa.RecordBatch.from_arrays([kept.column("u"), kept.column("v")], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([kept.column(c) for c in ("u", "v", "crowded")], ["u", "v", "crowded"])
 
-    return pairs.mapInArrow(run, "u string, v string")
+    return pairs.mapInArrow(run, "u string, v string, crowded boolean")
+
+
+def held_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which values of ``a`` (distinct, sorted) stand in ``b``: a bit each, in 64-bit words."""
+    bits = np.zeros(-(-len(a) // 64) * 64, bool)
+    bits[:len(a)] = np.isin(a, b, assume_unique=True)
+    return np.packbits(bits, bitorder="little").view(np.int64)
 
 
 def compared_sets(pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Shingles that pairs (u, v with texts tu, tv) have in common, and whether 100 * intersection >= percent * union."""
+    """Shingles that pairs (u, v with texts tu, tv) have in common, and whether 100 * intersection >= percent * union.
+
+    For crowded pairs also which of u's shingles v holds (``of_u``), and the other way round.
+    """
 
     def run(batches):
         for batch in batches:
@@ -177,16 +188,20 @@ def compared_sets(pairs: DataFrame, k: int, percent: int) -> DataFrame:
                 part = batch.slice(at, 64)
                 n = part.num_rows
                 h, first = shingle_sets(part.column("tu").to_pylist() + part.column("tv").to_pylist(), k)
-                both, good = [], []
-                for i in range(n):
+                both, good, of_u, of_v = [], [], [], []
+                for i, crowded in enumerate(part.column("crowded").to_pylist()):
                     a, b = h[first[i]:first[i + 1]], h[first[n + i]:first[n + i + 1]]
                     common = len(a) + len(b) - len(np.unique(np.concatenate([a, b])))
                     both.append(common)
                     good.append(100 * common >= percent * (len(a) + len(b) - common))
-                yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v"), pa.array(both, pa.int64()), pa.array(good, pa.bool_())],
-                                                 ["u", "v", "common", "linked"])
+                    of_u.append(held_bits(a, b) if crowded else None)
+                    of_v.append(held_bits(b, a) if crowded else None)
+                words = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("u"), part.column("v"), pa.array(both, pa.int64()), pa.array(good, pa.bool_()), pa.array(of_u, words), pa.array(of_v, words)],
+                    ["u", "v", "common", "linked", "of_u", "of_v"])
 
-    return pairs.mapInArrow(run, "u string, v string, common bigint, linked boolean")
+    return pairs.mapInArrow(run, "u string, v string, common bigint, linked boolean, of_u array<bigint>, of_v array<bigint>")
 
 
 def own_shingles(texts: DataFrame, k: int) -> DataFrame:
@@ -239,12 +254,32 @@ def _at_most(n, own, pivot, n2, own2, pivot2):
     return F.when(known, F.least(plain, through)).otherwise(plain)
 
 
+def _at_most_held(n, own, pivot, held, n2, own2, pivot2, held2):
+    """A closer bound for two classes of which is known which shingles of one hub they hold.
+
+    In common are those of the hub that both hold, counted exactly, and beyond
+    the hub at most what each holds outside it and not alone.
+    """
+    met = F.aggregate(F.zip_with(held, held2, lambda a, b: F.bit_count(a.bitwiseAND(b))), F.lit(0), lambda total, x: total + x)
+    return met + F.least(n - pivot - own, n2 - pivot2 - own2)
+
+
+def _met(members: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Members with the hubs of their buckets; the members of a hot bucket are spread, its few hubs repeated."""
+    salts = lambda size: F.when(size > HOT, F.lit(SALTS)).otherwise(F.lit(1))
+    left = members.withColumn("_salt", F.pmod(F.xxhash64("node"), salts(F.col("size"))).cast("int"))
+    right = hubs.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts(F.col("h_size")) - 1)))
+    return left.join(right, ["bucket", "_salt"])
+
+
 def _candidates(members: DataFrame, hubs: DataFrame, signed: DataFrame, places: int, threshold: float, percent: int) -> DataFrame:
     """Pairs of hubs and members of their buckets that are not connected and may be similar enough."""
     c = F.col
     both = _at_most(c("n"), c("own"), c("pivot"), c("h_n"), c("h_own"), c("h_pivot"))
     first = F.coalesce(F.array_min(F.array_intersect("places", "h_places")) == c("bucket"), F.lit(True))
-    pairs = members.join(hubs, "bucket").filter((c("root") != c("h_root")) & (100 * both >= percent * (c("n") + c("h_n") - both)) & first)
+    close = lambda common: 100 * common >= percent * (c("n") + c("h_n") - common)
+    closer = F.coalesce(close(_at_most_held(c("n"), c("own"), c("pivot"), c("held"), c("h_n"), c("h_own"), c("h_pivot"), c("h_held"))), F.lit(True))
+    pairs = _met(members, hubs).filter((c("root") != c("h_root")) & close(both) & first & closer)
     pairs = pairs.groupBy(F.least("node", "h_node").alias("u"), F.greatest("node", "h_node").alias("v")).agg(
         F.max((c("size") > CROWD) & c("pivot").isNull()).alias("crowded"))
     pairs = (pairs.join(signed.select(c("node").alias("u"), c("signature").alias("su")), "u")
@@ -258,13 +293,14 @@ def _with_texts(pairs: DataFrame, said: DataFrame) -> DataFrame:
 
 
 def _pivoted(members: DataFrame, hubs: DataFrame, found: DataFrame) -> DataFrame:
-    """Members with what they have in common with their bucket's first hub, where that was counted."""
+    """Members with how many and which shingles they have in common with their bucket's first hub, where that was counted."""
     c = F.col
-    with_hub = members.drop("pivot").join(hubs.select("bucket", "h_node", "h_n"), "bucket", "left")
-    common = found.select(c("u").alias("_u"), c("v").alias("_v"), "common")
+    with_hub = members.drop("pivot", "held").join(hubs.select("bucket", "h_node", "h_n"), "bucket", "left")
+    common = found.select(c("u").alias("_u"), c("v").alias("_v"), "common", "of_u", "of_v")
     known = with_hub.join(common, (F.least("node", "h_node") == c("_u")) & (F.greatest("node", "h_node") == c("_v")), "left")
     pivot = F.when(c("node") == c("h_node"), c("h_n")).otherwise(c("common"))
-    return known.select(*[x for x in members.columns if x != "pivot"], pivot.alias("pivot"))
+    held = F.when(c("node") != c("h_node"), F.when(c("h_node") == c("_u"), c("of_u")).otherwise(c("of_v")))
+    return known.select(*[x for x in members.columns if x not in ("pivot", "held")], pivot.alias("pivot"), held.alias("held"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -292,7 +328,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     members = stored(members.join(able, "node"), "able")
     members = members.join(crowded(members), "bucket")
     company = stored(members.groupBy("node").agg(F.sum("size").alias("company"), F.collect_list("bucket").alias("places")), "company")
-    members = stored(members.join(company.drop("places"), "node").withColumn("pivot", F.lit(None).cast("bigint")), "buckets")
+    members = stored(members.join(company.drop("places"), "node")
+                     .withColumns({"pivot": F.lit(None).cast("bigint"), "held": F.lit(None).cast("array<bigint>")}), "buckets")
 
     signed, said = texts.select("node", "signature"), texts.select("node", "text")
     roots, edges = None, None
@@ -311,7 +348,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
             break
         order = [F.col("own") / F.col("n"), F.col("company").desc(), F.xxhash64("node"), F.col("node")]
         hubs = first_per_key(here, ["bucket"], order, high, F.col("node"))
-        hubs = stored(hubs.select("bucket", *[F.col(c).alias(f"h_{c}") for c in ("node", "root", "n", "own", "pivot", "places")]), "hubs")
+        hubs = stored(hubs.select("bucket", *[F.col(c).alias(f"h_{c}") for c in ("node", "root", "n", "own", "pivot", "held", "places", "size")]), "hubs")
         found = _candidates(here, hubs, signed, places, threshold, percent)
         found = stored(compared_sets(_with_texts(found, said), k, percent), "compared")
         if not low:

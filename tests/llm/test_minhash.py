@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+
 from lumenaudit.llm import minhash as M
 from lumenaudit.llm.graph import components
 
@@ -95,3 +97,24 @@ def test_components(spark):
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "u string, v string")).collect()}
     assert found == {x: find(x) for x in root}
     assert components(spark.createDataFrame([], "u string, v string")).collect() == []
+
+
+def test_held_bits():
+    rng = np.random.default_rng(3)
+    for n in (1, 63, 64, 65, 300):
+        a, b = (np.sort(rng.choice(1000, n, replace=False)).astype(np.uint64) for _ in range(2))
+        bits = M.held_bits(a, b)
+        assert len(bits) == -(-n // 64) and np.unpackbits(bits.view(np.uint8), bitorder="little")[:n].astype(bool).tolist() == [x in set(b) for x in a]
+    assert len(M.held_bits(np.empty(0, np.uint64), np.empty(0, np.uint64))) == 0
+
+
+def test_hot_bucket(spark, monkeypatch):
+    """Many copies of one text with few to many edits, spread over tasks: some stand alone, none of their links is lost."""
+    monkeypatch.setattr(M, "HOT", 16)
+    rng = random.Random(4)
+    base = words(150, 61, 3000)
+    shared = edited(base, 5, rng)
+    texts = [edited(rng.choice([base, shared]), rng.choice([0, 1, 3, 5, 6, 7, 8, 12]), rng) for _ in range(90)]
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in M.near_duplicates(frame(spark, texts), 3, 85).collect()}
+    expected = brute(texts, 3, 85)
+    assert found == expected and 1 < len({c for _, c in expected.values()}) < 90
