@@ -264,22 +264,26 @@ def _at_most_held(n, own, pivot, held, n2, own2, pivot2, held2):
     return met + F.least(n - pivot - own, n2 - pivot2 - own2)
 
 
-def _met(members: DataFrame, hubs: DataFrame) -> DataFrame:
-    """Members with the hubs of their buckets; the members of a hot bucket are spread, its few hubs repeated."""
-    salts = lambda size: F.when(size > HOT, F.lit(SALTS)).otherwise(F.lit(1))
+def _met(members: DataFrame, hubs: DataFrame, most: int) -> DataFrame:
+    """Members with the hubs of their buckets, ``most`` of each bucket.
+
+    The members of a hot bucket are spread and its hubs repeated, as often as
+    leaves no more hubs than members.
+    """
+    salts = lambda size: F.when(size > HOT, F.least(F.lit(SALTS), F.greatest(F.lit(1), F.floor(size / most)))).otherwise(F.lit(1)).cast("int")
     left = members.withColumn("_salt", F.pmod(F.xxhash64("node"), salts(F.col("size"))).cast("int"))
     right = hubs.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts(F.col("h_size")) - 1)))
     return left.join(right, ["bucket", "_salt"])
 
 
-def _candidates(members: DataFrame, hubs: DataFrame, signed: DataFrame, places: int, threshold: float, percent: int) -> DataFrame:
+def _candidates(members: DataFrame, hubs: DataFrame, most: int, signed: DataFrame, places: int, threshold: float, percent: int) -> DataFrame:
     """Pairs of hubs and members of their buckets that are not connected and may be similar enough."""
     c = F.col
     both = _at_most(c("n"), c("own"), c("pivot"), c("h_n"), c("h_own"), c("h_pivot"))
     first = F.coalesce(F.array_min(F.array_intersect("places", "h_places")) == c("bucket"), F.lit(True))
     close = lambda common: 100 * common >= percent * (c("n") + c("h_n") - common)
     closer = F.coalesce(close(_at_most_held(c("n"), c("own"), c("pivot"), c("held"), c("h_n"), c("h_own"), c("h_pivot"), c("h_held"))), F.lit(True))
-    pairs = _met(members, hubs).filter((c("root") != c("h_root")) & close(both) & first & closer)
+    pairs = _met(members, hubs, most).filter((c("root") != c("h_root")) & close(both) & first & closer)
     pairs = pairs.groupBy(F.least("node", "h_node").alias("u"), F.greatest("node", "h_node").alias("v")).agg(
         F.max((c("size") > CROWD) & c("pivot").isNull()).alias("crowded"))
     pairs = (pairs.join(signed.select(c("node").alias("u"), c("signature").alias("su")), "u")
@@ -349,7 +353,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
         order = [F.col("own") / F.col("n"), F.col("company").desc(), F.xxhash64("node"), F.col("node")]
         hubs = first_per_key(here, ["bucket"], order, high, F.col("node"))
         hubs = stored(hubs.select("bucket", *[F.col(c).alias(f"h_{c}") for c in ("node", "root", "n", "own", "pivot", "held", "places", "size")]), "hubs")
-        found = _candidates(here, hubs, signed, places, threshold, percent)
+        found = _candidates(here, hubs, high, signed, places, threshold, percent)
         found = stored(compared_sets(_with_texts(found, said), k, percent), "compared")
         if not low:
             members = stored(_pivoted(members, hubs, found), "pivoted")
