@@ -22,9 +22,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops recurring lines, and documents that have no others."""
+    """Drops recurring lines, long ones from two texts on, and documents that have no others."""
     mark = "_lines_dropped"
-    found = lines.line_dedup(docs, lines=mark)
+    found = lines.line_dedup(docs, lines=mark, long_docs=2)
     found = found.filter((F.size(mark) == 0) | F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
     return found.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 

@@ -33,17 +33,19 @@ plain AS (SELECT doc_id, text, line, regexp_extract_all(said, '[^\x20\x09-\x0D]+
 masked AS (
   SELECT *, list_transform(raw, lambda t: CASE WHEN regexp_matches(t, '[0-9@]|://') THEN '<*>' ELSE t END) AS stars FROM plain),
 parsed AS (
-  SELECT doc_id, text, line, CASE WHEN 2 * len(list_filter(stars, lambda t: t = '<*>')) <= len(raw) THEN stars ELSE raw END AS ts FROM masked),
+  SELECT doc_id, text, line, raw, CASE WHEN 2 * len(list_filter(stars, lambda t: t = '<*>')) <= len(raw) THEN stars ELSE raw END AS ts FROM masked),
 leaves AS (
-  SELECT doc_id, text, line, array_to_string(ts, ' ') AS leaf FROM parsed WHERE len(ts) >= 4
+  SELECT doc_id, text, line, 2 AS least, array_to_string(raw, ' ') AS leaf FROM parsed WHERE len(raw) >= 20
   UNION ALL
-  SELECT doc_id, text, line, g || '|' || len(ts) || '|' || array_to_string(list_concat(
+  SELECT doc_id, text, line, 3 AS least, array_to_string(ts, ' ') AS leaf FROM parsed WHERE len(ts) >= 4
+  UNION ALL
+  SELECT doc_id, text, line, 3 AS least, g || '|' || len(ts) || '|' || array_to_string(list_concat(
            ts[1 : 2 + (len(ts) - 2) * g // 5], list_concat(['|<*>|'], ts[3 + (len(ts) - 2) * (g + 1) // 5 :])), ' ') AS leaf
   FROM (SELECT *, unnest(range(5)) AS g FROM parsed WHERE len(ts) >= 7)),
 recurring AS (
-  SELECT leaf, min(row(doc_id, line)) AS first FROM leaves GROUP BY leaf HAVING count(DISTINCT text) >= 3),
+  SELECT leaf, least, min(row(doc_id, line)) AS first FROM leaves GROUP BY leaf, least HAVING count(DISTINCT text) >= least),
 dropped AS (
-  SELECT DISTINCT doc_id, line FROM leaves JOIN recurring USING (leaf) WHERE row(doc_id, line) <> first),
+  SELECT DISTINCT doc_id, line FROM leaves JOIN recurring USING (leaf, least) WHERE row(doc_id, line) <> first),
 rest AS (
   SELECT l.doc_id, count(d.line) AS n_dropped,
          coalesce(string_agg(CASE WHEN d.line IS NULL THEN said END, chr(10) ORDER BY l.line), '') AS kept

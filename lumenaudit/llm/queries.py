@@ -29,7 +29,7 @@ def op2_licenses(spark, sf_dir):
 
 def op3_lines(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    found = lines.line_dedup(docs)
+    found = lines.line_dedup(docs, long_docs=2)
     n_dropped = F.size("dropped_lines").cast("bigint")
     text = F.coalesce("text", F.lit(""))
     return found.select("doc_id", n_dropped.alias("n_dropped"), F.length(text).cast("bigint").alias("kept_chars"),

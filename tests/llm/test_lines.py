@@ -11,17 +11,18 @@ def words(n, seed):
     return numbered(n, seed).translate(str.maketrans("0123456789", "abcdefghij"))
 
 
-def brute(docs, min_docs=3):
-    """Dropped line numbers of (id, text) rows."""
+def brute(docs, min_docs=3, long_docs=None):
+    """Dropped line numbers of (id, text) rows; with ``long_docs`` long lines recur from that many texts on."""
     texts, at = defaultdict(set), defaultdict(set)
     for d, t in docs:
         for i, line in enumerate((t or "").encode().split(b"\n")):
-            for leaf in lines.templates(line):
+            tokens = line.split()
+            for leaf in lines.templates(line) + ([b" ".join(tokens)] if long_docs and len(tokens) >= lines.LONG_TOKENS else []):
                 texts[leaf].add(t)
                 at[leaf].add((d, i))
     gone = defaultdict(set)
     for leaf, found in texts.items():
-        if len(found) >= min_docs:
+        if len(found) >= (min_docs if isinstance(leaf, int) else long_docs):
             for d, i in sorted(at[leaf])[1:]:
                 gone[d].add(i)
     return {d: sorted(gone[d]) for d, _ in docs}
