@@ -5,18 +5,36 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenaudit.catalog import SIMILARITY_MIN
 
 
+def character_counts(text: Column) -> Column:
+    """How often each character stands in a text: a map, as wide as the alphabet."""
+    return F.map_from_entries(F.transform(F.array_distinct(F.filter(F.split(text, ""), lambda c: c != "")), lambda c: F.struct(
+        c, F.length(text) - F.length(F.replace(text, c, F.lit(""))))))
+
+
+def may_be_similar(a: str, a_counts: str, b: str, b_counts: str) -> Column:
+    """Whether two texts reach the similarity bound if the order of their characters is left aside.
+
+    Exact upper bounds of the ratio, the cheap one by lengths first; columns are
+    given by name, with the ``character_counts`` of both.
+    """
+    total = F.length(a) + F.length(b)
+    lengths = (F.lit(2.0) * F.least(F.length(a), F.length(b))) / total >= SIMILARITY_MIN
+    common = F.aggregate(F.map_entries(a_counts), F.lit(0), lambda n, e: n + F.least(
+        e["value"], F.coalesce(F.element_at(F.col(b_counts), e["key"]), F.lit(0))))
+    return (F.length(a) > 0) & (F.length(b) > 0) & F.when(lengths, (F.lit(2.0) * common) / total >= SIMILARITY_MIN).otherwise(False)
+
+
 @F.pandas_udf(T.BooleanType())
 def nearly_same(candidate: pd.Series, base: pd.Series) -> pd.Series:
-    """Whether two page heads reach the similarity bound; cheap upper bounds first."""
+    """Whether two texts reach the similarity bound in order; for pairs that may."""
     def one(a, b):
-        m = difflib.SequenceMatcher(None, a, b)
-        return (m.real_quick_ratio() >= SIMILARITY_MIN and m.quick_ratio() >= SIMILARITY_MIN
-                and m.ratio() >= SIMILARITY_MIN)
+        return difflib.SequenceMatcher(None, a, b).ratio() >= SIMILARITY_MIN
 
     return pd.Series([one(a, b) for a, b in zip(candidate, base)], dtype=bool)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from lumenaudit import catalog as C
 from lumenaudit.functions import text as X
 from lumenaudit.functions import urls as U
 from lumenaudit.functions.skew import first_per_key, salted_join
-from lumenaudit.session import cut_lineage
+from lumenaudit.session import co_located, cut_lineage
 
 _LINKING = (("a|link", "href"), ("script|img|iframe", "src"), ("form", "action"))
 # One tag with its attributes; a bracket inside quotes does not end it.  Every loop is possessive and the end is
@@ -169,35 +170,73 @@ def within_budget(seeds: DataFrame, budget: int) -> DataFrame:
     return first_per_key(seeds, ["target"], [F.col("priority"), F.col("url")], budget, F.col("url"))
 
 
-def crawl(seeds: DataFrame, edges: DataFrame, depth: int, budget: int | None = None) -> DataFrame:
+#: A page with more links than this is a hub; its links are spread over tasks.
+HUB_LINKS = 10_000
+
+
+def _linked(edges: DataFrame, hub_links: int):
+    """What a level of the crawl links to, as a function of the level: ``target, url``, rows repeated.
+
+    Links are hashed by their page once, the way levels are, and no level moves
+    them again.  Those of hubs are cut in slices that stand apart, and only the
+    hubs of a level are sent to their slices.
+    """
+    edges = cut_lineage(edges.select("target", "src", "dst"))
+    page = ["target", "src"]
+    hubs = edges.groupBy(*page).agg(F.count("*").alias("_n")).filter(F.col("_n") > hub_links)
+    hubs = co_located(hubs.select(*page, F.ceil(F.col("_n") / hub_links).cast("int").alias("_slices")).repartition(*page))
+    if hubs.isEmpty():
+        plain, sliced = co_located(edges.repartition(*page)), None
+    else:
+        known = salted_join(edges, hubs, page, "left", F.col("dst"))
+        sliced = known.filter(F.col("_slices").isNotNull()).withColumn("_slice", F.pmod(F.xxhash64("dst"), "_slices").cast("int"))
+        sliced = co_located(sliced.drop("_slices").repartition(*page, "_slice"))
+        plain = co_located(known.filter(F.col("_slices").isNull()).drop("_slices").repartition(*page))
+
+    def of(level: DataFrame) -> DataFrame:
+        front = level.select("target", F.col("url").alias("src"))
+        found = plain.join(front, page, "left_semi")
+        if sliced is not None:
+            spread = front.join(hubs, page).select(*page, F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)).alias("_slice"))
+            found = found.unionByName(sliced.join(spread, [*page, "_slice"], "left_semi").drop("_slice"))
+        return found.select("target", F.col("dst").alias("url"))
+
+    return of
+
+
+def crawl(seeds: DataFrame, edges: DataFrame, depth: int, budget: int | None = None, hub_links: int = HUB_LINKS) -> DataFrame:
     """Breadth-first order over captured links: ``target, url, depth``.
 
     ``seeds`` has ``target, url, priority``; ``edges`` is what ``links`` returns.
     Every level is checkpointed, so the plan does not grow with the depth and a
-    lost executor does not restart the crawl.  With a ``budget`` each level takes
-    at most what is left of it for the target.
+    lost executor does not restart the crawl.  Levels stay hashed by target and
+    URL: what a level links to is shuffled once, to be told apart and held
+    against all earlier levels; links and earlier levels stay where they are.
+    With a ``budget`` each level takes at most what is left of it for the target.
     """
     level = seeds if budget is None else within_budget(seeds, budget)
     level = level.select("target", "url", F.lit(0).alias("depth"))
     if depth <= 0:
         return level
-    level = cut_lineage(level)
+    level = co_located(level.repartition("target", "url"))
     if depth > 1:
-        # every level looks the links up; extract them from the pages once
-        edges = cut_lineage(edges)
-    visited = level
+        linked = _linked(edges, hub_links)
+    else:  # read once: extracted and looked up in one pass
+        def linked(front):
+            front = front.select("target", F.col("url").alias("src"))
+            return edges.join(front, ["target", "src"], "left_semi").select("target", F.col("dst").alias("url"))
+    levels = [level]
     for d in range(1, depth + 1):
-        front = level.select("target", F.col("url").alias("src"))
-        found = edges.join(front, ["target", "src"], "left_semi") \
-            .select("target", F.col("dst").alias("url")).distinct()
-        found = found.join(visited.select("target", "url"), ["target", "url"], "left_anti")
+        found = linked(level).distinct()
+        for earlier in levels:
+            found = found.join(earlier.select("target", "url"), ["target", "url"], "left_anti")
         if budget is not None:
-            used = visited.groupBy("target").agg((F.lit(budget) - F.count("*")).alias("_left"))
+            used = reduce(DataFrame.unionByName, levels).groupBy("target").agg((F.lit(budget) - F.count("*")).alias("_left"))
             found = salted_join(found, used, ["target"], "inner", F.col("url")).filter(F.col("_left") > 0)
             found = first_per_key(found, ["target"], [F.col("url")], F.col("_left"), F.col("url"))
+            found = found.repartition("target", "url")
         level = found.select("target", "url", F.lit(d).alias("depth"))
-        if d == depth:
-            return visited.unionByName(level)
-        level = cut_lineage(level)
-        visited = visited.unionByName(level)
-    return visited
+        if d < depth:
+            level = co_located(level)
+        levels.append(level)
+    return reduce(DataFrame.unionByName, levels)

@@ -57,3 +57,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
+
+
+def co_located(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint that keeps how its rows are partitioned, so joins on those keys shuffle them no more.
+
+    A checkpoint of an adaptive plan forgets its partitioning; this one is planned without.
+    """
+    spark = df.sparkSession
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut_lineage(df.select("*"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
