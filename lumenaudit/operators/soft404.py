@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenaudit import catalog as C
 from lumenaudit.functions import text as X
-from lumenaudit.functions.similarity import character_counts, may_be_similar, nearly_same
+from lumenaudit.functions.similarity import close_lengths, may_be_similar, nearly_same
 from lumenaudit.functions.skew import salted_join
 
 
@@ -52,43 +52,38 @@ def _bucket(length: Column) -> Column:
 
 
 def head_pairs(pages: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Different heads of pages and baselines that may be similar: ``status_code, body_bytes, _head, _bhead`` per target.
+    """Pages with the heads of baselines they may be similar to: ``target, url, _head, _bhead``.
 
-    Pages with equal heads and lengths count once.  Lengths are put in classes,
-    a baseline in all classes its window touches, so the join is an equi-join
-    that meets only pages of about that length; the exact window is checked on
-    top.  Pairs whose characters, order aside, overlap too little are gone.
+    Lengths are put in classes, a baseline in all classes its window touches, so
+    the join is an equi-join that meets only pages of about that length; the
+    exact window is checked on top.  Pairs whose characters, order aside, overlap
+    too little are gone.
     """
     blen = F.col("_blen")
     slack = F.greatest(F.lit(32), F.floor(blen * 0.15)).cast("long")
     base = baseline.filter((F.col("body_bytes") > 0) & (F.length("head") > 0)) \
         .select("target", "status_code", F.col("body_bytes").alias("_blen"), F.col("head").alias("_bhead")).distinct()
-    base = base.withColumn("_bcounts", character_counts(F.col("_bhead"))).withColumn("_cls", F.explode(F.sequence(
+    base = base.withColumn("_cls", F.explode(F.sequence(
         _bucket(F.greatest(blen - slack, F.lit(0))), _bucket(blen + slack))))
-    forms = pages.filter("head IS NOT NULL").select("target", "status_code", "body_bytes", F.col("head").alias("_head")).distinct()
-    forms = forms.withColumns({"_counts": character_counts(F.col("_head")), "_cls": _bucket(F.col("body_bytes"))})
-    pairs = salted_join(forms, base, ["target", "status_code", "_cls"], "inner", F.col("_head"))
-    pairs = pairs.filter(F.abs(F.col("body_bytes") - blen) <= slack)
-    return pairs.filter(may_be_similar("_head", "_counts", "_bhead", "_bcounts")).drop("_counts", "_bcounts", "_cls", "_blen")
+    cand = pages.select("target", "url", "status_code", "body_bytes", F.col("head").alias("_head"),
+                        _bucket(F.col("body_bytes")).alias("_cls"))
+    pairs = salted_join(cand, base, ["target", "status_code", "_cls"], "inner", F.col("url"))
+    pairs = pairs.filter((F.abs(F.col("body_bytes") - blen) <= slack) & close_lengths("_head", "_bhead"))
+    may_be = (F.col("_head") == F.col("_bhead")) | may_be_similar("_head", "_bhead")
+    return pairs.filter(may_be).select("target", "url", "_head", "_bhead")
 
 
 def similar_matches(pages: DataFrame, baseline: DataFrame, chars: int | None = C.SIMILARITY_CHARS) -> DataFrame:
     """Pages nearly the same as a baseline of close length: ``target, url``.
 
-    Equal heads need no comparison; the character comparison runs in Arrow
-    batches on the different pairs that ``head_pairs`` leaves.  ``chars`` has to
-    be that of the baseline's signatures; with None whole bodies are compared, so
+    The character comparison runs in Arrow batches on the pairs that
+    ``head_pairs`` leaves; equal heads are not sent there.  ``chars`` has to be
+    that of the baseline's signatures; with None whole bodies are compared, so
     that a page with a baseline's head and another tail is not a match.
     """
-    pages = _signed(pages, chars).select("target", "url", "status_code", "body_bytes", "head")
-    pairs = head_pairs(pages, baseline)
-    same = F.col("_head") == F.col("_bhead")
-    alike = pairs.filter(same).unionByName(pairs.filter(~same).filter(nearly_same(F.col("_head"), F.col("_bhead"))))
-    form = ["target", "status_code", "body_bytes", "_form"]
-    alike = alike.withColumn("_form", F.md5("_head")).select(*form).distinct()
-    # a catch-all page may be most of a target
-    hit = salted_join(pages.select("*", F.md5("head").alias("_form")).drop("head"), alike, form, "left_semi", F.col("url"))
-    return hit.select("target", "url").distinct()
+    pairs = head_pairs(_signed(pages, chars), baseline)
+    unlike = F.when(F.col("_head") != F.col("_bhead"), F.col("_head"))
+    return pairs.filter(nearly_same(unlike, F.col("_bhead"))).select("target", "url").distinct()
 
 
 def soft404_pages(pages: DataFrame, baseline: DataFrame, chars: int | None = C.SIMILARITY_CHARS) -> DataFrame:
