@@ -97,8 +97,8 @@ def candidates(docs: DataFrame, windows: DataFrame, sent_limit: int = SENT_SHING
         sizes = [SHINGLE]
     sample = grams.limit(sent_limit + 1).count()
     wanted = None
-    if sample <= sent_limit:  # checked: at most 8 bytes x sent_limit
-        wanted = np.sort(np.array([r["gram"] for r in grams.collect()], np.int64).view(np.uint64))
+    if sample <= sent_limit:  # checked: at most 8 bytes x sent_limit, in Arrow batches
+        wanted = np.sort(grams.toArrow().column("gram").to_numpy().view(np.uint64))
     hits = shingle_hits(docs, sizes, wanted)
     if wanted is None:
         hits = hits.join(grams, "gram", "left_semi")
