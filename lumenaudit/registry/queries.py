@@ -457,10 +457,14 @@ def scan_errors(spark, sf):
 
 # --- streaming ---------------------------------------------------------------
 
+def _stream_table(spark, sf, table):
+    """A table as a stream, whether it is one file or a folder of many; a stream takes a single file by a pattern only."""
+    schema = spark.read.parquet(f"{sf}/{table}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf}/{table}.parque[t]")
+
+
 def _stream_texts(spark, sf):
-    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
-    return view_of(spark, "docs", documents=raw)
+    return view_of(spark, "docs", documents=_stream_table(spark, sf, "documents"))
 
 
 def _run_folder(spark, name):
@@ -483,9 +487,7 @@ def stream_scan(spark, sf):
 
 def stream_content_scan(spark, sf):
     """All content checks over captures that arrive as a stream, de-duplicated once they have landed."""
-    schema = spark.read.parquet(f"{sf}/pages.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(sf)
-    found = streams.stream_content(conform(view_of(spark, "captures", pages=raw)))
+    found = streams.stream_content(conform(view_of(spark, "captures", pages=_stream_table(spark, sf, "pages"))))
     return O.deduplicate(_run(spark, found, "content")).select(*_KEY)
 
 
