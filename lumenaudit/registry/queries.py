@@ -520,10 +520,10 @@ def stream_verdicts(spark, sf):
 
 
 def _arriving(spark, frame, name, batches=3):
-    """The table as a stream that arrives in some micro-batches."""
-    path = _run_folder(spark, name)
-    frame.repartition(batches).write.parquet(path)
-    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    """The table as a stream that arrives in some micro-batches, each of a file per core at least."""
+    path, files = _run_folder(spark, name), spark.sparkContext.defaultParallelism
+    frame.repartition(batches * files).write.parquet(path)
+    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _merged(spark, sf):
