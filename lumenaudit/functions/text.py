@@ -37,6 +37,9 @@ def java_pattern(pattern: str) -> str:
     return "(?Ud)" + "".join(out)
 
 
+# Letters that case-insensitive matching equates with ASCII ones but ``lower`` does not.
+FOLDS = (("ſ", "s"), ("K", "k"), ("İ", "i"), ("ı", "i"))
+
 # Python's white space, for trimming by character set.
 SPACES = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
@@ -74,6 +77,13 @@ def bind(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def folded(text: Column) -> Column:
+    """Lower case, with the letters that case-insensitive matching equates with ASCII ones but ``lower`` does not."""
+    for special, plain in FOLDS:
+        text = F.replace(text, F.lit(special), F.lit(plain))
+    return F.lower(text)
+
+
 def _either(parts) -> str:
     return "|".join(re.escape(p) for p in parts)
 

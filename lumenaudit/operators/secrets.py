@@ -10,8 +10,6 @@ from lumenaudit.functions import text as X
 from lumenaudit.functions.text import sql_text as q
 from lumenaudit.schemas import finding
 
-# Letters that case-insensitive matching equates with ASCII ones but ``lower`` does not.
-_FOLDS = (("ſ", "s"), ("K", "k"), ("İ", "i"), ("ı", "i"))
 _HEAD_BLANKS = 40     # blanks and quotes behind a name that a short piece has room for
 
 
@@ -35,7 +33,7 @@ def _heads(detectors) -> str:
     piece = (f"CASE WHEN length(p) > {chars} AND length(rtrim({q(X.SPACES)}, right(p, {chars}))) < {longest} "
              f"THEN p ELSE right(p, {chars}) END")
     folded = f"array_join(transform(split(_t, '[=:]'), p -> {piece}), '\\n')"
-    for special, plain in _FOLDS:
+    for special, plain in X.FOLDS:
         folded = f"replace({folded}, '{special}', '{plain}')"
     return f"CASE WHEN contains(_t, '=') OR contains(_t, ':') THEN lower({folded}) END"
 

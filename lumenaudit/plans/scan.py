@@ -11,7 +11,7 @@ from lumenaudit.operators import endpoints, files, params, probes, recon, secret
 from lumenaudit.operators.findings import finalise, union_findings
 from lumenaudit.catalog import DETECTORS, STAGE_AUDIT, STAGE_CRAWL, Detector
 from lumenaudit.schemas import FINDING_COLUMNS, as_detection, detect, gathered
-from lumenaudit.session import written
+from lumenaudit.session import small_splits, written
 from lumenaudit.sources.captures import eligible, is_eligible
 
 #: Matches once at the start of every text: stands for the capture itself among the detectors.
@@ -114,6 +114,9 @@ def scan_captures(responses: DataFrame, **observations) -> DataFrame:
     """The full life cycle over every target at once: ``scan_records`` of the captures' records.
 
     The captures are read once, when their records are written to the shared
-    folder; all that crosses captures works on the records.
+    folder; all that crosses captures works on the records.  They are read in
+    small splits: checks take long for a byte, and longer for some captures.
     """
-    return scan_records(written(capture_records(responses), "capture-records"), **observations)
+    with small_splits(responses.sparkSession):
+        records = written(capture_records(responses), "capture-records")
+    return scan_records(records, **observations)

@@ -16,7 +16,7 @@ from lumenaudit.plans.scan import capture_records, content_findings, scan_captur
 from lumenaudit.registry.planted import LABELS, WORDS, view, view_of
 from lumenaudit.sources import reports
 from lumenaudit.sources.captures import conform, eligible, read_landed, read_words
-from lumenaudit.session import shared_folder
+from lumenaudit.session import shared_folder, written
 from lumenaudit.streaming import merged, streams
 
 AS_OF = "2025-07-01 00:00:00"
@@ -421,9 +421,7 @@ def report_json(spark, sf):
 
 def _landed(spark, frame, name):
     """Writes a table to the shared folder, as acquisition would, and reads it back."""
-    path = _run_folder(spark, name)
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    return written(frame, name)
 
 
 def _responses(spark, sf):

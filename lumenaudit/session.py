@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a row group in written tables, and of a split where a scan takes long.
+ROW_GROUP = 4 << 20
+
 
 def local_session(cores: str = "8", app: str = "lumenaudit", **conf) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
@@ -42,11 +46,27 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+@contextmanager
+def small_splits(spark: SparkSession, size: int = ROW_GROUP):
+    """What runs within reads files in splits of at most ``size`` bytes: for scans that take long for a byte."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    least = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before)
+    spark.conf.set(key, str(min(size, least)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """The table written once into the shared folder and read back: what follows reads it instead of its sources."""
+    """The table written once into the shared folder and read back: what follows reads it instead of its sources.
+
+    Its row groups are small, so that readers can split its files.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
