@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 32
+HOT_ROWS = 100_000     # rows of one key that a task may well take
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str,
@@ -29,6 +30,20 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str,
     return out.drop("_salt", *[f"_r_{k}" for k in keys])
 
 
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], how: str,
+             spread: Column, hot: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
+    """``salted_join`` for a right side of as many keys as the left: only keys with more than ``hot`` rows are salted.
+
+    The left is read twice; there is at most one such key for every ``hot`` rows, so they can be broadcast.
+    """
+    many = left.groupBy(*on).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot).select(*on, F.lit(True).alias("_hot"))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(0).cast("int")
+    l = left.join(F.broadcast(many), on, "left").withColumn("_salt", salt).drop("_hot")
+    last = F.when(F.col("_hot"), F.lit(salts - 1)).otherwise(0)
+    r = right.join(F.broadcast(many), on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop("_hot")
+    return l.join(r, on + ["_salt"], how).drop("_salt")
+
+
 def first_per_key(df: DataFrame, key: list[str], order: list, limit, spread: Column,
                   salts: int = SALTS) -> DataFrame:
     """The first ``limit`` rows of every key in ``order``, exactly.

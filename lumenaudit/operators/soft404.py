@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumenaudit import catalog as C
 from lumenaudit.functions import text as X
 from lumenaudit.functions.similarity import close_lengths, may_be_similar, nearly_same
-from lumenaudit.functions.skew import salted_join
+from lumenaudit.functions.skew import hot_join, salted_join
 
 
 def fingerprint(body: Column) -> Column:
@@ -33,15 +33,19 @@ def baseline_signatures(responses: DataFrame, chars: int | None = C.SIMILARITY_C
     return _signed(responses.filter(F.col("probe") == "baseline"), chars).select("target", "status_code", "body_bytes", "fp", "head")
 
 
-def exact_matches(pages: DataFrame, baseline: DataFrame) -> DataFrame:
+def exact_matches(pages: DataFrame, baseline: DataFrame, counted: bool = False) -> DataFrame:
     """Pages whose fingerprint equals a baseline's: ``target, url``.
 
-    A catch-all page may be most of a target, so the equal keys are salted.
+    A catch-all page may be most of a target, so the equal keys are salted.  With ``counted`` there may be as many
+    baselines as pages, and ``n_baselines`` says how many a page equals; of an URL captured more than once the most.
     """
-    known = baseline.filter(F.col("fp").isNotNull()).select("target", "status_code", "fp").distinct()
-    seen = _signed(pages).select("target", "url", "status_code", "fp")
-    hit = salted_join(seen.filter(F.col("fp").isNotNull()), known, ["target", "status_code", "fp"],
-                      "left_semi", F.col("url"))
+    key = ["target", "status_code", "fp"]
+    known = baseline.filter(F.col("fp").isNotNull()).select(*key)
+    seen = _signed(pages).select("target", "url", "status_code", "fp").filter(F.col("fp").isNotNull())
+    if counted:
+        hit = hot_join(seen, known.groupBy(*key).agg(F.count("*").alias("n_baselines")), key, "inner", F.col("url"))
+        return hit.groupBy("target", "url").agg(F.max("n_baselines").alias("n_baselines"))
+    hit = salted_join(seen, known.distinct(), key, "left_semi", F.col("url"))
     return hit.select("target", "url").distinct()
 
 

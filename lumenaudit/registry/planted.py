@@ -199,9 +199,6 @@ _VIEWS = {
         UNION ALL SELECT page_id, target, url, status_code, content_type, body, cast(@bytes(body) as bigint) FROM catch_all_pages
         UNION ALL SELECT page_id, target, url, cast(NULL as int), cast(NULL as string), cast(NULL as string), cast(NULL as bigint) FROM redirects"""),
     "doc_pages": ("SELECT doc_id, lang AS target, cast(doc_id as string) AS url, 200 AS status_code, text AS body FROM {documents}"),
-    "doc_baselines": ("""
-        SELECT lang AS target, source AS url, 'baseline' AS probe, 200 AS status_code, max_by(text, cast(length(text) as bigint) * 1000000 + doc_id) AS body
-        FROM {documents} GROUP BY lang, source"""),
     "landed": (f"""
         SELECT target, CASE page_id % 6 WHEN 0 THEN chr(123) || '"target": "' || target || '", "url": "' || {_PAGE_MD5}
                WHEN 1 THEN chr(123) || '"target": "' || target || '", "url": "u", "status_code": "none"' || chr(125)

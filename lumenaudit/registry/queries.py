@@ -302,9 +302,10 @@ def page_fingerprints(spark, sf):
 
 
 def soft404_exact(spark, sf):
-    """Documents that equal the baseline of a source of their language but for numbers and blanks."""
-    base = conform(view(spark, sf, "doc_baselines"))
-    return soft404.exact_matches(conform(view(spark, sf, "doc_pages")), soft404.baseline_signatures(base))
+    """How many documents of its language each document equals but for numbers and blanks; all are baselines, of any length."""
+    pages = conform(view(spark, sf, "doc_pages")).select("target", "url", "status_code", "body_bytes", *soft404.signature(0))
+    pages = written(pages, "signatures")  # bodies are read once
+    return soft404.exact_matches(pages, soft404.baseline_signatures(pages.withColumn("probe", F.lit("baseline"))), counted=True)
 
 
 def _soft(spark, sf):
