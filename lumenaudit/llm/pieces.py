@@ -254,6 +254,27 @@ def _draw(seed: int, n: int) -> float:
     return (((h ^ (h >> 31)) >> 11) + 0.5) * 2.0**-53
 
 
+def _greatest(value: np.ndarray, group: np.ndarray, keep: int) -> np.ndarray:
+    """Indexes of the ``keep`` greatest values of each group; equal groups stand together."""
+    if not len(value):
+        return np.empty(0, np.int64)
+    begins = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    left, found = np.arange(len(value)), []
+    for _ in range(keep):
+        top = np.maximum.reduceat(value, begins)
+        sizes = np.diff(np.append(begins, len(value)))
+        hit = np.flatnonzero(value == np.repeat(top, sizes))
+        _, one = np.unique(np.searchsorted(begins, hit, "right"), return_index=True)
+        found.append(left[hit[one]])
+        stay = np.ones(len(value), bool)
+        stay[hit[one]] = False
+        value, left = value[stay], left[stay]
+        begins = (begins - np.arange(len(begins)))[sizes > 1]
+        if not len(begins):
+            break
+    return np.concatenate(found)
+
+
 def _siblings(lattice: Lattice, paths: list[np.ndarray], starts: list[int], phi: np.ndarray, value: np.ndarray, seeds: np.ndarray,
               keep: int, size: int = 96) -> list[list[tuple]]:
     """The ``keep`` best unexplored nodes beside each path from its start on: (value, phi, step, edge)."""
@@ -279,11 +300,8 @@ def _siblings(lattice: Lattice, paths: list[np.ndarray], starts: list[int], phi:
         whose = of[step]
         u = uniform(seeds[whose] + (step - first[whose]).astype(U) * U(1 << 20) + (edge - lattice.begin[lattice.at[edge]]).astype(U))
         limited = mass - np.log(np.exp(mass - value[whose]) - np.log(u))
-        order = np.lexsort((-limited, whose))
-        ranked = whose[order]
-        rank = np.arange(len(order)) - np.searchsorted(ranked, ranked)
-        for i in order[rank < keep].tolist():
-            d = int(whose[i])
+        best = _greatest(limited, whose, keep)
+        for d, i in zip(whose[best].tolist(), best.tolist()):
             out[d].append((float(limited[i]), float(mass[i]), starts[d] + int(step[i] - first[d]), int(edge[i])))
     again = np.flatnonzero(cut)
     if len(again):

@@ -119,3 +119,17 @@ def test_several_words(vocabulary):
         assert abs(first[path] / n - p) < 4 * np.sqrt(p * (1 - p) / n) + 1e-3
         after = sum(q / (1 - q) * p for other, q in exact.items() if other != path)
         assert abs(second[path] / n - after) < 4 * np.sqrt(after * (1 - after) / n) + 2e-3
+
+
+def test_greatest_of_each_group():
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 5, 400):
+        group = np.sort(rng.integers(0, 60, n) * 3)
+        value = rng.normal(size=n)
+        value[rng.random(n) < 0.1] = -np.inf
+        value[rng.random(n) < 0.2] = 0.5
+        for keep in (1, 2, 4):
+            got = P._greatest(value, group, keep)
+            assert len(set(got.tolist())) == len(got)
+            for g in set(group.tolist()):
+                assert sorted(value[got[group[got] == g]]) == sorted(sorted(value[group == g], reverse=True)[:keep])
