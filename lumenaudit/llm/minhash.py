@@ -6,7 +6,8 @@ of their signature meet in a bucket.  Buckets never give all pairs: in each
 round a few hubs of a bucket, those with the fewest shingles of their own first,
 are compared with its members that are not connected with them yet, and 32
 times as many in the next round, until the members that have not been hubs are
-connected or have all been compared.  Before that, every class learns how many
+connected or have all been compared; a round takes all hubs that are left once
+the bounds below leave few pairs of them.  Before that, every class learns how many
 of its shingles no other class in a bucket holds: these bound its similarity
 with any other text from above, and so does, for two members of a large bucket,
 which of the shingles of the bucket's first hub each holds; classes and pairs
@@ -28,7 +29,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenaudit.functions.skew import SALTS, first_per_key
@@ -43,6 +44,8 @@ PRUNE = 1e-6          # chance at which a pair is given up early
 BATCH = 20            # signature places compared at a time
 GROWTH = 31           # hubs per bucket grow by this factor, and one, from round to round
 CROWD = 8             # in larger buckets the first hub is compared in full with every member
+MEETS = 1024          # hubs that a member meets on average at most, in memory, for a round to take all that are left
+PAIRS = 4             # pairs per member that such a round leaves at most
 HOT = 256             # members of larger buckets meet its hubs in several tasks
 
 
@@ -276,16 +279,21 @@ def _met(members: DataFrame, hubs: DataFrame, most: int) -> DataFrame:
     return left.join(right, ["bucket", "_salt"])
 
 
-def _candidates(members: DataFrame, hubs: DataFrame, most: int, signed: DataFrame, places: int, threshold: float, percent: int) -> DataFrame:
-    """Pairs of hubs and members of their buckets that are not connected and may be similar enough."""
+def _pairs(members: DataFrame, hubs: DataFrame, most: int, percent: int) -> DataFrame:
+    """Distinct pairs of members and hubs of their buckets that are not connected and whose bounds allow for the threshold."""
     c = F.col
     both = _at_most(c("n"), c("own"), c("pivot"), c("h_n"), c("h_own"), c("h_pivot"))
     first = F.coalesce(F.array_min(F.array_intersect("places", "h_places")) == c("bucket"), F.lit(True))
     close = lambda common: 100 * common >= percent * (c("n") + c("h_n") - common)
     closer = F.coalesce(close(_at_most_held(c("n"), c("own"), c("pivot"), c("held"), c("h_n"), c("h_own"), c("h_pivot"), c("h_held"))), F.lit(True))
     pairs = _met(members, hubs, most).filter((c("root") != c("h_root")) & close(both) & first & closer)
-    pairs = pairs.groupBy(F.least("node", "h_node").alias("u"), F.greatest("node", "h_node").alias("v")).agg(
+    return pairs.groupBy(F.least("node", "h_node").alias("u"), F.greatest("node", "h_node").alias("v")).agg(
         F.max((c("size") > CROWD) & c("pivot").isNull()).alias("crowded"))
+
+
+def _candidates(pairs: DataFrame, signed: DataFrame, places: int, threshold: float) -> DataFrame:
+    """Pairs that may be similar enough by their signatures."""
+    c = F.col
     pairs = (pairs.join(signed.select(c("node").alias("u"), c("signature").alias("su")), "u")
              .join(signed.select(c("node").alias("v"), c("signature").alias("sv")), "v"))
     return stored(similar_signatures(pairs, places, threshold), "candidates")
@@ -330,38 +338,51 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
 
     able = own_shingles(texts, k).filter(100 * (F.col("n") - F.col("own")) >= percent * F.col("n"))
     members = stored(members.join(able, "node"), "able")
-    members = members.join(crowded(members), "bucket")
-    company = stored(members.groupBy("node").agg(F.sum("size").alias("company"), F.collect_list("bucket").alias("places")), "company")
-    members = stored(members.join(company.drop("places"), "node")
-                     .withColumns({"pivot": F.lit(None).cast("bigint"), "held": F.lit(None).cast("array<bigint>")}), "buckets")
+    members = members.join(crowded(members), "bucket").withColumn("company", F.sum("size").over(Window.partitionBy("node")))
+    members = stored(members.withColumns({"pivot": F.lit(None).cast("bigint"), "held": F.lit(None).cast("array<bigint>"),
+                                          "places": F.lit(None).cast("array<bigint>")}), "buckets")
+    in_places = members.groupBy("node").agg(F.collect_list("bucket").alias("places"))
 
     signed, said = texts.select("node", "signature"), texts.select("node", "text")
-    roots, edges = None, None
+    roots = None
     low, high = 0, 1
     while True:
+        members = members.filter(F.col("size") >= low + 2)
         here = members.withColumn("root", F.col("node"))
         if roots is not None:
             here = members.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").drop("_n")
             here = here.withColumn("root", F.coalesce("root", "node"))
         open_ = here.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("bucket")
-        here = here.filter(F.col("size") >= low + 2).join(open_, "bucket", "left_semi")
+        here = here.join(open_, "bucket", "left_semi")
         # in the first round every member meets the hub of each of its buckets; later a pair meets in one bucket only
-        here = here.join(company.select("node", "places"), "node") if low else here.withColumn("places", F.lit(None).cast("array<bigint>"))
+        if low == 1:
+            here = here.drop("places").join(in_places, "node")
         here = stored(here, "open")
-        if here.isEmpty():
+        left, meets, largest = here.agg(F.count("*"), F.sum("size"), F.max("size")).first()
+        if not left:
             break
-        order = [F.col("own") / F.col("n"), F.col("company").desc(), F.xxhash64("node"), F.col("node")]
-        hubs = first_per_key(here, ["bucket"], order, high, F.col("node"))
-        hubs = stored(hubs.select("bucket", *[F.col(c).alias(f"h_{c}") for c in ("node", "root", "n", "own", "pivot", "held", "places", "size")]), "hubs")
-        found = _candidates(here, hubs, high, signed, places, threshold, percent)
+        named = ["bucket", *[F.col(c).alias(f"h_{c}") for c in ("node", "root", "n", "own", "pivot", "held", "places", "size")]]
+        pairs = None
+        if low:
+            members = here.drop("root")  # a bucket whose members are connected stays so
+            if meets <= left * MEETS:
+                pairs = stored(_pairs(here, here.select(named), largest, percent), "pairs")
+                pairs = pairs if pairs.count() <= left * PAIRS else None
+        if pairs is not None:
+            high = largest
+        else:
+            order = [F.col("own") / F.col("n"), F.col("company").desc(), F.xxhash64("node"), F.col("node")]
+            hubs = stored(first_per_key(here, ["bucket"], order, high, F.col("node")).select(named), "hubs")
+            pairs = _pairs(here, hubs, high, percent)
+        found = _candidates(pairs, signed, places, threshold)
         found = stored(compared_sets(_with_texts(found, said), k, percent), "compared")
         if not low:
             members = stored(_pivoted(members, hubs, found), "pivoted")
         links = found.filter("linked").select("u", "v")
-        if edges is not None:
-            links = links.unionByName(edges)
-        roots = stored(components(links), "components")
-        edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+        if roots is None or not links.isEmpty():
+            if roots is not None:
+                links = links.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
+            roots = stored(components(links), "components")
         low, high = high, high * (GROWTH + 1)
     if roots is None:
         placed = classes.select("node", "label", F.col("key"), F.col("node").alias("root"))

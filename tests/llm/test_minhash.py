@@ -6,7 +6,7 @@ import re
 import numpy as np
 
 from lumenaudit.llm import minhash as M
-from lumenaudit.llm.graph import components
+from lumenaudit.llm.graph import _stars, components
 
 from .conftest import frame, words
 
@@ -118,3 +118,28 @@ def test_hot_bucket(spark, monkeypatch):
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in M.near_duplicates(frame(spark, texts), 3, 85).collect()}
     expected = brute(texts, 3, 85)
     assert found == expected and 1 < len({c for _, c in expected.values()}) < 90
+
+
+def test_rounds(spark, monkeypatch):
+    """After the first hubs a round takes all that are left, unless that meets too many members or leaves too many pairs; the result is the same."""
+    monkeypatch.setattr(M, "GROWTH", 1)
+    rng = random.Random(4)
+    base = words(150, 61, 3000)
+    texts = [edited(base, rng.choice([0, 1, 3, 5, 6, 7, 8, 12]), rng) for _ in range(60)]
+    expected = brute(texts, 3, 85)
+    made, rounds = [], []
+    monkeypatch.setattr(M, "stored", lambda df, label, write=M.stored: made.append(label) or write(df, label))
+    for meets, pairs in ((M.MEETS, M.PAIRS), (0, M.PAIRS), (M.MEETS, -1)):
+        monkeypatch.setattr(M, "MEETS", meets)
+        monkeypatch.setattr(M, "PAIRS", pairs)
+        made.clear()
+        found = {r.doc_id: (r.n_shingles, r.component_id) for r in M.near_duplicates(frame(spark, texts), 3, 85).collect()}
+        assert found == expected
+        rounds.append(made.count("open"))
+    assert rounds[0] == 3 < min(rounds[1:])
+
+
+def test_stars(spark):
+    edges = lambda *rows: spark.createDataFrame(rows, "u string, v string")
+    assert _stars(edges(("c", "a"), ("d", "a"), ("f", "e"))) and _stars(spark.createDataFrame([], "u string, v string"))
+    assert not _stars(edges(("c", "a"), ("c", "b"))) and not _stars(edges(("c", "b"), ("b", "a")))
