@@ -24,12 +24,11 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lumenaudit.llm.common import map_texts, stored, utf8
 
@@ -113,15 +112,15 @@ def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     return later.groupBy("row_id", "row_text").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
 
 
-@F.pandas_udf(StringType())
-def _without(text: pd.Series, dropped: pd.Series) -> pd.Series:
-    def cut(t, d):
-        if t is None or d is None or not len(d):
-            return t
-        gone = set(d)
-        return "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
-
-    return pd.Series([cut(t, d) for t, d in zip(text, dropped)], dtype=object)
+def _without(texts: list[bytes], rest: dict) -> pa.RecordBatch:
+    """The rows with the lines numbered in ``_dropped`` taken out of their texts; null texts stay."""
+    out = []
+    for text, absent, dropped in zip(texts, rest["_absent"].to_pylist(), rest["_dropped"].to_pylist()):
+        gone = set(dropped)
+        cut = b"\n".join(x for i, x in enumerate(text.split(b"\n")) if i not in gone) if gone else text
+        out.append(None if absent else cut)
+    columns = {n: c for n, c in rest.items() if n != "_absent"}
+    return pa.RecordBatch.from_arrays([*columns.values(), pa.array(out, pa.string())], [*columns, "_text"])
 
 
 def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lines: str = "dropped_lines",
@@ -132,6 +131,11 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", line
     whole = docs.select(F.struct("*").alias("row"))  # so that no name of the table meets one of these
     row_id, row_text = _identity(f"row.`{doc_id}`", f"row.`{text}`")
     both = whole.join(found, (row_id == F.col("_row_id")) & (row_text == F.col("_row_text")), "left")
-    out = [_without(F.col(f"row.`{c}`"), F.col("_dropped")).alias(c) if c == text else F.col(f"row.`{c}`")
-           for c in docs.columns if c.lower() != lines.lower()]
-    return both.select(*out, F.coalesce("_dropped", F.array().cast("array<int>")).alias(lines))
+    kept = [c for c in docs.columns if c.lower() != lines.lower()]
+    others = {c: f"_{i}" for i, c in enumerate(kept) if c != text}
+    rows = both.select(*[F.col(f"row.`{c}`").alias(n) for c, n in others.items()], F.col(f"row.`{text}`").isNull().alias("_absent"),
+                       F.coalesce("_dropped", F.array().cast("array<int>")).alias("_dropped"), utf8(f"row.`{text}`").alias("_text"))
+    # an Arrow pass, as a column function would run once for the text and once more for each filter on it
+    schema = StructType([f for f in rows.schema if f.name not in ("_absent", "_text")] + [StructField("_text", StringType())])
+    cut = map_texts(rows, _without, schema, "_text")
+    return cut.select(*[F.col(others.get(c, "_text")).alias(c) for c in kept], F.col("_dropped").alias(lines))

@@ -103,3 +103,15 @@ def test_clashing_names(spark):
     found = lines.line_dedup(docs)
     assert found.columns == ["doc_id", "text", "_row_id", "_row_text", "_dropped", "dropped_lines"]
     assert sorted((r.doc_id, len(r.dropped_lines), r._row_id, r._dropped) for r in found.collect()) == [(0, 0, 1, 3), (1, 1, 1, 3), (2, 1, 1, 3), (3, 1, 1, 3)]
+
+
+def test_one_pass_over_the_texts(spark):
+    """A filter on the text that is left costs no second Python pass; null texts stay null, and other columns as they are."""
+    line = "the same old line of many words here"
+    docs = frame(spark, [f"{line}\nown é {i}" for i in range(4)] + [None, ""])
+    found = lines.line_dedup(docs).filter("text IS NULL OR text RLIKE '.*'")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and plan.count("MapInArrow") == 1
+    got = {r.doc_id: r.text for r in found.collect()}
+    assert got == {0: f"{line}\nown é 0", 1: "own é 1", 2: "own é 2", 3: "own é 3", 4: None, 5: ""}
+    assert found.columns == [*docs.columns, "dropped_lines"] and found.drop("dropped_lines").schema == docs.schema
